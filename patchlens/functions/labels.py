@@ -7,7 +7,9 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from patchlens.functions.patterns import any_literal, any_word, found, ladder
+from patchlens.functions.patterns import (
+    any_literal, any_word, bind, folded, found, ladder, required_literal,
+)
 from patchlens.rules import ladders as R
 from patchlens.rules import lexicon as L
 from patchlens.rules.categories import CATEGORY_RULES, FIX_SIGNALS, Rule
@@ -33,24 +35,39 @@ def meaningful_diff(before: Column, after: Column) -> Column:
     return bare(before) != bare(after)
 
 
-def _points(rule: Rule, everything: Column, before: Column, after: Column) -> Column:
-    """3 when new in the after-text, 1 when only mentioned. `after` is part of `everything`."""
-    fresh = F.when(found(before, rule.pattern, rule.flags), 1).otherwise(3)
-    return (F.when(found(after, rule.pattern, rule.flags), fresh)
-            .when(found(everything, rule.pattern, rule.flags), 1).otherwise(0))
+def _seen(rule: Rule, texts: Column, name: str) -> Column:
+    """Regex test of one bound text, behind a literal test that spares most of them."""
+    test = found(texts[name], rule.pattern, rule.flags)
+    word = required_literal(rule.pattern)
+    if word is None:
+        return test
+    if "i" in rule.flags:
+        return texts[f"{name}_folded"].contains(word.lower()) & test
+    return texts[name].contains(word) & test
+
+
+def _points(rule: Rule, texts: Column) -> Column:
+    """3 when new in the after-text, 1 when only mentioned. The after-text is part of `all`."""
+    fresh = F.when(_seen(rule, texts, "before"), 1).otherwise(3)
+    return (F.when(_seen(rule, texts, "after"), fresh)
+            .when(_seen(rule, texts, "all"), 1).otherwise(0))
 
 
 def candidate_scores(diff, before, after, message, rules: list[Rule] = CATEGORY_RULES) -> Column:
     """Array of (category, rank, score) in rule order, one entry per category."""
-    everything = haystack(diff, after, message)
+    texts = {"before": before, "after": after, "all": haystack(diff, after, message)}
+    texts |= {f"{n}_folded": folded(c) for n, c in texts.items()}
     groups: dict[str, list[Rule]] = {}
     for rule in rules:
         groups.setdefault(rule.category, []).append(rule)
-    return F.array(*[
-        F.struct(F.lit(name).alias("category"), F.lit(rank).alias("rank"),
-                 reduce(lambda a, b: a + b,
-                        [_points(r, everything, before, after) for r in group]).alias("score"))
-        for rank, (name, group) in enumerate(groups.items())])
+
+    def score_all(t):
+        return F.array(*[
+            F.struct(F.lit(name).alias("category"), F.lit(rank).alias("rank"),
+                     reduce(lambda a, b: a + b, [_points(r, t) for r in group]).alias("score"))
+            for rank, (name, group) in enumerate(groups.items())])
+
+    return bind(texts, score_all)
 
 
 def ranked_candidates(scores: Column, keep: int = 4) -> Column:

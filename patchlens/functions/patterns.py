@@ -1,7 +1,8 @@
 """Regex and literal helpers shared by the column builders."""
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import or_
 
@@ -9,9 +10,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_CLASS = re.compile(r"\\[bBwWsSdD]")
+
+
 def java(pattern: str, flags: str = "") -> str:
-    """Pattern text for the JVM: Unicode word classes, and only newline ends a line."""
-    return f"(?Ud{flags}){pattern}"
+    """Pattern text for the JVM: Unicode word classes, and only newline ends a line. The slower
+    Unicode mode is left out where nothing in the pattern depends on it."""
+    unicode = "U" if "i" in flags or _CLASS.search(pattern) else ""
+    return f"(?{unicode}d{flags}){pattern}"
+
+
+def required_literal(pattern: str) -> str | None:
+    """Longest plain word that every match must hold, None when there is no sure one."""
+    bare = re.sub(r"\[[^\]]*\][?*+]?|\{[^}]*\}", " ", re.sub(r"\\.[?*]?", " ", pattern))
+    while "(" in bare:
+        shorter = re.sub(r"\([^()]*\)[?*+]?", " ", bare)
+        if shorter == bare:
+            return None
+        bare = shorter
+    if "|" in bare:
+        return None
+    words = re.findall(r"[A-Za-z]+", re.sub(r"[A-Za-z][?*{]", " ", bare))
+    return max(words, key=len, default=None)
+
+
+def folded(text: Column) -> Column:
+    """Case-folded text, for literal tests before case-blind patterns."""
+    return F.lower(F.upper(text))
+
+
+def bind(fields: dict[str, Column], build: Callable[[Column], Column]) -> Column:
+    """Work out the fields once and hand them to `build` as a struct, however often it uses them."""
+    one = F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    return F.element_at(F.transform(one, build), 1)
 
 
 def found(text: Column, pattern: str, flags: str = "") -> Column:
