@@ -83,7 +83,7 @@ def ranked_candidates(scores: Column, keep: int = 4) -> Column:
             F.transform(F.slice(o, 1, keep), lambda s: s["category"]).alias("candidates"),
             (best - second).alias("margin"), best.alias("top_score"))
 
-    return F.element_at(F.transform(F.array(order), build), 1)
+    return bind({"o": order}, lambda t: build(t["o"]))
 
 
 def condition(spec, fields: dict[str, Column]) -> Column:
@@ -153,5 +153,5 @@ def relabel(before, after, message, label, path) -> Column:
         rows = [(i, row(i, values)) for i, values in R.RELABEL_TEXTS.items()]
         return ladder([(step == i, r) for i, r in rows[:-1]], rows[-1][1])
 
-    step = relabel_step(before, after, message, label, path)
-    return F.element_at(F.transform(F.array(step), build), 1)
+    return bind({"step": relabel_step(before, after, message, label, path)},
+                lambda t: build(t["step"]))

@@ -1,10 +1,12 @@
 """Vector columns: array expressions and the two token-count extractors."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from patchlens.functions.patterns import found, java, occurrences
+from patchlens.functions.patterns import bind, found, java, occurrences
 
 # --- fixed values: slot positions and patterns of the 64-slot extractor --------------------
 # slot: pattern, literal that every match holds (None when there is no such literal)
@@ -53,14 +55,23 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def scale(v: Column, by: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / by)
+def total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
+
+
+def divided(v: Column, by: Callable[[Column], Column]) -> Column:
+    """Elements over a number made from the whole vector, which is worked out once per row and not
+    once per element. A divisor of 0 leaves the vector as it is."""
+    def whole(t):
+        return bind({"v": t["v"], "n": by(t["v"])}, lambda u: F.when(
+            u["n"] != 0, F.transform(u["v"], lambda x: x / u["n"])).otherwise(u["v"]))
+
+    return bind({"v": v.cast("array<double>")}, whole)
 
 
 def l2_normalise(v: Column) -> Column:
     """Unit length; an all-zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, scale(v, n)).otherwise(v.cast("array<double>"))
+    return divided(v, norm)
 
 
 def parse_vector(text: Column, n: int) -> Column:
@@ -111,18 +122,15 @@ def token_counts64(code: Column) -> dict[int, Column]:
 
 def raw_vector64(counts: Column) -> Column:
     """Lay out the counts array, then size and depth, before scaling."""
-    total = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
     return F.concat(F.slice(counts, 1, SIZE_SLOT),
-                    F.array(F.log1p(total), F.lit(min(FALLBACK_DEPTH, DEPTH_LIMIT) / DEPTH_LIMIT)))
+                    F.array(F.log1p(total(counts)), F.lit(min(FALLBACK_DEPTH, DEPTH_LIMIT) / DEPTH_LIMIT)))
 
 
 def token_vector64(code: Column) -> Column:
     """Token counts by slot, log of their sum and nesting depth, scaled to unit length."""
     counts = token_counts64(code)
     slots = F.array(*[counts.get(i, F.lit(0)).cast("double") for i in range(SIZE_SLOT)])
-    # one-element transforms bind each stage, so no count is worked out twice
-    raw = F.transform(F.array(slots), raw_vector64)
-    return F.element_at(F.transform(raw, lambda v: scale(v, norm(v))), 1)
+    return l2_normalise(bind({"v": slots}, lambda t: raw_vector64(t["v"])))
 
 
 def indent_depth(code: Column) -> Column:
@@ -134,8 +142,7 @@ def indent_depth(code: Column) -> Column:
 def _shape120(parts: Column) -> Column:
     """Bag, then closing numbers, from a struct of the counts, line count and depth."""
     bag, depth = parts["bag"], parts["depth"].cast("double")
-    nodes = F.aggregate(bag, F.lit(0.0), lambda s, x: s + x)
-    tail = [nodes, depth, depth / 2, F.lit(float(SEEN_TYPES))]
+    tail = [total(bag), depth, depth / 2, F.lit(float(SEEN_TYPES))]
     tail += [F.get(bag, F.lit(i)) for i in REPEATED_120]
     return F.concat(bag, F.array(*tail))
 
@@ -146,11 +153,9 @@ def token_vector120(code: Column) -> Column:
     counts[0] = F.lit(1)
     counts[BLOCK_SLOT] = F.size(F.split(code, "\n"))
     bag = F.array(*[counts.get(i, F.lit(0)).cast("double") for i in range(BAG_SIZE)])
-    parts = F.array(F.struct(bag.alias("bag"), indent_depth(code).alias("depth")))
-    shaped = F.transform(parts, _shape120)
-    shares = F.transform(shaped, lambda v: scale(v, F.aggregate(v, F.lit(0.0), lambda s, x: s + x)))
+    shares = divided(bind({"bag": bag, "depth": indent_depth(code)}, _shape120), total)
     blank = code.isNull() | ~found(code, r"\S")
-    return F.when(blank, zeros(BAG_SIZE + 15)).otherwise(F.element_at(shares, 1))
+    return F.when(blank, zeros(BAG_SIZE + 15)).otherwise(shares)
 
 
 def complexity_proxy(code: Column) -> Column:
@@ -186,4 +191,4 @@ def geometry_slots(code: Column) -> Column:
             every(r"if\s*\(", 10, "if"), every(r"for\s*\(", 5, "for"),
             every(r"await\s+", 5, "await"), every(r"try\s*\{", 5, "try")), zeros(57))
 
-    return F.element_at(F.transform(F.array(complexity_proxy(code)), build), 1)
+    return bind({"p": complexity_proxy(code)}, lambda t: build(t["p"]))

@@ -147,7 +147,7 @@ def cap_per_group_greedy(df: DataFrame, category: str, repository: str, order: l
             keep.append(ok)
         return rows[keep]
 
-    return small.groupBy(F.lit(1)).applyInPandas(admit, small.schema)
+    return small.groupBy().applyInPandas(admit, small.schema)
 
 
 def build_record(df: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def numeric_profile(df: DataFrame, column: str) -> DataFrame:
     return counts.agg(
         (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("v").alias("least"), F.max("v").alias("greatest"),
-        F.percentile("v", 0.5, "n").alias("median"))
+        F.percentile("v", 0.5, F.col("n")).alias("median"))
 
 
 def audit_pairs(df: DataFrame, before: str = "buggy_code", after: str = "fixed_code",

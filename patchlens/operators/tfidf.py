@@ -7,7 +7,8 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchlens.functions.patterns import java
+from patchlens.functions.patterns import bind, java
+from patchlens.functions.vectors import l2_normalise
 from patchlens.rules import lexicon as L
 
 ROW_MARK = "\x00"  # never a term; one per document, so its document frequency is n
@@ -29,7 +30,7 @@ def word_grams(text: Column, bigrams: bool = True, pattern: str = L.TOKEN_PATTER
     words = tokens(text, pattern)
     if not bigrams:
         return words
-    return F.element_at(F.transform(F.array(words), lambda w: F.concat(w, pairs_of(w))), 1)
+    return bind({"w": words}, lambda t: F.concat(t["w"], pairs_of(t["w"])))
 
 
 def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
@@ -62,12 +63,13 @@ def tfidf_fit(grams: DataFrame, column: str = "grams", max_terms: int | None = L
     document frequency come from one aggregate on the term: only (term, counts) is shuffled, and
     frequent terms are combined before it.
     """
-    ordered = grams.select(F.sort_array(F.concat(
-        F.array(F.lit(ROW_MARK)), F.col(column))).alias("_g"))
-    marked = ordered.select(F.explode(F.transform("_g", lambda g, i: F.struct(
-        g.alias("term"),
-        F.when(i == 0, 1).otherwise((g != F.get(F.col("_g"), i - 1)).cast("int"))
-        .alias("first")))).alias("e"))
+    def runs(t):
+        return F.transform(t["g"], lambda g, i: F.struct(
+            g.alias("term"),
+            F.when(i == 0, 1).otherwise((g != F.get(t["g"], i - 1)).cast("int")).alias("first")))
+
+    ordered = F.sort_array(F.concat(F.array(F.lit(ROW_MARK)), F.col(column)))
+    marked = grams.select(F.explode(bind({"g": ordered}, runs)).alias("e"))
     counted = marked.groupBy(F.col("e.term").alias("term")).agg(
         F.count(F.lit(1)).alias("tf"), F.sum("e.first").alias("df"))
     is_mark = F.col("term") == ROW_MARK
@@ -127,8 +129,5 @@ class TermWeights:
             tf = F.log(c) + 1 if self.sublinear else c
             return tf * F.get(idf, i)
 
-        raw = counted.withColumn("val", F.zip_with("idx", "_c", weight))
-        size = F.sqrt(F.aggregate("val", F.lit(0.0), lambda s, x: s + x * x))
-        return (raw.withColumn("_size", size)
-                .withColumn("val", F.transform("val", lambda x: x / F.col("_size")))
-                .drop("_tf", "_c", "_size"))
+        raw = F.zip_with("idx", "_c", weight)
+        return counted.withColumn("val", l2_normalise(raw)).drop("_tf", "_c")
