@@ -144,7 +144,8 @@ def _shape120(parts: Column) -> Column:
     bag, depth = parts["bag"], parts["depth"].cast("double")
     tail = [total(bag), depth, depth / 2, F.lit(float(SEEN_TYPES))]
     tail += [F.get(bag, F.lit(i)) for i in REPEATED_120]
-    return F.concat(bag, F.array(*tail))
+    shape = F.concat(bag, F.array(*tail))
+    return F.when(parts["blank"], zeros(BAG_SIZE + 15)).otherwise(shape)
 
 
 def token_vector120(code: Column) -> Column:
@@ -153,9 +154,9 @@ def token_vector120(code: Column) -> Column:
     counts[0] = F.lit(1)
     counts[BLOCK_SLOT] = F.size(F.split(code, "\n"))
     bag = F.array(*[counts.get(i, F.lit(0)).cast("double") for i in range(BAG_SIZE)])
-    shares = divided(bind({"bag": bag, "depth": indent_depth(code)}, _shape120), total)
     blank = code.isNull() | ~found(code, r"\S")
-    return F.when(blank, zeros(BAG_SIZE + 15)).otherwise(shares)
+    parts = {"bag": bag, "depth": indent_depth(code), "blank": blank}
+    return divided(bind(parts, _shape120), total)
 
 
 def complexity_proxy(code: Column) -> Column:

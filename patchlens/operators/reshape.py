@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.functions.patterns import java, squeeze
+from patchlens.functions.patterns import bind, squeeze
 from patchlens.functions import text as fx
 from patchlens.operators.grouping import spread_row_number
 
@@ -43,9 +43,10 @@ def hunk_pairs(df: DataFrame, patch: str = "patch", context: int = 4) -> DataFra
         return ((count([" ", "-"]) == h["source_length"])
                 & (count([" ", "+"]) == h["target_length"]))
 
-    parsed = df.withColumn("_hunks", F.transform(pieces, parse)).where(
-        F.forall("_hunks", holds))
-    one = parsed.withColumn("hunk", F.explode("_hunks")).drop("_hunks")
+    # a filter on a computed column would be pushed down and parse every patch twice
+    whole = bind({"h": F.transform(pieces, parse)},
+                 lambda t: F.when(F.forall(t["h"], holds), t["h"]))
+    one = df.withColumn("hunk", F.explode(whole))
     kinds, texts = F.col("hunk.kinds"), F.col("hunk.texts")
     flags = F.transform(kinds, lambda k: k != " ")
     one = one.withColumns({

@@ -73,10 +73,10 @@ unnest([{', '.join(sql_times('folded', vx.SLOTS_120[i][0]) for i in _SAFE120)}])
 SELECT doc_id, slot::BIGINT AS slot, n::BIGINT AS n FROM c WHERE n > 0""")
 def _(t):
     # shares are turned back into counts through slot 0, which counts one in every text
-    v = t.snippets().select("doc_id", vx.token_vector120(F.col("code")).alias("v"))
-    cells = v.select("doc_id", F.get("v", F.lit(0)).alias("unit"), F.posexplode("v").alias("slot", "x"))
-    return cells.where(F.col("slot").isin(_SAFE120) & (F.col("x") > 0)).select(
-        "doc_id", F.col("slot").cast(LONG), F.round(F.col("x") / F.col("unit")).cast(LONG).alias("n"))
+    counts = vx.divided(vx.token_vector120(F.col("code")), lambda v: F.get(v, F.lit(0)))
+    cells = t.snippets().select("doc_id", F.posexplode(counts).alias("slot", "n"))
+    return cells.where(F.col("slot").isin(_SAFE120) & (F.col("n") > 0)).select(
+        "doc_id", F.col("slot").cast(LONG), F.round("n").cast(LONG).alias("n"))
 
 
 @query("fit_dim", """SELECT vec_id, i::BIGINT AS i, round(coalesce(embedding[i], 0)::DOUBLE, 6) + 0 AS x
