@@ -32,7 +32,7 @@ def fit_linear(train: DataFrame, kind: str = "logistic", weight: str | None = "w
     extra = {"weightCol": weight} if weight else {}
     if kind == "svm":
         binary = LinearSVC(maxIter=iterations, **extra)
-        return OneVsRest(classifier=binary, **extra).fit(train)
+        return OneVsRest(classifier=binary, parallelism=4, **extra).fit(train)
     reg = {"logistic": 1e-2, "sgd": 1e-4}[kind]
     return LogisticRegression(maxIter=iterations, regParam=reg, **extra).fit(train)
 
@@ -49,7 +49,8 @@ def fit_boosted(train: DataFrame, classes: int, rounds: int = 100, depth: int =
                 weight: str | None = "weight", seed: int = 42) -> Model:
     extra = {"weightCol": weight} if weight else {}
     boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, **extra)
-    return boosted.fit(train) if classes == 2 else OneVsRest(classifier=boosted, **extra).fit(train)
+    return boosted.fit(train) if classes == 2 else OneVsRest(
+        classifier=boosted, parallelism=4, **extra).fit(train)
 
 
 def fit_mlp(train: DataFrame, width: int, classes: int, iterations: int = 100, seed: int = 42
@@ -188,8 +189,8 @@ def train_dual(pairs: DataFrame, group: str, targets: tuple[str, ...] = ("bug_ty
 
 
 def train_hybrid(samples: DataFrame, key: str, label: str, text: str, vector: str,
-                 terms: int = 1000, trees: int = 100, depth: int = 12, iterations: int = 100
-                 ) -> Trained:
+                 terms: int = 1000, trees: int = 100, depth: int = 12, iterations: int = 100,
+                 margin: bool = True) -> Trained:
     """Text, vector and text+vector feature families with linear, forest and Bayes models."""
     rows, classes = index_labels(drop_rare_classes(samples, label, 10), label)
     parts = class_balance(stratified_split(rows, label, key), label)
@@ -200,7 +201,8 @@ def train_hybrid(samples: DataFrame, key: str, label: str, text: str, vector: st
         a, b = (with_features(d, *cols).select("label", "weight", "features").cache()
                 for d in (train, test))
         out.add(f"{family}_logistic", fit_linear(a, "logistic", iterations=iterations), b)
-        out.add(f"{family}_svm", fit_linear(a, "svm", iterations=iterations), b)
+        if margin:
+            out.add(f"{family}_svm", fit_linear(a, "svm", iterations=iterations), b)
         out.add(f"{family}_forest", fit_forest(a, trees, depth), b)
         if family == "text":
             out.add("text_bayes", fit_nb(a), b)

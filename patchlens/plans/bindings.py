@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.rules import lexicon as L
+from patchlens.session import spread
 
 # word -> code token, applied in this order
 CODE_WORDS = [
@@ -77,8 +78,12 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        """Documents over all cores."""
+        return spread(self.documents, "doc_id")
+
     def snippets(self) -> DataFrame:
-        d = self.documents
+        d = self.texts()
         return d.select("doc_id", swap(F.col("text"), CODE_WORDS).alias("code"), "lang", "source")
 
     def pairs(self) -> DataFrame:
@@ -88,8 +93,8 @@ class Tables:
         answer = c.where("role = 'assistant'").select(
             "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("_a"))
         p = F.col("pair_id")
-        both = user.join(answer, ["conv_id", "turn"]).withColumn(
-            "pair_id", F.col("conv_id") * 1000 + F.col("turn"))
+        both = spread(user.join(answer, ["conv_id", "turn"]).withColumn(
+            "pair_id", F.col("conv_id") * 1000 + F.col("turn")), "pair_id")
         number = F.col("conv_id") + F.col("turn")
         return both.select(
             "pair_id", "conv_id", "turn",
@@ -106,7 +111,7 @@ class Tables:
             pick(L.SEVERITIES, F.col("conv_id")).alias("severity"))
 
     def paths(self) -> DataFrame:
-        return self.pages.select("page_id", swap(F.col("url"), PATH_WORDS).alias("path"), "html")
+        return spread(self.pages, "page_id").select("page_id", swap(F.col("url"), PATH_WORDS).alias("path"), "html")
 
     def steps(self) -> DataFrame:
         """Progress entries: user as scan, props number as step."""

@@ -97,14 +97,14 @@ def mine_pairs(commits: DataFrame, files: DataFrame, scorer: LabelScorer,
                 "category_counts": past["types"].withColumnRenamed("bug_type", "_type")}
     changed = commit_files(kept)
     hunks = reshape.hunk_pairs(quality.patch_size_filter(changed))
-    ranked = hunks.withColumn("_r", _ranked("patch", "before", "after", "message"))
+    # scores are stored before the filter on them: pushed down, it would score every hunk twice
+    ranked = settle(hunks.withColumn("_r", _ranked("patch", "before", "after", "message")), "ranked")
     hunks = ranked.where("size(_r.candidates) > 0").select(
         F.xxhash64("repository", "commit_hash", "filename", "source_start", "target_start")
         .alias("hunk_id"), "repository", "position", "file_no", "commit_hash", "parent_sha",
         F.col("filename").alias("file_path"), "message", "patch", "source_start", "source_length",
         "target_start", "target_length", F.col("_r.candidates").alias("candidates"),
         F.col("_r.margin").alias("match_margin"))
-    hunks = settle(hunks, "hunks")
     both = _with_functions(hunks, files)
     both = both.withColumns({"buggy_code": slicing.strip_comments(F.col("buggy_code")),
                              "fixed_code": slicing.strip_comments(F.col("fixed_code"))})

@@ -207,7 +207,7 @@ FROM {grams} JOIN {vocabulary} USING (term) GROUP BY {key}, term),
 {vocabulary_cte('g', 'doc_id', 'documents', 'v', 1500)}
 SELECT term, tf, df, round(idf, 6) AS idf FROM v""")
 def _(t):
-    g = t.documents.select(tfidf.word_grams(F.col("text")).alias("grams"))
+    g = t.texts().select(tfidf.word_grams(F.col("text")).alias("grams"))
     return tfidf.tfidf_fit(g).select("term", "tf", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -215,7 +215,7 @@ def _(t):
 {vocabulary_cte('g', 'doc_id', 'documents', 'v', 300)}, {weights_cte('g', 'doc_id', 'v', 'w')}
 SELECT doc_id, term, round(weight, 6) AS weight FROM w""")
 def _(t):
-    g = t.documents.select("doc_id", tfidf.word_grams(F.col("text")).alias("grams"))
+    g = t.texts().select("doc_id", tfidf.word_grams(F.col("text")).alias("grams"))
     v = tfidf.tfidf_fit(g, max_terms=300)
     return tfidf.tfidf_transform(g, v, "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -224,7 +224,7 @@ def _(t):
 {vocabulary_cte('g', 'doc_id', 'documents', 'v', 300)}, {weights_cte('g', 'doc_id', 'v', 'w')}
 SELECT doc_id, count(*) AS terms, round(sum(weight), 5) AS total FROM w GROUP BY doc_id""")
 def _(t):
-    g = t.documents.select("doc_id", tfidf.word_grams(F.col("text")).alias("grams"))
+    g = t.texts().select("doc_id", tfidf.word_grams(F.col("text")).alias("grams"))
     s = tfidf.TermWeights.fit(g, max_terms=300).sparse(g).where(F.size("idx") > 0)
     return s.select("doc_id", F.size("idx").cast(LONG).alias("terms"),
                     F.round(F.aggregate("val", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))

@@ -16,6 +16,7 @@ from patchlens.plans.bindings import (
 from patchlens.plans.registry import query
 from patchlens.rules import ladders as R
 from patchlens.rules import lexicon as L
+from patchlens.session import spread
 from patchlens.rules.categories import CATEGORY_RULES, FIX_SIGNALS, HEURISTIC_CAPS, HEURISTIC_RULES
 
 LONG = "long"
@@ -282,14 +283,16 @@ def _score_ctes(rules):
 
 def _scores(t, rules=CATEGORY_RULES):
     p = t.pairs().where("before IS NOT NULL")
-    return p.select("pair_id", lx.candidate_scores(F.col("after"), F.col("before"), F.col("after"),
-                                                   F.col("message"), rules).alias("s"))
+    return p, lx.candidate_scores(F.col("after"), F.col("before"), F.col("after"), F.col("message"),
+                                  rules)
 
 
 @query("candidate_scores", f"WITH {_score_ctes(CATEGORY_RULES)} "
                            "SELECT pair_id, category, score::BIGINT AS score FROM tall")
 def _(t):
-    return _scores(t).select("pair_id", F.explode("s").alias("s")).select(
+    pairs, scores = _scores(t)
+    # exploding the expression, not a column made from it, keeps Spark from scoring twice
+    return pairs.select("pair_id", F.explode(scores).alias("s")).select(
         "pair_id", "s.category", F.col("s.score").cast(LONG).alias("score"))
 
 
@@ -299,7 +302,8 @@ SELECT p.pair_id, coalesce(string_agg(category, ',' ORDER BY rn) FILTER (WHERE r
 (coalesce(max(score) FILTER (WHERE rn = 1), 0) - coalesce(max(score) FILTER (WHERE rn = 2), 0))::BIGINT
 AS margin FROM scored p LEFT JOIN r USING (pair_id) GROUP BY p.pair_id""")
 def _(t):
-    r = _scores(t).select("pair_id", lx.ranked_candidates(F.col("s")).alias("r"))
+    pairs, scores = _scores(t)
+    r = pairs.select("pair_id", lx.ranked_candidates(scores).alias("r"))
     return r.select("pair_id", F.array_join("r.candidates", ",").alias("candidates"),
                     F.col("r.margin").cast(LONG).alias("margin"))
 
@@ -314,8 +318,8 @@ FROM tall JOIN room USING (category) WHERE score > 0)
 SELECT s.pair_id, coalesce(r.category, 'logic_error') AS best FROM scored s
 LEFT JOIN r ON s.pair_id = r.pair_id AND rn = 1""")
 def _(t):
-    s = _scores(t, HEURISTIC_RULES)
-    return s.select("pair_id", mining.best_category_by_need(F.col("s"), HEURISTIC_CAPS).alias("best"))
+    pairs, scores = _scores(t, HEURISTIC_RULES)
+    return pairs.select("pair_id", mining.best_category_by_need(scores, HEURISTIC_CAPS).alias("best"))
 
 
 def condition_sql(spec, fields, folded):
@@ -646,7 +650,7 @@ def _(t):
 [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS gram FROM t)
 SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY gram""")
 def _(t):
-    g = t.documents.select("doc_id", tfidf.word_grams(F.col("text")).alias("grams"))
+    g = t.texts().select("doc_id", tfidf.word_grams(F.col("text")).alias("grams"))
     return tfidf.tfidf_fit(g, max_terms=None).select(F.col("term").alias("gram"),
                                                      F.col("tf").alias("n"), F.col("df").alias("docs"))
 
@@ -658,7 +662,7 @@ unnest([substring(w, i, n) for i in range(1, greatest(length(w) - n + 2, 1))]) A
 FROM p, (VALUES (2), (3), (4)) v(n))
 SELECT gram, count(*) AS n, count(DISTINCT id) AS docs FROM g GROUP BY gram HAVING docs >= 2""")
 def _(t):
-    g = t.conversations.select(tfidf.char_grams(F.col("text")).alias("grams"))
+    g = spread(t.conversations, "conv_id").select(tfidf.char_grams(F.col("text")).alias("grams"))
     return tfidf.tfidf_fit(g, max_terms=None, min_docs=2).select(
         F.col("term").alias("gram"), F.col("tf").alias("n"), F.col("df").alias("docs"))
 
