@@ -26,7 +26,8 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") ->
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: the one the session names, else one for local runs."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:

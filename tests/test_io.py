@@ -1,13 +1,12 @@
 import json
 import os
-import tempfile
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from patchlens.sources import readers, sinks
-from patchlens.session import settle
+from patchlens.session import settle, shared_dir
 
 
 @pytest.fixture
@@ -111,10 +110,8 @@ def test_scan_documents_split_hot_scans(spark):
     assert {r["rows_total"] for r in docs if r["scan_id"] == 2} == {5}
 
 
-def test_settle_goes_to_the_named_folder(spark):
-    with tempfile.TemporaryDirectory() as named:
-        spark.conf.set("spark.checkpoint.dir", named)
-        try:
-            assert settle(spark.range(4)).count() == 4 and os.listdir(named)
-        finally:
-            spark.conf.unset("spark.checkpoint.dir")
+def test_settle_writes_to_the_shared_folder(spark):
+    before = set(os.listdir(shared_dir(spark)))
+    assert settle(spark.range(4), "kept").count() == 4
+    new = set(os.listdir(shared_dir(spark))) - before
+    assert len(new) == 1 and new.pop().startswith("kept-")
