@@ -74,34 +74,52 @@ def _sorted_refs(table, dim):
 
 
 def nearest(targets: DataFrame, references: DataFrame, dim: int, k: int = 1,
-            threshold: float | None = None, broadcast_rows: int = BROADCAST_ROWS,
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact top k references by dot product. Both sides have columns id, idx, val."""
+            threshold: float | None = None, carry: tuple[str, ...] = (),
+            broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact top k references by dot product. Both sides have columns id, idx, val.
+
+    `carry` names target columns to keep in the result. With one reference per target they pass
+    through the task that scores their row; otherwise they are joined back.
+    """
     spark = targets.sparkSession
+    whole = targets.select("id", "idx", "val", *carry)
     targets, references = targets.select("id", "idx", "val"), references.select("id", "idx", "val")
+    through = carry if k == 1 and threshold is None else ()
+    types = ", ".join([RESULT, *(f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in through)])
     held = references.limit(broadcast_rows + 1).toArrow()
     if held.num_rows <= broadcast_rows:
         if held.num_rows == 0:
-            return spark.createDataFrame([], RESULT)
+            return spark.createDataFrame([], RESULT).join(
+                whole.select(F.col("id").alias("target_id"), *carry), "target_id")
         shared = spark.sparkContext.broadcast(_sorted_refs(held, dim))
 
         def scan(batches):
             ref_ids, refs = shared.value
             for batch in batches:
                 ids, dense = _matrix(batch, dim)
-                yield _best(ids, dense, ref_ids, refs, k, threshold)
+                best = _best(ids, dense, ref_ids, refs, k, threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [*best.columns, *(batch.column(c) for c in through)],
+                    names=[*best.schema.names, *through])
 
-        found = targets.mapInArrow(scan, RESULT)
+        found = (whole if through else targets).mapInArrow(scan, types)
+        if k == 1:
+            return found if through == carry else _carried(found, whole, carry)
     else:
         found = _grid(targets, references, dim, k, threshold, block_rows)
     if k == 1:
         best = F.max(F.struct("score", (-F.col("reference_id")).alias("key"))).alias("b")
-        if held.num_rows <= broadcast_rows:
-            return found  # one row per target already
-        return found.groupBy("target_id").agg(best).select(
+        merged = found.groupBy("target_id").agg(best).select(
             "target_id", (-F.col("b.key")).alias("reference_id"), F.col("b.score").alias("score"))
+        return _carried(merged, whole, carry)
     order = [F.col("score").desc(), F.col("reference_id")]
-    return top_per_group(found, ["target_id"], order, k, ["reference_id"])
+    return _carried(top_per_group(found, ["target_id"], order, k, ["reference_id"]), whole, carry)
+
+
+def _carried(found: DataFrame, whole: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    if not carry:
+        return found
+    return found.join(whole.select(F.col("id").alias("target_id"), *carry), "target_id")
 
 
 def _grid(targets, references, dim, k, threshold, block_rows) -> DataFrame:
@@ -140,29 +158,30 @@ def vector_topk(queries: DataFrame, index: DataFrame, id_: str, vector: str, dim
 
 
 def hybrid_features(df: DataFrame, id_: str, code: str, weights: TermWeights,
-                    vector: Column | None = None) -> DataFrame:
+                    vector: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One sparse row per snippet whose dot product is the weighted sum of both cosines."""
     v = vx.token_vector64(F.col(code)) if vector is None else vx.l2_normalise(
         vx.fit_dim(vector, 64))
     base = df.select(F.col(id_).cast("long").alias("id"), word_grams(F.col(code)).alias("grams"),
-                     v.alias("vec"))
+                     v.alias("vec"), *carry)
     part = weights.sparse(base)
     wv, wt = math.sqrt(L.VECTOR_WEIGHT), math.sqrt(L.TEXT_WEIGHT)
     return part.select(
         "id",
         F.concat(F.sequence(F.lit(0), F.lit(63)), F.transform("idx", lambda i: i + 64)).alias("idx"),
         F.concat(F.transform("vec", lambda x: x * wv),
-                 F.transform("val", lambda x: x * wt)).alias("val"))
+                 F.transform("val", lambda x: x * wt)).alias("val"), *carry)
 
 
 def hybrid_top1(targets: DataFrame, references: DataFrame, id_: str, ref_id: str, code: str,
-                ref_code: str, weights: TermWeights | None = None, **sizes) -> DataFrame:
+                ref_code: str, weights: TermWeights | None = None, carry: tuple[str, ...] = (),
+                **sizes) -> DataFrame:
     """Best reference per target by 0.4 vector cosine + 0.6 term cosine, exact."""
     if weights is None:
         weights = TermWeights.fit(references.select(word_grams(F.col(ref_code)).alias("grams")))
-    return nearest(hybrid_features(targets, id_, code, weights),
+    return nearest(hybrid_features(targets, id_, code, weights, carry=carry),
                    hybrid_features(references, ref_id, ref_code, weights),
-                   64 + len(weights.terms), **sizes)
+                   64 + len(weights.terms), carry=carry, **sizes)
 
 
 def gate(scored: DataFrame, scan: str | None = None, threshold: float = L.GATE_THRESHOLD,

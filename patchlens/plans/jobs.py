@@ -285,10 +285,11 @@ def scan_files(files: DataFrame, references: DataFrame, threshold: float = L.GAT
                                                    "content"))
     methods = methods.withColumn("method_id", F.xxhash64("scan_id", "file_path", "line_start"))
     methods = settle(methods, "methods")
-    best = hybrid_top1(methods, references, "method_id", "pair_id", "code", "buggy_code_chunk")
+    kept = tuple(c for c in methods.columns if c != "method_id")
+    best = hybrid_top1(methods, references, "method_id", "pair_id", "code", "buggy_code_chunk",
+                       carry=kept)
     shape = F.col("shape")
-    scored = (methods.join(best.withColumnRenamed("target_id", "method_id")
-                           .withColumnRenamed("score", "raw"), "method_id")
+    scored = (best.withColumnsRenamed({"target_id": "method_id", "score": "raw"})
               .withColumn("score", fx.calibrated_score(F.col("raw"), fx.defect_score(F.col("code"))))
               .withColumn("shape", vx.complexity_proxy(F.col("code"))))
     twins = references.select(F.col("pair_id").alias("reference_id"), "commit_id",

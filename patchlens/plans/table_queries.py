@@ -250,8 +250,8 @@ def _refs(t):
     return t.pairs().where("before IS NOT NULL").select("pair_id", F.col("before").alias("ref_code"))
 
 
-def _gated(t):
-    return score_methods(t.snippets(), _refs(t), "doc_id", "pair_id", "code", "ref_code")
+def _gated(t, *keep):
+    return score_methods(t.snippets(), _refs(t), "doc_id", "pair_id", "code", "ref_code", keep=keep)
 
 
 @query("hybrid_top1", f"""WITH {HYBRID_CTE} SELECT doc_id, matched_id, round(raw, 5) AS raw FROM best""")
@@ -273,8 +273,7 @@ def _(t):
 count(*) AS methods, round(sum(CASE WHEN score >= 0.5 THEN 0.0 ELSE 0.003 END), 6)::DOUBLE AS saved
 FROM scored GROUP BY 1, 2""")
 def _(t):
-    g = _gated(t).join(t.documents.select("doc_id", "source"), "doc_id")
-    return g.groupBy("source", "suspicious").agg(F.count(F.lit(1)).alias("methods"),
+    return _gated(t, "source").groupBy("source", "suspicious").agg(F.count(F.lit(1)).alias("methods"),
                                                  F.round(F.sum("cost_saved"), 6).alias("saved"))
 
 

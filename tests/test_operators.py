@@ -52,6 +52,9 @@ def test_hybrid_top1_finds_itself(spark):
         got = {x["target_id"]: (x["reference_id"], x["score"])
                for x in retrieval.hybrid_top1(t, r, "id", "rid", "code", "ref", **sizes).collect()}
         assert got == {i: (i, pytest.approx(1.0)) for i, _ in rows}
+    for sizes in ({}, {"broadcast_rows": 1, "block_rows": 2}):
+        kept = retrieval.hybrid_top1(t.withColumn("n", F.length("code")), r, "id", "rid", "code", "ref", carry=("n",), **sizes)
+        assert {x["target_id"]: x["n"] for x in kept.collect()} == {i: len(c) for i, c in rows}
     empty = retrieval.hybrid_top1(t, r.where("rid < 0"), "id", "rid", "code", "ref").count()
     assert empty == 0
 
