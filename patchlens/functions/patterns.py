@@ -11,13 +11,28 @@ from pyspark.sql import functions as F
 
 
 _CLASS = re.compile(r"\\[bBwWsSdD]")
+_WORD_START = re.compile(r"(^|[|(])(\\b)([A-Za-z])(?![?*{])")
+# letters that other characters fold to, so a case-blind guard must let those pass too
+_FOLDED = {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131"}
+
+
+def _guarded(pattern: str, blind: bool) -> str:
+    """Put a look at the first letter before each word boundary. It changes no match, and spares
+    the costly Unicode boundary test at all other positions."""
+    def guard(m):
+        letter = m[3]
+        if blind:
+            letter = f"[{letter.lower()}{letter.upper()}{_FOLDED.get(letter.lower(), '')}]"
+        return f"{m[1]}(?={letter}){m[2]}{m[3]}"
+
+    return _WORD_START.sub(guard, pattern)
 
 
 def java(pattern: str, flags: str = "") -> str:
     """Pattern text for the JVM: Unicode word classes, and only newline ends a line. The slower
     Unicode mode is left out where nothing in the pattern depends on it."""
     unicode = "U" if "i" in flags or _CLASS.search(pattern) else ""
-    return f"(?{unicode}d{flags}){pattern}"
+    return f"(?{unicode}d{flags}){_guarded(pattern, 'i' in flags)}"
 
 
 def required_literal(pattern: str) -> str | None:
