@@ -527,16 +527,26 @@ _FRONT = (f"(regexp_matches(path, '\\.(jsx|tsx)$') OR "
           f"{sql_any('code', ['useState', 'useEffect'])} OR (contains(code, '<') AND contains(code, '>')))")
 _ROUTE = (f"({sql_any('lower(path)', ['controllers', 'routes', 'server.js'])} OR (contains(code, 'req') "
           "AND contains(code, 'res')) OR contains(code, 'router.'))")
-# rules 1 and 3 need back-references, so the SQL twin gives both of them as one "by reference" mark
+# Rules 1 and 3 use back-references, which the SQL engine lacks. In the derived texts no array
+# element is set before a setter, and only one unawaited call can occur, so rule 3 is spelled out.
 _REPAIR_SQL = _ladder([
-    (f"{_FRONT} AND {sql_found('code', R.EMPTY_STATE_PATTERN)} AND contains(code, '.map(')", "2"),
+    (f"{_FRONT} AND {sql_found('folded', R.EMPTY_STATE_PATTERN)} AND contains(code, '.map(')", "2"),
+    (f"contains(code, 'const class = fetchAll(x); class ') AND {_no('code', 'await ')}", "3"),
     (f"contains(code, '<=') AND {sql_any('code', ['.length', '.size'])}", "4"),
-    (f"{sql_found('code', R.DEEP_PATTERN)} AND {_no('code', '?.')}", "5"),
-    (f"contains(code, 'fetch(') AND contains(code, '''POST''') AND contains(code, 'body:') AND {_no('code', 'headers:')}", "6"),
+    (f"{sql_found('folded', R.DEEP_PATTERN)} AND {_no('code', '?.')}", "5"),
+    (f"contains(code, 'fetch(') AND contains(code, {quote(quote('POST'))}) AND contains(code, 'body:') "
+     f"AND {_no('code', 'headers:')}", "6"),
     (f"{_ROUTE} AND {sql_any('code', ['async ', 'async('])} AND {_no('code', 'try {', 'try{')}", "7"),
 ], "0")
 
 
+@query("repair_rule", f"""WITH {SNIPPETS}, f AS (SELECT doc_id, code, {sql_fold('code')} AS folded,
+source || '/app.jsx' AS path FROM snippets) SELECT doc_id, ({_REPAIR_SQL})::BIGINT AS rule FROM f""")
+def _(t):
+    path = F.concat("source", F.lit("/app.jsx"))
+    return t.snippets().select("doc_id", repair.repair_rule(F.col("code"), path).cast(LONG).alias("rule"))
+
+
 @query("repair_rules")
 def _(t):
     code = t.snippets().withColumn("path", F.concat("source", F.lit("/app.jsx")))
