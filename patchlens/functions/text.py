@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchlens.functions.patterns import (
-    any_literal, found, java, ladder, occurrences, squeeze,
+    any_literal, bind, ladder, squeeze,
 )
 from patchlens.rules import lexicon as L
 
@@ -204,8 +204,11 @@ RESPONSE = T.StructType([T.StructField(n, T.StringType()) for n in (
 
 
 def validate_label(response: Column) -> Column:
-    """Checked label struct from a JSON answer; null when any hard rule fails."""
-    r = F.from_json(response, RESPONSE)
+    """Checked label struct from a JSON answer, parsed once; null when any hard rule fails."""
+    return bind({"r": F.from_json(response, RESPONSE)}, lambda t: _checked_label(t["r"]))
+
+
+def _checked_label(r: Column) -> Column:
     confidence = r["confidence"].try_cast("double")
     accepted = r["decision"] == "accept"
     as_list = F.from_json(r["evidence"], "array<string>")

@@ -12,8 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.functions import text as fx
 from patchlens.functions import vectors as vx
+from patchlens.functions.patterns import bind
 from patchlens.operators import evaluate as ev
 from patchlens.operators.quality import drop_rare_classes
 from patchlens.operators.report import class_balance, lookup_texts
@@ -139,9 +139,9 @@ def _term_features(train: DataFrame, test: DataFrame, text: str, terms: int, sub
 
     def dense(df):
         s = weights.sparse(df.withColumn("grams", grams))
-        at = F.map_from_arrays("idx", "val")
-        full = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                           lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0.0)))
+        full = bind({"at": F.map_from_arrays("idx", "val")}, lambda t: F.transform(
+            F.sequence(F.lit(0), F.lit(width - 1)),
+            lambda i: F.coalesce(F.try_element_at(t["at"], i), F.lit(0.0))))
         return s.withColumn("terms", full).drop("grams", "idx", "val")
 
     return dense(train), dense(test), weights
