@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlens.llm import ftrl, secrets
-from patchlens.llm.common import table
+from patchlens.llm import decontaminate, ftrl, secrets, toxic
+from patchlens.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,15 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return ftrl.score_quality(docs, ftrl.fit_quality(docs, table(spark, folder, "labels")))
+
+
+@query("op10_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxic.score_toxicity(docs, toxic.fit_toxicity(docs, table(spark, folder, "labels")))
+
+
+@query("op8_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), Scratch(spark))
