@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlens.llm import decontaminate, ftrl, secrets, toxic
+from patchlens.llm import decontaminate, ftrl, lines, mixing, secrets, toxic
 from patchlens.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,13 @@ def toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_contaminated(
         table(spark, folder, "documents"), table(spark, folder, "benchmark"), Scratch(spark))
+
+
+@query("op5_line_dedup", lines.ORACLE)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.cleaned(table(spark, folder, "documents"), Scratch(spark))
+
+
+@query("op6_source_mix", mixing.ORACLE)
+def source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(table(spark, folder, "documents"), Scratch(spark))
