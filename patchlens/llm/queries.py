@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlens.llm import decontaminate, ftrl, lines, mixing, secrets, toxic
-from patchlens.llm.common import Scratch, table
+from patchlens.llm import decontaminate, ftrl, lines, mixing, secrets, tokens, toxic, warc
+from patchlens.llm.common import Scratch, fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,15 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_source_mix", mixing.ORACLE)
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents"), Scratch(spark))
+
+
+@query("op2_warc_archive")
+def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "archive")
+    warc.write_archive(table(spark, folder, "pages"), path, Scratch(spark))
+    return warc.read_records(spark, path)
+
+
+@query("op1_token_blocks")
+def token_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encoded(table(spark, folder, "documents"), fresh_path(spark, "tokens"))
