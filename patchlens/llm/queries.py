@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlens.llm import decontaminate, ftrl, lines, mixing, secrets, tokens, toxic, warc
+from patchlens.llm import decontaminate, ftrl, itq, lines, mixing, secret_scan, tokens, toxic, warc
 from patchlens.llm.common import Scratch, fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,8 +23,8 @@ def query(name: str, sql: str | None = None):
 
 
 @query("op7_secret_scan")
-def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, folder, "documents"))
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, folder, "documents"))
 
 
 @query("op9_quality_classifier")
@@ -65,3 +65,8 @@ def warc_archive(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_token_blocks")
 def token_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encoded(table(spark, folder, "documents"), fresh_path(spark, "tokens"))
+
+
+@query("op4_vector_near_dedup")
+def vector_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return itq.near_vectors(table(spark, folder, "embeddings"), Scratch(spark))
