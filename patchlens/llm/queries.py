@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlens.llm import decontaminate, ftrl, itq, lines, mixing, secret_scan, tokens, toxic, warc
+from patchlens.llm import decontaminate, ftrl, itq, jaccard, lines, mixing, secret_scan, tokens, toxic, warc
 from patchlens.llm.common import Scratch, fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def token_blocks(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_vector_near_dedup")
 def vector_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return itq.near_vectors(table(spark, folder, "embeddings"), Scratch(spark))
+
+
+@query("op3_jaccard_join")
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents"), Scratch(spark), shingle=4, t=85)
