@@ -154,9 +154,11 @@ def mixed_documents(docs: DataFrame, scratch, **settings) -> DataFrame:
         F.col("doc_id").alias("__id"), F.col("__t.size").alias("__size"), F.col("__t.taken").alias("__taken"))
 
     def first_words(text: Column, n: Column) -> Column:
-        return F.when(n <= 0, F.lit("")).otherwise(F.regexp_substr(
-            text, F.concat(F.lit(r"(?s)\A[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"),
-                           F.greatest(n, F.lit(1)).cast("string"), F.lit("}"))))
+        """The text up to the end of its n-th word and the gap after it."""
+        body = F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")
+        parts = F.split(body, r"[\x20\x09-\x0D]+", F.greatest(n, F.lit(1)).cast("int") + 1)
+        rest = F.when(F.size(parts) > n, F.char_length(F.element_at(parts, -1))).otherwise(0)
+        return F.when(n <= 0, F.lit("")).otherwise(F.substring(body, F.lit(1), F.char_length(body) - rest))
 
     d = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).where("__taken > 0")
     size, n = F.col("__size"), F.col("__taken")

@@ -16,7 +16,7 @@ import numpy as np
 LIMIT = 1 << 16  # ids are below this
 ORDER1, ORDER2 = 10, 11  # bits of the tables of predictions
 TOP = 7  # highest confidence
-RATE = 5
+PACE = 32  # ids after which a block's weights follow its hits
 WEIGHT = 512  # of an id seen, against 1 for each id of the floor
 SHIFT = 9  # its logarithm
 REFRESH = (64, 256, 1024)  # places where the order-0 sample is taken anew; then every SAMPLE ids
@@ -25,6 +25,7 @@ U = np.uint64
 #: Odds of a prediction by its confidence, times how often its order came true of late.
 ODDS1 = np.array([0.02, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0])
 ODDS2 = np.array([0.02, 1.0, 3.0, 6.0, 10.0, 16.0, 24.0, 40.0])
+_NEXT = np.array([1] * 8 + [2, 3, 4, 5, 6, 7, 7, 7], np.int32)  # confidence after a miss, after a hit
 _IDS = np.arange(LIMIT, dtype=np.int64)
 _H1 = (_IDS * 40503 >> 4) & ((1 << ORDER1) - 1)
 _H2 = (_IDS * 60493 >> 5) & ((1 << ORDER2) - 1)
@@ -35,43 +36,53 @@ class _Model:
     """Predictions and their weights, a row for each block. An entry is an id and its confidence."""
 
     def __init__(self, lanes: int):
-        self.base1 = np.arange(lanes) << ORDER1
-        self.base2 = np.arange(lanes) << ORDER2
+        lane = np.arange(lanes)
+        self.base1, self.base2, self.rows = lane << ORDER1, lane << ORDER2, lane * (TOP + 1)
         self.of1 = np.zeros(lanes << ORDER1, np.int32)
         self.of2 = np.zeros(lanes << ORDER2, np.int32)
-        self.true1 = np.full(lanes, 1 << 14)
-        self.true2 = np.full(lanes, 1 << 14)
+        self.hits1 = np.zeros(lanes, np.int64)
+        self.hits2 = np.zeros(lanes, np.int64)
+        self.true1 = np.full(lanes, 0.25)
+        self.true2 = np.full(lanes, 0.25)
         self.h1 = np.zeros(lanes, np.int64)
         self.h2 = np.zeros(lanes, np.int64)
         self.next2 = np.zeros(lanes, np.int64)
+        self.steps = 0
         self.seen(0)
 
     def seen(self, sample: int) -> None:
         """The order-0 sample has so many ids now."""
         self.floor = LIMIT + WEIGHT * sample  # mass of order 0
-        self.mass1 = (ODDS1 * self.floor).astype(np.int64)
-        self.mass2 = (ODDS2 * self.floor).astype(np.int64)
+        self.weigh()
+
+    def weigh(self) -> None:
+        """Mass of a prediction by block and confidence."""
+        self.mass1 = (np.outer(self.true1, ODDS1 * self.floor).astype(np.int64) + 1).ravel()
+        self.mass2 = (np.outer(self.true2, ODDS2 * self.floor).astype(np.int64) + 1).ravel()
 
     def predict(self, k: int):
         """(id after two, its mass, id after one, its mass) for the first k blocks."""
         self.at1 = self.base1[:k] + self.h1[:k]
         self.at2 = self.base2[:k] + self.h2[:k]
-        self.v1, self.v2 = v1, v2 = self.of1.take(self.at1), self.of2.take(self.at2)
-        self.c1, self.c2 = v1 & 7, v2 & 7
-        m1 = (self.mass1.take(self.c1) * self.true1[:k] >> 16) + 1
-        m2 = (self.mass2.take(self.c2) * self.true2[:k] >> 16) + 1
-        return v2 >> 3, m2, v1 >> 3, m1
+        v1, v2 = self.of1.take(self.at1), self.of2.take(self.at2)
+        self.c1, self.c2 = v1 & TOP, v2 & TOP
+        return (v2 >> 3, self.mass2.take(self.rows[:k] + self.c2), v1 >> 3, self.mass1.take(self.rows[:k] + self.c1))
 
     def learn(self, k: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        fresh = (x << 3) + 1
-        for of, at, v, c, true, hit in ((self.of2, self.at2, self.v2, self.c2, self.true2, hit2),
-                                        (self.of1, self.at1, self.v1, self.c1, self.true1, hit1)):
-            of[at] = np.where(hit, v + (c < TOP), np.where(c < 2, fresh, v - 2))
-            now = true[:k]
-            now += (hit * 65536 - now) >> RATE
+        entry = x << 3
+        self.of2[self.at2] = entry + _NEXT.take(self.c2 + hit2 * 8)
+        self.of1[self.at1] = entry + _NEXT.take(self.c1 + hit1 * 8)
+        self.hits2[:k] += hit2
+        self.hits1[:k] += hit1
         self.h2[:k] = self.next2[:k] ^ _H2.take(x)
         self.next2 = _H2_BEFORE.take(x)
         self.h1[:k] = _H1.take(x)
+        self.steps += 1
+        if self.steps % PACE == 0:
+            for true, hits in ((self.true1, self.hits1), (self.true2, self.hits2)):
+                true += (hits / PACE - true) / 2
+                hits[:] = 0
+            self.weigh()
 
 
 def _sorted_sample(ids: np.ndarray, upto: int) -> np.ndarray:
@@ -80,7 +91,7 @@ def _sorted_sample(ids: np.ndarray, upto: int) -> np.ndarray:
 
 def _segments(longest: int):
     cuts = [0, *(r for r in REFRESH if r < longest), *range(REFRESH[-1] + SAMPLE, longest, SAMPLE)]
-    return list(zip(cuts, [*cuts[1:], longest]))
+    return list(zip(cuts, [*cuts[1:], longest])) if longest else []
 
 
 def _lanes(sizes: list[int]):
@@ -125,7 +136,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         sample = _sorted_sample(ids[:k0], a)
         n = sample.shape[1]
         if n:  # ids of the sample below this one, and times it is there
-            row = np.arange(k0)[:, None]
+            row = np.arange(k0, dtype=np.int32)[:, None]
             flat = (row * LIMIT + sample).ravel()
             key = (row * LIMIT + part).ravel()
             left = np.searchsorted(flat, key)

@@ -1,14 +1,15 @@
 """Token ids in coded blocks: tokenise whole texts, write them in ascending order of their documents, read them back.
 
 A file is a table of blocks: part and block number them in order, `code` holds a block's ids (see `rangecoder`),
-`ordinals`, `doc_ids` and `counts` say which documents its ids belong to. A document longer than two blocks is cut; any
-other lies in one block.
+`ordinals`, `doc_ids` and `counts` say which documents its ids belong to. Blocks are filled to the same length, so that
+many are coded at once; a document may go on in the next block.
 
 Edge cases: a null or empty text has the end id alone; a null doc_id comes first; rows that share a doc_id follow each
 other in the order of their texts; an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import zlib
@@ -99,7 +100,8 @@ class Encoder:
         for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = np.array(ids, np.uint16)
         if cut:
-            which = np.fromiter((p for _, own in cut for p in own), np.int64, sum(len(own) for _, own in cut))
+            which = np.fromiter(itertools.chain.from_iterable(own for _, own in cut), np.int64,
+                                sum(len(own) for _, own in cut))
             size = self.size[which]
             ends = np.cumsum(size)
             flat = self.flat[np.repeat(self.start[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -129,7 +131,7 @@ BLOCKS_DDL = "part long, block long, code binary, ordinals array<long>, doc_ids
 
 
 class _Packer:
-    """Puts whole documents into blocks, in order."""
+    """Deals the ids of documents, one after the other, into blocks of equal length."""
 
     def __init__(self, block: int):
         self.size, self.full, self.block = block, [], 0
@@ -145,14 +147,14 @@ class _Packer:
             self.new()
 
     def put(self, ordinal: int, key, ids: np.ndarray) -> None:
-        if self.held and self.held + len(ids) > self.size:
-            self.close()
-        cuts = [ids] if len(ids) <= 2 * self.size else [ids[i:i + self.size] for i in range(0, len(ids), self.size)]
-        for part in cuts:
+        at = 0
+        while at < len(ids):
+            part = ids[at:at + self.size - self.held]
             self.ids.append(part)
             self.docs.append((ordinal, key, len(part)))
             self.held += len(part)
-            if self.held >= self.size:
+            at += len(part)
+            if self.held == self.size:
                 self.close()
 
     def take(self) -> pa.RecordBatch:
@@ -235,17 +237,23 @@ def _times(matrix: list[int], vector: int) -> int:
     return total
 
 
+@functools.cache
+def _zeros(power: int) -> list[int]:
+    """The matrix that runs a CRC-32 through 2**power zero bits; that of one bit has the polynomial, a fixed value."""
+    if not power:
+        return [0xEDB88320] + [1 << i for i in range(31)]
+    half = _zeros(power - 1)
+    return [_times(half, x) for x in half]
+
+
 def crc_joined(first: int, second: int, length: int) -> int:
-    """CRC-32 of two byte strings joined, from theirs and the second's length: the first is run through as many zero
-    bytes by squaring the matrix of one zero bit."""
-    matrix = [0xEDB88320] + [1 << i for i in range(31)]  # fixed value: the polynomial
-    for _ in range(2):
-        matrix = [_times(matrix, x) for x in matrix]
+    """CRC-32 of two byte strings joined, from theirs and the second's length."""
+    power = 3
     while length:
-        matrix = [_times(matrix, x) for x in matrix]
         if length & 1:
-            first = _times(matrix, first)
+            first = _times(_zeros(power), first)
         length >>= 1
+        power += 1
     return first ^ second
 
 

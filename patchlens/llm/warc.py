@@ -1,6 +1,6 @@
 """Content-addressed web archive.
 
-Payload bytes are stored once, under their SHA-256; every record's header block is stored apart, byte for byte. The
+Payload bytes are stored once, compressed, under the SHA-256 of what they were; every record's header block is stored apart, byte for byte. The
 original records come back by joining the two. Of records with one payload, that of the smallest page is a response
 and the others revisit it.
 
@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,14 @@ def _payload(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _opened(stored: bytes, address: bytes) -> bytes:
+    """The bytes of a stored payload, verified."""
+    body = zstandard.ZstdDecompressor().decompress(stored)
+    if hashlib.sha256(body).digest() != address:
+        raise ValueError("a stored payload does not have its digest")
+    return body
+
+
 def _digests(pages: DataFrame) -> DataFrame:
     """(page_id, url, address, digest, size): what identifies a payload, without its bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,19 +105,20 @@ def write_archive(pages: DataFrame, path: str, scratch, least_bytes: int = 0) ->
     rows.mapInArrow(run, "header binary, address binary").write.parquet(f"{path}/records")
     keepers = first.select(F.col("keeper").alias("page_id"), "address")
 
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=5)
         for b in batches:
-            data = [_payload(x.as_py()) for x in b.column(0)]
-            if any(hashlib.sha256(x).digest() != a for x, a in zip(data, b.column(1).to_pylist())):
-                raise ValueError("a payload does not have its digest")
-            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), b.column(1)], ["payload", "address"])
+            data = [_payload(x.as_py()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([hashlib.sha256(x).digest() for x in data], pa.binary()),
+                 pa.array([pack.compress(x) for x in data], pa.binary())], ["at", "own", "payload"])
 
     # no id stands for the least one here; the digest tells the pages apart
-    stored = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))).alias("at"), "html").join(
-        keepers.select(F.coalesce("page_id", F.lit(-(1 << 63))).alias("at"), "address"), "at").where(
-        F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)) == F.col("address")).dropDuplicates(["at", "address"])
-    stored.select("html", "address").mapInArrow(
-        bodies, "payload binary, address binary").write.parquet(f"{path}/payloads")
+    own = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))).alias("at"), "html").mapInArrow(
+        packed, "at long, own binary, payload binary")
+    own.join(keepers.select(F.coalesce("page_id", F.lit(-(1 << 63))).alias("at"), "address"), "at").where(
+        "own = address").dropDuplicates(["at", "address"]).select("payload", "address").write.option(
+        "compression", "uncompressed").parquet(f"{path}/payloads")
     scratch.free(seen)
 
 
@@ -124,12 +134,12 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, bodies = [], []
             for head, body, address in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if hashlib.sha256(body).digest() != address:
-                    raise ValueError("a stored payload does not have its digest")
+                body = _opened(body, address)
+                bodies.append(body)
                 out.append(head + (body if parse_header(head)["WARC-Type"] == "response" else b"") + b"\r\n\r\n")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())],
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.binary()), pa.array(out, pa.binary())],
                                              ["header", "payload", "record"])
 
     return records.join(payloads, "address").select("header", "payload", "address").mapInArrow(
@@ -145,8 +155,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             digests, sizes = [], []
             for body, address in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if hashlib.sha256(body).digest() != address:
-                    raise ValueError("a stored payload does not have its digest")
+                body = _opened(body, address)
                 digests.append(sha1_base32(body))
                 sizes.append(len(body))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(digests), pa.array(sizes, pa.int64())],
