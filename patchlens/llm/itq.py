@@ -29,8 +29,8 @@ BLOCK = 512  # vectors of a bucket that meet at once
 def fit_rotation(x: np.ndarray, bits: int = BITS, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection): principal directions, turned until signs and coordinates agree best."""
     mean = x.mean(axis=0)
-    _, _, axes = np.linalg.svd(x - mean, full_matrices=True)
-    axes = axes[:bits].T
+    _, axes = np.linalg.eigh((x - mean).T @ (x - mean))
+    axes = axes[:, ::-1][:, :bits]
     v = (x - mean) @ axes
     turn, _ = np.linalg.qr(np.random.default_rng(7).normal(size=(axes.shape[1],) * 2))
     for _ in range(rounds):
