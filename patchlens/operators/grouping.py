@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchlens.session import settle
+
 SALTS = 32
 
 
@@ -45,6 +47,13 @@ def spread_row_number(df: DataFrame, keys: list[str], bin_: Column, order: list[
             .drop("_bin", "_offset"))
 
 
+def range_bins(df: DataFrame, order: list[Column], name: str = "_range") -> DataFrame:
+    """Rows with the number of their range of `order`, for `spread_row_number`. Ranges are of near
+    equal size whatever the values; the table is written, so that a range stays what it is."""
+    ranged = df.repartitionByRange(*order)
+    return settle(ranged.withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def with_group_count(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     """Group size on every row by count and join, so no group has to sit in one task."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))

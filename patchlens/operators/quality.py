@@ -1,14 +1,14 @@
 """Row filters, label repair and audits of a pair table."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.functions import labels as lx
 from patchlens.functions import text as fx
 from patchlens.functions import vectors as vx
 from patchlens.functions.patterns import found, squeeze
-from patchlens.operators.grouping import first_per_group, with_group_count
+from patchlens.operators.grouping import SALTS, first_per_group, range_bins, with_group_count
 from patchlens.rules import lexicon as L
 
 
@@ -101,8 +101,11 @@ def majority_label(df: DataFrame, code: str, label: str) -> DataFrame:
 def map_back_majority(df: DataFrame, code: str, label: str) -> DataFrame:
     """Every row takes the majority label of its snippet."""
     best = majority_label(df, code, label)
-    return (df.withColumn("code_key", code_digest(code)).join(best, "code_key")
-            .drop("code_key", label).withColumnRenamed("majority", label))
+    # a snippet that is copied everywhere is one key: its rows are dealt over salts, and so is its label
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    salted = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (df.withColumns({"code_key": code_digest(code), "_salt": salt}).join(salted, ["code_key", "_salt"])
+            .drop("code_key", "_salt", label).withColumnRenamed("majority", label))
 
 
 def null_audit(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -148,14 +151,26 @@ def label_conflicts(df: DataFrame, code: str, label: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, column: str) -> DataFrame:
-    """Mean, least, greatest and exact median. Values are counted first, so the median works on
-    distinct values with their counts."""
+    """Mean, least, greatest and exact median. Values are counted first; the median is found by
+    running counts over ranges of the distinct values, of which only their totals meet."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(
         F.count(F.lit(1)).alias("n"))
-    return counts.agg(
+    ranged = range_bins(counts, [F.col("v")])
+    totals = ranged.groupBy(F.col("_range").alias("_r")).agg(F.sum("n").alias("_t"))
+    everything = Window.partitionBy()  # one row a range
+    totals = totals.withColumns({
+        "_before": F.sum("_t").over(everything.orderBy("_r")) - F.col("_t"), "_all": F.sum("_t").over(everything)})
+    inside = F.sum("n").over(Window.partitionBy("_range").orderBy("v")) - F.col("n")
+    placed = ranged.withColumn("_in", inside).join(totals, F.col("_range") == F.col("_r"))
+    at = F.col("_before") + F.col("_in")
+
+    def holds(place):
+        return F.when((at <= place) & (place < at + F.col("n")), F.col("v"))
+
+    middle = F.max(holds(F.floor((F.col("_all") - 1) / 2))) + F.max(holds(F.floor(F.col("_all") / 2)))
+    return placed.agg(
         (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("v").alias("least"), F.max("v").alias("greatest"),
-        F.percentile("v", 0.5, F.col("n")).alias("median"))
+        F.min("v").alias("least"), F.max("v").alias("greatest"), (middle / 2).alias("median"))
 
 
 def audit_pairs(df: DataFrame, before: str = "buggy_code", after: str = "fixed_code",

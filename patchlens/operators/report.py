@@ -37,8 +37,9 @@ def dataset_stats(pairs: DataFrame, bug_type: str = "bug_type", severity: str =
 def value_share(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage per value."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select(column, "n", (F.col("n") * 100.0 / total).alias("pct"))
+    total = df.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(
+        column, "n", (F.col("n") * 100.0 / F.col("_total")).alias("pct"))
 
 
 def top_projects(df: DataFrame, project: str, k: int = 5) -> DataFrame:
@@ -68,16 +69,23 @@ def tier_stats(df: DataFrame, before: str = "buggy_tier", after: str = "fixed_ti
 
 def scan_summary(ledger: DataFrame, keys: list[str], file: str = "file_path",
                  complexity: str = "complexity", depth: str = "max_depth",
-                 slots: Column | None = None, suspicious: str = "suspicious") -> DataFrame:
-    """Per scan: files, methods, clean methods, saved cost, mean complexity, depth, slots."""
+                 slots: Column | None = None, suspicious: str = "suspicious",
+                 files: DataFrame | None = None) -> DataFrame:
+    """Per scan: files, methods, clean methods, saved cost, mean complexity, depth, slots. `files`
+    (keys, file) names all files scanned, also those without a method."""
     clean = F.count_if(~F.col(suspicious))
-    return ledger.groupBy(*keys).agg(
+    found = ledger.groupBy(*keys).agg(
         F.count_distinct(file).alias("files_scanned"),
         F.count(F.lit(1)).alias("methods_analyzed"), clean.alias("clean_methods"),
         F.round(clean * L.COST_PER_CLEAN_METHOD, 3).alias("cost_saved_usd"),
         F.round(F.coalesce(F.avg(complexity), F.lit(0.0)), 2).alias("average_complexity"),
         F.coalesce(F.max(depth), F.lit(0)).alias("max_depth"),
         F.coalesce(F.sum(slots if slots is not None else F.lit(64)), F.lit(0)).alias("vector_slots"))
+    if files is None:
+        return found
+    scanned = files.groupBy(*keys).agg(F.count_distinct(file).alias("_files"))
+    both = scanned.join(found, keys, "left").withColumn("files_scanned", F.col("_files")).drop("_files")
+    return both.na.fill(0).select(*found.columns)
 
 
 REPORT_KEYS = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from patchlens.functions.patterns import bind, squeeze
 from patchlens.functions import text as fx
-from patchlens.operators.grouping import spread_row_number
+from patchlens.operators.grouping import range_bins, spread_row_number
 
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
@@ -86,8 +86,7 @@ def reverse_patch(patch: Column) -> Column:
     return squeeze(F.array_join(plain, "\n"))
 
 
-def unpivot_pairs(pairs: DataFrame, key: str = "pair_id", width: int = 100_000,
-                  **columns: str) -> DataFrame:
+def unpivot_pairs(pairs: DataFrame, key: str = "pair_id", **columns: str) -> DataFrame:
     """Pair row to a buggy and a clean row; blank code is skipped; sample_id runs without gaps."""
     c = {"before": "buggy_code", "after": "fixed_code", "before_vector": "buggy_ast_vector",
          "after_vector": "fixed_ast_vector", **columns}
@@ -101,8 +100,8 @@ def unpivot_pairs(pairs: DataFrame, key: str = "pair_id", width: int = 100_000,
                    sample(0, "clean", c["after"], c["after_vector"]))
     rows = (pairs.withColumn("_s", F.explode(both)).where("_s.code <> ''")
             .drop(*c.values()).select("*", "_s.*").drop("_s"))
-    return spread_row_number(rows, [], F.floor(F.col(key) / width),
-                             [F.col(key), F.col("is_bug").desc()], "sample_id")
+    order = [F.col(key), F.col("is_bug").desc()]
+    return spread_row_number(range_bins(rows, order), [], F.col("_range"), order, "sample_id").drop("_range")
 
 
 def swap_pairs(pairs: DataFrame, before: str, after: str) -> DataFrame:

@@ -1,8 +1,7 @@
 """Exact nearest neighbours by blocked matrix products, and the retrieval gate.
 
-Small reference sets (row bound checked) travel to the tasks that read the targets: no shuffle.
-Larger ones are cut into blocks and met with target buckets in a grid of cells, all of bounded
-size; each cell keeps only its best k per target, and the winners are merged.
+References are cut into blocks and met with target buckets in a grid of cells, all of bounded size;
+each cell keeps only its best k per target, and the winners are merged.
 """
 from __future__ import annotations
 
@@ -18,12 +17,11 @@ from patchlens.functions import vectors as vx
 from patchlens.operators.grouping import top_per_group, with_group_count
 from patchlens.operators.tfidf import TermWeights, word_grams
 from patchlens.rules import lexicon as L
+from patchlens.session import settle
 
-BROADCAST_ROWS = 20_000
-BLOCK_ROWS = 4_096
+BLOCK_BYTES = 64 << 20  # of a cell's dense references, and of its dense targets
 CHUNK_ROWS = 1_024
 PLACES = 9  # scores are compared at this many places, so equal rows tie on every machine
-RESULT = "target_id long, reference_id long, score double"
 
 
 def _matrix(batch: pa.RecordBatch | pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,56 +73,35 @@ def _sorted_refs(table, dim):
 
 def nearest(targets: DataFrame, references: DataFrame, dim: int, k: int = 1,
             threshold: float | None = None, carry: tuple[str, ...] = (),
-            broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+            block_rows: int | None = None) -> DataFrame:
     """Exact top k references by dot product. Both sides have columns id, idx, val.
 
-    `carry` names target columns to keep in the result. With one reference per target they pass
-    through the task that scores their row; otherwise they are joined back.
+    One plan at any size: both sides are written once, dealt into blocks of bounded bytes and met
+    cell by cell; each cell keeps its best k per target. Every target row has its own result, also
+    among equal ids. With one reference per target and no threshold, all targets stay: without any
+    reference their score is 0. `carry` names target columns to keep in the result.
     """
-    spark = targets.sparkSession
-    whole = targets.select("id", "idx", "val", *carry)
-    targets, references = targets.select("id", "idx", "val"), references.select("id", "idx", "val")
-    through = carry if k == 1 and threshold is None else ()
-    types = ", ".join([RESULT, *(f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in through)])
-    held = references.limit(broadcast_rows + 1).toArrow()
-    if held.num_rows <= broadcast_rows:
-        if held.num_rows == 0:
-            return spark.createDataFrame([], RESULT).join(
-                whole.select(F.col("id").alias("target_id"), *carry), "target_id")
-        shared = spark.sparkContext.broadcast(_sorted_refs(held, dim))
-
-        def scan(batches):
-            ref_ids, refs = shared.value
-            for batch in batches:
-                ids, dense = _matrix(batch, dim)
-                best = _best(ids, dense, ref_ids, refs, k, threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [*best.columns, *(batch.column(c) for c in through)],
-                    names=[*best.schema.names, *through])
-
-        found = (whole if through else targets).mapInArrow(scan, types)
-        if k == 1:
-            return found if through == carry else _carried(found, whole, carry)
-    else:
-        found = _grid(targets, references, dim, k, threshold, block_rows)
+    key = F.xxhash64("id", "idx", "val")
+    whole = settle(targets.select("id", "idx", "val", *carry).withColumn("_row", key), "targets")
+    left = whole.select("id", "_row", "idx", "val").dropDuplicates(["id", "_row"])
+    right = settle(references.select("id", "idx", "val"), "references")
+    rows = block_rows or max(64, BLOCK_BYTES // (8 * dim))
+    found = _grid(left, right, dim, k, threshold, rows)
+    own = whole.select(F.col("id").alias("target_id"), "_row", *carry)
     if k == 1:
         best = F.max(F.struct("score", (-F.col("reference_id")).alias("key"))).alias("b")
-        merged = found.groupBy("target_id").agg(best).select(
-            "target_id", (-F.col("b.key")).alias("reference_id"), F.col("b.score").alias("score"))
-        return _carried(merged, whole, carry)
+        merged = found.groupBy("target_id", "_row").agg(best)
+        out = own.join(merged, ["target_id", "_row"], "inner" if threshold is not None else "left")
+        return out.select("target_id", (-F.col("b.key")).alias("reference_id"),
+                          F.coalesce("b.score", F.lit(0.0)).alias("score"), *carry)
     order = [F.col("score").desc(), F.col("reference_id")]
-    return _carried(top_per_group(found, ["target_id"], order, k, ["reference_id"]), whole, carry)
-
-
-def _carried(found: DataFrame, whole: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    if not carry:
-        return found
-    return found.join(whole.select(F.col("id").alias("target_id"), *carry), "target_id")
+    top = top_per_group(found, ["target_id", "_row"], order, k, ["reference_id"])
+    return top.join(own, ["target_id", "_row"]).drop("_row")
 
 
 def _grid(targets, references, dim, k, threshold, block_rows) -> DataFrame:
     blocks = max(1, math.ceil(references.count() / block_rows))
-    buckets = max(1, math.ceil(targets.count() / block_rows))
+    buckets = max(1, math.ceil(targets.count() / block_rows), _tasks(targets.sparkSession) // blocks)
 
     def place(df, own, n_own, other, n_other):
         return (df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int"))
@@ -135,12 +112,19 @@ def _grid(targets, references, dim, k, threshold, block_rows) -> DataFrame:
 
     def cell(t: pa.Table, r: pa.Table) -> pa.Table:
         if t.num_rows == 0 or r.num_rows == 0:
-            return pa.Table.from_batches([_best(np.zeros(0, np.int64), np.zeros((0, dim)),
-                                                np.zeros(0, np.int64), np.zeros((0, dim)), k, None)])
+            at, ref, score = (pa.array([], x) for x in (pa.int64(), pa.int64(), pa.float64()))
+            return pa.table([at, at, ref, score], names=["target_id", "_row", "reference_id", "score"])
         ids, dense = _matrix(t, dim)
-        return pa.Table.from_batches([_best(ids, dense, *_sorted_refs(r, dim), k, threshold)])
+        best = _best(np.arange(len(ids)), dense, *_sorted_refs(r, dim), k, threshold)
+        at = np.asarray(best.column("target_id"))
+        return pa.table([ids[at], np.asarray(t.column("_row"))[at], best.column("reference_id"), best.column("score")],
+                        names=["target_id", "_row", "reference_id", "score"])
+
+    return left.cogroup(right).applyInArrow(cell, "target_id long, _row long, reference_id long, score double")
+
 
-    return left.cogroup(right).applyInArrow(cell, RESULT)
+def _tasks(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def dense_as_sparse(df: DataFrame, id_: str, vector: Column, dim: int) -> DataFrame:

@@ -1,10 +1,10 @@
 """Splits, folds, label codes and scaling. Everything is exact and no class sits in one task."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.operators.grouping import hash_bin, id_hash, spread_row_number, with_group_count
+from patchlens.operators.grouping import hash_bin, id_hash, range_bins, spread_row_number, with_group_count
 
 
 def _ranked_by_hash(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
@@ -33,23 +33,21 @@ def group_split(df: DataFrame, group: Column, test_percent: int = 20, seed: int
     return df.withColumn("is_test", F.pmod(id_hash(group, seed), F.lit(100)) < test_percent)
 
 
-def group_kfold(df: DataFrame, group: str, folds: int = 5, shards: int = 256) -> DataFrame:
-    """Folds of whole groups with near-equal row counts: groups are dealt out by size, largest
-    first, within hash shards of the group table."""
+def group_kfold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """Folds of whole groups: groups are dealt out in turn by size, largest first, so the row counts
+    of two folds differ by no more than the largest group."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    shard = F.pmod(id_hash(F.col(group)), F.lit(shards))
-    w = Window.partitionBy("_shard").orderBy(F.col("_n").desc(), group)
-    dealt = (sizes.withColumn("_shard", shard)
-             .withColumn("fold", F.pmod(F.row_number().over(w) - 1 + F.col("_shard"), F.lit(folds))
-                         .cast("int")).select(group, "fold"))
+    order = [F.col("_n").desc(), F.col(group)]
+    ranked = spread_row_number(range_bins(sizes, order), [], F.col("_range"), order, "_rn")
+    dealt = ranked.select(group, F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int").alias("fold"))
     return df.join(dealt, group)
 
 
 def encode_label(df: DataFrame, label: str, name: str = "label_index") -> DataFrame:
-    """Classes in sorted order to 0, 1, 2, ... The class table is small."""
-    classes = df.select(label).distinct().withColumn(
-        name, F.dense_rank().over(Window.orderBy(label)) - 1)
-    return df.join(classes, label)
+    """Classes in sorted order to 0, 1, 2, ... Classes are numbered range by range."""
+    classes = range_bins(df.select(label).distinct(), [F.col(label)])
+    coded = spread_row_number(classes, [], F.col("_range"), [F.col(label)], "_n")
+    return df.join(coded.select(label, (F.col("_n") - 1).alias(name)), label)
 
 
 def fit_scale(df: DataFrame, vector: str, dim: int) -> tuple[list[float], list[float]]:

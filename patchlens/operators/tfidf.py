@@ -12,7 +12,6 @@ from patchlens.functions.vectors import l2_normalise
 from patchlens.rules import lexicon as L
 
 ROW_MARK = "\x00"  # never a term; one per document, so its document frequency is n
-MAX_VOCABULARY = 20_000
 
 
 def tokens(text: Column, pattern: str = L.TOKEN_PATTERN) -> Column:
@@ -61,7 +60,8 @@ def tfidf_fit(grams: DataFrame, column: str = "grams", max_terms: int | None = L
 
     Each document sorts its own grams and marks the first of every run, so term count and
     document frequency come from one aggregate on the term: only (term, counts) is shuffled, and
-    frequent terms are combined before it.
+    frequent terms are combined before it. Without `max_terms` the vocabulary may be of any size and
+    `idx` is null.
     """
     def runs(t):
         return F.transform(t["g"], lambda g, i: F.struct(
@@ -76,9 +76,13 @@ def tfidf_fit(grams: DataFrame, column: str = "grams", max_terms: int | None = L
     kept = counted.where(is_mark | (F.col("df") >= min_docs))
     if max_terms is not None:
         kept = kept.orderBy(is_mark.desc(), F.col("tf").desc(), "term").limit(max_terms + 1)
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    if max_terms is None:  # of any size: the number of documents comes as one row, terms have no number
+        docs = grams.agg(F.count(F.lit(1)).alias("n"))
+        return kept.where(~is_mark).crossJoin(F.broadcast(docs)).withColumn("idf", idf).select(
+            F.lit(None).cast("int").alias("idx"), "term", "tf", "df", "n", "idf")
     # the vocabulary is small from here on: bounded by max_terms
     n = F.max(F.when(is_mark, F.col("df"))).over(Window.partitionBy())
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     return (kept.withColumn("n", n).where(~is_mark)
             .withColumn("idf", idf)
             .withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
@@ -90,7 +94,7 @@ def tfidf_transform(grams: DataFrame, vocabulary: DataFrame, key: str, column: s
     """Weights in long form (key, term, weight), unit length per key. Rows per key are bounded by
     the vocabulary."""
     terms = (grams.select(key, F.explode(column).alias("term"))
-             .join(F.broadcast(vocabulary.select("term", "idf")), "term")
+             .join(vocabulary.select("term", "idf"), "term")
              .groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf")))
     tf = (1 + F.log("tf")) if sublinear else F.col("tf")
     weighted = terms.select(key, "term", (tf * F.col("idf")).alias("w"))
@@ -100,7 +104,7 @@ def tfidf_transform(grams: DataFrame, vocabulary: DataFrame, key: str, column: s
 
 @dataclass
 class TermWeights:
-    """Fitted vocabulary held on the driver: bounded by its term limit, checked on fit."""
+    """Fitted vocabulary held on the driver: at most `max_terms` terms."""
 
     terms: list[str]
     idf: list[float]
@@ -109,8 +113,6 @@ class TermWeights:
     @classmethod
     def fit(cls, grams: DataFrame, column: str = "grams", max_terms: int = L.RETRIEVAL_TERMS,
             min_docs: int = 1, sublinear: bool = False) -> "TermWeights":
-        if max_terms > MAX_VOCABULARY:
-            raise ValueError(f"vocabulary limit {max_terms} is over {MAX_VOCABULARY}")
         rows = tfidf_fit(grams, column, max_terms, min_docs).orderBy("idx").collect()
         return cls([r["term"] for r in rows], [r["idf"] for r in rows], sublinear)
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.rules import lexicon as L
-from patchlens.session import spread
 
 # word -> code token, applied in this order
 CODE_WORDS = [
@@ -80,7 +79,7 @@ class Tables:
 
     def texts(self) -> DataFrame:
         """Documents over all cores."""
-        return spread(self.documents, "doc_id")
+        return self.documents.repartition("doc_id")
 
     def snippets(self) -> DataFrame:
         d = self.texts()
@@ -93,12 +92,12 @@ class Tables:
         answer = c.where("role = 'assistant'").select(
             "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("_a"))
         p = F.col("pair_id")
-        both = spread(user.join(answer, ["conv_id", "turn"]).withColumn(
-            "pair_id", F.col("conv_id") * 1000 + F.col("turn")), "pair_id")
+        both = user.join(answer, ["conv_id", "turn"]).withColumn(
+            "pair_id", F.col("conv_id") * 1000 + F.col("turn")).repartition("pair_id")
         number = F.col("conv_id") + F.col("turn")
         return both.select(
             "pair_id", "conv_id", "turn",
-            F.when(p % 19 == 0, F.lit(None)).otherwise(swap(F.col("_b"), CODE_WORDS)).alias("before"),
+            F.when(p % 19 == 0, F.lit("")).otherwise(swap(F.col("_b"), CODE_WORDS)).alias("before"),
             swap(F.when(p % 11 == 0, F.col("_b")).otherwise(F.col("_a")), CODE_WORDS).alias("after"),
             F.col("_a").alias("message"),
             F.concat(pick(OWNERS, F.col("conv_id")), F.lit("/repo"),
@@ -111,7 +110,7 @@ class Tables:
             pick(L.SEVERITIES, F.col("conv_id")).alias("severity"))
 
     def paths(self) -> DataFrame:
-        return spread(self.pages, "page_id").select("page_id", swap(F.col("url"), PATH_WORDS).alias("path"), "html")
+        return self.pages.repartition("page_id").select("page_id", swap(F.col("url"), PATH_WORDS).alias("path"), "html")
 
     def steps(self) -> DataFrame:
         """Progress entries: user as scan, props number as step."""
@@ -158,7 +157,7 @@ _N = "(a.conv_id + a.turn)"
 _P = "(a.conv_id * 1000 + a.turn)"
 PAIRS = _cte("pairs", f"""
 SELECT {_P} AS pair_id, a.conv_id, a.turn,
-  CASE WHEN {_P} % 19 = 0 THEN NULL ELSE {sql_swap('a.text', CODE_WORDS)} END AS before,
+  CASE WHEN {_P} % 19 = 0 THEN '' ELSE {sql_swap('a.text', CODE_WORDS)} END AS before,
   CASE WHEN {_P} % 11 = 0 THEN {sql_swap('a.text', CODE_WORDS)}
        ELSE {sql_swap('b.text', CODE_WORDS)} END AS after,
   b.text AS message,

@@ -268,8 +268,9 @@ class Scan:
     files: DataFrame
     summary: DataFrame
 
-    def documents(self, rows_per_document: int = 10_000) -> DataFrame:
-        return sinks.scan_documents(self.ledger, "scan_id", "method_id", rows_per_document)
+    def documents(self) -> DataFrame:
+        return sinks.nested_scan_documents(self.files, self.ledger, self.findings, self.summary,
+                                           "scan_id", "file_path", "method_id")
 
 
 def scan_files(files: DataFrame, references: DataFrame, threshold: float = L.GATE_THRESHOLD,
@@ -290,7 +291,8 @@ def scan_files(files: DataFrame, references: DataFrame, threshold: float = L.GAT
                        carry=kept)
     shape = F.col("shape")
     scored = (best.withColumnsRenamed({"target_id": "method_id", "score": "raw"})
-              .withColumn("score", fx.calibrated_score(F.col("raw"), fx.defect_score(F.col("code"))))
+              .withColumn("score", F.when(F.col("reference_id").isNull(), 0.0).otherwise(
+                  fx.calibrated_score(F.col("raw"), fx.defect_score(F.col("code")))))
               .withColumn("shape", vx.complexity_proxy(F.col("code"))))
     twins = references.select(F.col("pair_id").alias("reference_id"), "commit_id",
                               F.col("bug_type").alias("twin_type"),
@@ -316,9 +318,10 @@ def scan_files(files: DataFrame, references: DataFrame, threshold: float = L.GAT
         F.bround("verify_score", 4).alias("confidence_score"), "content_key")
     hits = findings.groupBy("scan_id", "file_path").agg(F.count(F.lit(1)).alias("findings"))
     per_file = methods.groupBy("scan_id", "file_path").agg(F.count(F.lit(1)).alias("method_count"))
-    tree = per_file.join(hits, ["scan_id", "file_path"], "left").withColumn(
-        "findings", F.coalesce("findings", F.lit(0))).withColumn("is_buggy", F.col("findings") > 0)
-    return Scan(ledger, findings, tree, report.scan_summary(ledger, ["scan_id"]))
+    named = sources.select("scan_id", F.col("path").alias("file_path")).distinct()  # blank files too
+    tree = (named.join(per_file, ["scan_id", "file_path"], "left").join(hits, ["scan_id", "file_path"], "left")
+            .na.fill(0, ["method_count", "findings"]).withColumn("is_buggy", F.col("findings") > 0))
+    return Scan(ledger, findings, tree, report.scan_summary(ledger, ["scan_id"], files=named))
 
 
 def issue_report_job(files: DataFrame, *feeds: DataFrame) -> tuple[DataFrame, DataFrame]:

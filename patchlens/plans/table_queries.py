@@ -269,6 +269,14 @@ def _(t):
                             F.round("score", 5).alias("score"), "verdict", "cost_saved")
 
 
+@query("gate_without_references", f"""WITH {SNIPPETS} SELECT doc_id, NULL::BIGINT AS matched_id, 0::DOUBLE AS score,
+'CLEAN (<0.5)' AS verdict FROM snippets""")
+def _(t):
+    """No known pair at all: every snippet stays, without a twin."""
+    scored = score_methods(t.snippets(), _refs(t).where(F.col("pair_id") < 0), "doc_id", "pair_id", "code", "ref_code")
+    return scored.select("doc_id", F.col("reference_id").alias("matched_id"), "score", "verdict")
+
+
 @query("gate_by_source", f"""WITH {HYBRID_CTE} SELECT source, score >= 0.5 AS suspicious,
 count(*) AS methods, round(sum(CASE WHEN score >= 0.5 THEN 0.0 ELSE 0.003 END), 6)::DOUBLE AS saved
 FROM scored GROUP BY 1, 2""")
@@ -602,11 +610,15 @@ def _(t):
                     F.size("embedding").cast(LONG).alias("width"))
 
 
-@query("scan_documents", f"""WITH {LEDGER} SELECT scan_id, count(*) AS rows_total FROM ledger GROUP BY 1""")
+@query("scan_documents", f"""WITH {LEDGER} SELECT scan_id, file_path,
+sum(count(*)) OVER (PARTITION BY scan_id)::BIGINT AS rows_total,
+string_agg(method_id || ':' || complexity || ':' || suspicious, ',' ORDER BY method_id) AS items
+FROM ledger GROUP BY scan_id, file_path""")
 def _(t):
-    docs = sinks.scan_documents(t.ledger(), "scan_id", "method_id", 50)
-    back = docs.withColumn("n", F.json_array_length("document"))
-    return back.groupBy("scan_id").agg(F.sum("n").cast(LONG).alias("rows_total"))
+    docs = sinks.scan_documents(t.ledger(), "scan_id", "file_path", "method_id")
+    back = F.from_json("document", "array<struct<method_id:long,complexity:int,suspicious:boolean>>")
+    items = F.transform(back, lambda x: F.concat_ws(":", x["method_id"], x["complexity"], x["suspicious"]))
+    return docs.select("scan_id", "file_path", "rows_total", F.array_join(items, ",").alias("items"))
 
 
 # --- reports ------------------------------------------------------------------------------------------------
@@ -930,11 +942,17 @@ def _(t):
     return splits.group_split(t.events, F.col("user_id")).select("event_id", "is_test")
 
 
-@query("group_kfold", f"""WITH g AS (SELECT user_id, count(*) AS n, {hash_sql('user_id')} % 256 AS shard
-FROM events GROUP BY 1), f AS (SELECT user_id, (row_number() OVER (PARTITION BY shard ORDER BY n DESC, user_id)
-- 1 + shard) % 5 AS fold FROM g) SELECT event_id, fold FROM events JOIN f USING (user_id)""")
+@query("group_kfold", """SELECT count(*) AS rows_kept, 5::BIGINT AS folds, 0::BIGINT AS groups_split,
+true AS balanced FROM events""")
 def _(t):
-    return splits.group_kfold(t.events, "user_id").select("event_id", F.col("fold").cast(LONG).alias("fold"))
+    """What folds must be, whatever the formula: all rows, no group in two, even to one largest group."""
+    dealt = splits.group_kfold(t.events, "user_id").groupBy("user_id", "fold").agg(F.count(F.lit(1)).alias("n"))
+    split = dealt.groupBy("user_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).agg(
+        F.count_if(F.col("k") > 1).alias("groups_split"), F.max("n").alias("largest"))
+    sizes = dealt.groupBy("fold").agg(F.sum("n").alias("n")).agg(
+        F.sum("n").alias("rows_kept"), F.count(F.lit(1)).alias("folds"), (F.max("n") - F.min("n")).alias("gap"))
+    return sizes.crossJoin(split).select("rows_kept", "folds", "groups_split",
+                                         (F.col("gap") <= F.col("largest")).alias("balanced"))
 
 
 @query("encode_label", """SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS label_index FROM part""")

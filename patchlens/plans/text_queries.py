@@ -16,7 +16,6 @@ from patchlens.plans.bindings import (
 from patchlens.plans.registry import query
 from patchlens.rules import ladders as R
 from patchlens.rules import lexicon as L
-from patchlens.session import spread
 from patchlens.rules.categories import CATEGORY_RULES, FIX_SIGNALS, HEURISTIC_CAPS, HEURISTIC_RULES
 
 LONG = "long"
@@ -618,7 +617,7 @@ is_bug::BIGINT AS is_bug, CASE WHEN is_bug = 1 THEN 'buggy' ELSE 'clean' END AS
 FROM both_sides WHERE code <> ''""")
 def _(t):
     p = t.pairs().select("pair_id", "before", "after", F.lit("[]").alias("v1"), F.lit("[]").alias("v2"))
-    return reshape.unpivot_pairs(p, width=5000, before="before", after="after", before_vector="v1",
+    return reshape.unpivot_pairs(p, before="before", after="after", before_vector="v1",
                                  after_vector="v2").select(
         F.col("sample_id").cast(LONG), "pair_id", F.col("is_bug").cast(LONG), "label_name", "code")
 
@@ -672,7 +671,7 @@ unnest([substring(w, i, n) for i in range(1, greatest(length(w) - n + 2, 1))]) A
 FROM p, (VALUES (2), (3), (4)) v(n))
 SELECT gram, count(*) AS n, count(DISTINCT id) AS docs FROM g GROUP BY gram HAVING docs >= 2""")
 def _(t):
-    g = spread(t.conversations, "conv_id").select(tfidf.char_grams(F.col("text")).alias("grams"))
+    g = t.conversations.repartition("conv_id").select(tfidf.char_grams(F.col("text")).alias("grams"))
     return tfidf.tfidf_fit(g, max_terms=None, min_docs=2).select(
         F.col("term").alias("gram"), F.col("tf").alias("n"), F.col("df").alias("docs"))
 

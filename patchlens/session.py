@@ -49,17 +49,3 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give small inputs to all cores before costly text work. Inputs large enough to fill every
-    core with full splits stay as they are, so big tables are never shuffled here."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    # sizes of the tables read; an estimate for a join would be the product of its sides
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    if sum(sizes) >= cores * split:
-        return df
-    return df.repartition(cores, key)

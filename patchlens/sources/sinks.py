@@ -83,15 +83,28 @@ def write_metrics(results: DataFrame, path: str) -> None:
     tall_metrics(results).write.mode("overwrite").json(path)
 
 
-def scan_documents(ledger: DataFrame, scan: str, item: str, rows_per_document: int = 10_000
-                   ) -> DataFrame:
-    """One JSON document per scan. A scan of more rows than a document holds is cut into numbered
-    parts by a hash of the item, so no scan has to fit one task."""
-    counts = ledger.groupBy(scan).agg(F.count(F.lit(1)).alias("rows_total"))
-    parts = F.ceil(F.col("rows_total") / rows_per_document)
-    body = [c for c in ledger.columns if c != scan]
-    placed = ledger.join(counts, scan).withColumn("part", F.pmod(F.xxhash64(item), parts))
-    return placed.groupBy(scan, "part").agg(
-        F.max("rows_total").alias("rows_total"),
-        F.to_json(F.sort_array(F.collect_list(F.struct(item, *[c for c in body if c != item]))))
-        .alias("document"))
+def scan_documents(rows: DataFrame, scan: str, part: str, item: str) -> DataFrame:
+    """One JSON document per scan and part (its file), with the scan's number of rows, so no scan has
+    to fit one task."""
+    counts = rows.groupBy(scan).agg(F.count(F.lit(1)).alias("rows_total"))
+    body = [c for c in rows.columns if c not in (scan, part, item)]
+    documents = rows.groupBy(scan, part).agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct(item, *body)))).alias("document"))
+    return documents.join(counts, scan)
+
+
+def nested_scan_documents(files: DataFrame, ledger: DataFrame, findings: DataFrame, summary: DataFrame,
+                          scan: str, file: str, item: str) -> DataFrame:
+    """One JSON document per scan and file, as a document store takes it: the file with its ledger and
+    its findings, under the totals of the scan."""
+    def nested(rows: DataFrame, name: str) -> DataFrame:
+        body = [c for c in rows.columns if c not in (scan, file, item)]
+        return rows.groupBy(scan, file).agg(
+            F.sort_array(F.collect_list(F.struct(item, *body))).alias(name))
+
+    totals = summary.select(scan, F.struct(*[c for c in summary.columns if c != scan]).alias("totals"))
+    keys = [scan, file]
+    whole = (files.join(nested(ledger, "ledger"), keys, "left").join(nested(findings, "findings_list"), keys, "left")
+             .join(totals, scan, "left"))
+    body = [c for c in whole.columns if c != scan]
+    return whole.select(scan, file, F.to_json(F.struct(*body)).alias("document"))

@@ -104,7 +104,8 @@ def test_metrics(spark, folder_):
 
 def test_scan_documents_split_hot_scans(spark):
     d = spark.range(95).select(F.when(F.col("id") < 90, 1).otherwise(2).alias("scan_id"), "id")
-    docs = sinks.scan_documents(d, "scan_id", "id", 20).collect()
+    d = d.withColumn("file", F.col("id") % 5)
+    docs = sinks.scan_documents(d, "scan_id", "file", "id").collect()
     ids = [x["id"] for r in docs for x in json.loads(r["document"])]
     assert sorted(ids) == list(range(95)) and len([r for r in docs if r["scan_id"] == 1]) == 5
     assert {r["rows_total"] for r in docs if r["scan_id"] == 2} == {5}

@@ -29,7 +29,7 @@ def test_char_grams_short_words(spark):
 
 
 @pytest.mark.parametrize("k", [1, 3])
-def test_nearest_same_by_broadcast_and_grid_and_numpy(spark, k):
+def test_nearest_same_in_blocks_and_by_numpy(spark, k):
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(70, 8)), rng.normal(size=(45, 8))
     b[7] = b[3]  # a tie: the smaller id must win
@@ -38,7 +38,7 @@ def test_nearest_same_by_broadcast_and_grid_and_numpy(spark, k):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     s = np.round(unit(a) @ unit(b).T, 9)
     want = {(i, j) for i in range(70) for j in sorted(range(45), key=lambda j: (-s[i, j], j))[:k]}
-    for sizes in ({}, {"broadcast_rows": 5, "block_rows": 10}):
+    for sizes in ({}, {"block_rows": 10}):
         got = retrieval.vector_topk(left, right, "id", "v", 8, k, **sizes).collect()
         assert {(r["target_id"], r["reference_id"]) for r in got} == want
         assert len(got) == 70 * k
@@ -48,15 +48,17 @@ def test_hybrid_top1_finds_itself(spark):
     rows = [(1, "for (let i = 0; i <= a.length; i++) {}"), (2, "async function f() { await g(); }"), (3, "const x = 1;")]
     t = spark.createDataFrame(rows, "id long, code string")
     r = t.withColumnsRenamed({"id": "rid", "code": "ref"})
-    for sizes in ({}, {"broadcast_rows": 1, "block_rows": 2}):
+    for sizes in ({}, {"block_rows": 2}):
         got = {x["target_id"]: (x["reference_id"], x["score"])
                for x in retrieval.hybrid_top1(t, r, "id", "rid", "code", "ref", **sizes).collect()}
         assert got == {i: (i, pytest.approx(1.0)) for i, _ in rows}
-    for sizes in ({}, {"broadcast_rows": 1, "block_rows": 2}):
+    for sizes in ({}, {"block_rows": 2}):
         kept = retrieval.hybrid_top1(t.withColumn("n", F.length("code")), r, "id", "rid", "code", "ref", carry=("n",), **sizes)
         assert {x["target_id"]: x["n"] for x in kept.collect()} == {i: len(c) for i, c in rows}
-    empty = retrieval.hybrid_top1(t, r.where("rid < 0"), "id", "rid", "code", "ref").count()
-    assert empty == 0
+    twice = retrieval.hybrid_top1(t.union(t), r, "id", "rid", "code", "ref").collect()
+    assert sorted((x["target_id"], x["reference_id"]) for x in twice) == sorted((i, i) for i, _ in rows + rows)
+    empty = retrieval.hybrid_top1(t, r.where("rid < 0"), "id", "rid", "code", "ref").collect()
+    assert sorted((x["target_id"], x["reference_id"], x["score"]) for x in empty) == [(i, None, 0.0) for i, _ in rows]
 
 
 def test_gate_is_monotone_in_the_threshold(spark):
@@ -79,7 +81,7 @@ def test_hunk_pairs(spark):
 def test_unpivot_numbers_without_gaps(spark):
     p = spark.createDataFrame([(5, "a", ""), (1, "b", "c"), (300000, None, "d")], "pair_id long, x string, y string")
     p = p.withColumns({"v": F.lit("1"), "w": F.lit("2")})
-    rows = reshape.unpivot_pairs(p, width=10, before="x", after="y", before_vector="v", after_vector="w")
+    rows = reshape.unpivot_pairs(p, before="x", after="y", before_vector="v", after_vector="w")
     got = [(r["sample_id"], r["pair_id"], r["is_bug"]) for r in rows.orderBy("sample_id").collect()]
     assert got == [(1, 1, 1), (2, 1, 0), (3, 5, 1), (4, 300000, 0)]
 
@@ -160,6 +162,8 @@ def test_splits_keep_shares_and_groups(spark):
     assert all(abs(r["p"] - 0.2) < 0.01 for r in s.collect())
     for out, c in ((splits.group_split(d, F.col("g")), "is_test"), (splits.group_kfold(d, "g"), "fold")):
         assert out.groupBy("g").agg(F.count_distinct(c).alias("n")).agg(F.max("n")).first()[0] == 1
+    sizes = d.withColumn("g", F.floor(F.sqrt("id"))).transform(lambda x: splits.group_kfold(x, "g")).groupBy("fold").count()
+    assert max(r["count"] for r in sizes.collect()) - min(r["count"] for r in sizes.collect()) <= 63
     f = splits.stratified_kfold(d, "y", "id").groupBy("y", "fold").count().toPandas()
     assert f.groupby("y")["count"].agg(lambda x: x.max() - x.min()).max() <= 1
 
