@@ -1,6 +1,7 @@
 """What the operators share: reading tables, the shared folder, settled tables, connected components."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,10 +47,14 @@ class Scratch:
         return out
 
     def free(self, *tables: DataFrame) -> None:
+        """Delete tables, and let Spark's cleaner drop the shuffle files of plans that are over: it does so once
+        the driver has collected its garbage."""
         for t in tables:
             kept = self.paths.pop(id(t), None)
             if kept:
                 remove(self.spark, kept[1])
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

@@ -23,16 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchlens.llm.common import Scratch, components
 from patchlens.llm.words import PLACE, U, mix, slices
 
-#: A token is frequent if more classes than this hold it in their first prefix, or more than one in MOST_FREQUENT rows
-#: do; so at most MOST_FREQUENT tokens are sent to the tasks.
-FREQUENT = 16
-MOST_FREQUENT = 1 << 19
+#: A token is frequent if more classes than this hold it in their first prefix. At most MOST_FREQUENT tokens are sent to
+#: the tasks: where there are more, the number of classes that makes a token frequent is raised until there are not.
+FREQUENT = 2
+MOST_FREQUENT = 1 << 20
 LONGEST = 8  # tokens that a pair may have to share
 SMALL = 16  # documents of a bucket in which all pairs are candidates
 LEVELS = 4  # of buckets; in those of the last all pairs are candidates
@@ -69,7 +69,7 @@ def _set_key(own: np.ndarray) -> bytes:
         return np.array([np.sum(mix(own), dtype=U), np.bitwise_xor.reduce(mix(own * PLACE[5] + U(1)), initial=U(0))]).tobytes()
 
 
-def _frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(first: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """(sorted tokens, counts) of the frequent tokens of the classes' first prefixes."""
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,17 +78,24 @@ def _frequent(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 token, times = np.unique(flat[i:i + (1 << 20)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(times)], ["token", "times"])
 
-    counts = first.select("prefix").mapInArrow(explode, "token long, times long").groupBy("token").agg(
-        F.sum("times").alias("times")).where(F.col("times") > FREQUENT)
-    total = first.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    rows = counts.where(F.col("times") > total // 8 // MOST_FREQUENT).toArrow()
+    counts = scratch.settle(first.select("prefix").mapInArrow(explode, "token long, times long").groupBy("token").agg(
+        F.sum("times").alias("times")).where(F.col("times") > FREQUENT), "counts")
+    # tokens by their count: a row for each count there is, of which there are no more than its square root allows
+    above, least = 0, FREQUENT
+    for times, n in counts.groupBy("times").count().orderBy(F.col("times").desc()).toLocalIterator():
+        above += n
+        if above > MOST_FREQUENT:
+            least = times
+            break
+    rows = counts.where(F.col("times") > least).toArrow()
+    scratch.free(counts)
     token, times = np.asarray(rows.column("token"), np.int64).view(U), np.asarray(rows.column("times"), np.int64)
     order = np.argsort(token)
     return token[order], times[order]
 
 
-def adapted_prefix(own: np.ndarray, frequent: np.ndarray, times: np.ndarray, t: int) -> tuple[int, np.ndarray]:
-    """(tokens to share, prefix) of a sorted set, in the order of all tokens."""
+def adapted_prefix(own: np.ndarray, frequent: np.ndarray, times: np.ndarray, t: int) -> tuple[int, int, np.ndarray]:
+    """(tokens to share, rare tokens of the prefix, prefix) of a sorted set, in the order of all tokens."""
     n = len(own)
     cost = np.zeros(n, np.int64)
     if len(frequent):
@@ -96,13 +103,14 @@ def adapted_prefix(own: np.ndarray, frequent: np.ndarray, times: np.ndarray, t:
         cost = np.where(frequent[at] == own, times[at], 0)
     p = base_prefix(n, t)
     if not cost[:p].any():
-        return 1, own[:p]
+        return 1, p, own[:p]
     order = np.argsort(cost, kind="stable")
     total = np.cumsum(cost[order])
     ways = np.arange(1, min(LONGEST, n - p + 1) + 1)
     scanned = total[p + ways - 2]
     ell = int(ways[np.argmin(scanned + VERIFY * scanned / ways)])
-    return ell, own[order[:p + ell - 1]]
+    chosen = order[:p + ell - 1]
+    return ell, int((cost[chosen] == 0).sum()), own[chosen]
 
 
 def _bits_of(ids: DataFrame) -> np.ndarray:
@@ -177,38 +185,45 @@ def _verify(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatc
             out = []
 
 
-def _candidates(rows: DataFrame, t: int, last: bool) -> DataFrame:
-    """(a, b, star) of the pairs to verify of buckets (token, doc, n): all of a small bucket that sizes allow; of a
-    large one its smallest document, the hub, with every other."""
-    counts = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("doc").alias("hub")).where("size > 1")
-    met = rows.join(counts, "token")
-    small = F.lit(True) if last else F.col("size") <= SMALL
-    one = met.where(small).select("token", F.col("doc").alias("a"), F.col("n").alias("na"))
-    two = met.where(small).select("token", F.col("doc").alias("b"), F.col("n").alias("nb"))
+def _met(rows: DataFrame, even: bool) -> DataFrame:
+    """Rows (token, doc, size) of the buckets of two documents and more, with the number of these and the smallest.
+    even: no bucket is large, so one window serves; otherwise counts are aggregated first and joined."""
+    if even:
+        whole = Window.partitionBy("token")
+        return rows.withColumns({"members": F.count("*").over(whole), "hub": F.min("doc").over(whole)}).where(
+            "members > 1")
+    counts = rows.groupBy("token").agg(F.count("*").alias("members"), F.min("doc").alias("hub")).where("members > 1")
+    return rows.join(counts, "token")
+
+
+def _candidates(met: DataFrame, t: int, last: bool) -> DataFrame:
+    """(a, b, star, ell) of the pairs to verify of buckets: all of a small bucket that sizes allow; of a large one its
+    smallest document, the hub, with every other. ell: tokens that a pair has to share."""
+    small = F.lit(True) if last else F.col("members") <= SMALL
+    one = met.where(small).select("token", F.col("doc").alias("a"), F.col("size").alias("na"))
+    two = met.where(small).select("token", F.col("doc").alias("b"), F.col("size").alias("nb"))
+    na, nb = F.floor(F.col("na") / 16), F.floor(F.col("nb") / 16)
     pairs = one.join(two, "token").where(
-        (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= t * F.greatest("na", "nb"))).select(
-        "a", "b", F.lit(False).alias("star"))
-    if last:
-        return pairs.distinct()
-    stars = met.where(~small & (F.col("doc") != F.col("hub"))).select(
-        F.col("hub").alias("a"), F.col("doc").alias("b"), F.lit(True).alias("star"))
-    return pairs.union(stars).groupBy("a", "b").agg(F.max("star").alias("star"))
+        (F.col("a") < F.col("b")) & (100 * F.least(na, nb) >= t * F.greatest(na, nb))).select(
+        "a", "b", F.lit(False).alias("star"), F.least(F.col("na") % 16, F.col("nb") % 16).alias("ell"))
+    if not last:
+        pairs = pairs.union(met.where(~small & (F.col("doc") != F.col("hub"))).select(
+            F.col("hub").alias("a"), F.col("doc").alias("b"), F.lit(True).alias("star"), F.lit(1).alias("ell")))
+    return pairs.groupBy("a", "b").agg(F.max("star").alias("star"), F.max("ell").alias("ell"))
 
 
-def _multi_match(pairs: DataFrame, prefixes: DataFrame, t: int) -> DataFrame:
+def _multi_match(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Pairs that share as many prefix tokens as the less extended of the two documents asks for."""
-    one = prefixes.select(F.col("doc").alias("a"), F.col("n").alias("n1"), F.col("ell").alias("l1"),
-                          F.col("tokens").alias("t1"))
-    two = prefixes.select(F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("ell").alias("l2"),
-                          F.col("tokens").alias("t2"))
-    ell = F.least("l1", "l2")
+    one = prefixes.select(F.col("doc").alias("a"), (F.col("size") % 16).alias("l1"), F.col("tokens").alias("t1"))
+    two = prefixes.select(F.col("doc").alias("b"), (F.col("size") % 16).alias("l2"), F.col("tokens").alias("t2"))
+    ell = F.col("ell")
 
     def ahead(tokens: str, own: str):  # the prefix extended by ell - 1
         return F.slice(tokens, F.lit(1), (F.size(tokens) - F.col(own) + ell).cast("int"))
 
-    # a star's pairs tell where others lie, so they are compared whatever they share
-    return pairs.where("star").unionByName(
-        pairs.where("not star").join(one, "a").join(two, "b")
+    # pairs of a bucket share one token; a star's pairs tell where others lie, and are compared whatever they share
+    return pairs.where("star or ell = 1").select("a", "b", "star").union(
+        pairs.where("not star and ell > 1").join(one, "a").join(two, "b")
         .where(F.size(F.array_intersect(ahead("t1", "l1"), ahead("t2", "l2"))) >= ell).select("a", "b", "star"))
 
 
@@ -220,36 +235,43 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
         "doc_id long, n long, key binary, prefix binary", ["doc_id", "n", "key", "prefix"]), "sets")
     classes = scratch.settle(first.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(
         F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes")
-    frequent, times = _frequent(classes)
+    frequent, times = _frequent(classes, scratch)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((frequent, times))  # at most MOST_FREQUENT tokens
 
     def adapt(i, own):
         if not len(own) or i is None:
             return None
-        ell, prefix = adapted_prefix(own, *sent.value, t)
-        return i, len(own), _set_key(own), prefix.tobytes(), ell.to_bytes(1, "little")
+        ell, rare, prefix = adapted_prefix(own, *sent.value, t)
+        return i, len(own) * 16 + ell, _set_key(own), prefix.tobytes(), rare.to_bytes(8, "little")
 
-    adapted = _sets(docs, shingle, adapt, "doc long, n long, key binary, prefix binary, ell binary",
-                    ["doc", "n", "key", "prefix", "ell"])
+    adapted = _sets(docs, shingle, adapt, "doc long, size long, key binary, prefix binary, rare binary",
+                    ["doc", "size", "key", "prefix", "rare"])
     reps = classes.select(F.col("rep").alias("doc"), F.col("key").alias("k"))
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([x[0] for x in b.column(3).to_pylist()], pa.int64()),
-                 pa.array(tokens, pa.list_(pa.int64()))], ["doc", "n", "ell", "tokens"])
+                [b.column(0), b.column(1), pa.array([int.from_bytes(x, "little") for x in b.column(3).to_pylist()]),
+                 pa.array(tokens, pa.list_(pa.int64()))], ["doc", "size", "rare", "tokens"])
 
     prefixes = scratch.settle(
-        adapted.join(reps, "doc").where("key = k").dropDuplicates(["doc"]).select("doc", "n", "prefix", "ell").mapInArrow(
-            numbers, "doc long, n long, ell long, tokens array<long>"), "prefixes")
+        adapted.join(reps, "doc").where("key = k").dropDuplicates(["doc"]).select("doc", "size", "prefix", "rare").mapInArrow(
+            numbers, "doc long, size long, rare long, tokens array<long>"), "prefixes")
     rows = scratch.settle(first.join(classes.select(F.col("key").alias("k"), "rep"), F.col("key") == F.col("k"), "left")
                           .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "rows")
-    scratch.free(first, classes)
-
-    buckets = prefixes.select(F.explode("tokens").alias("token"), "doc", "n")
-    pairs = scratch.settle(_multi_match(_candidates(buckets, t, False), prefixes, t), "pairs")
+    repeated = first.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    scratch.free(first)
+
+    buckets = prefixes.select(F.posexplode("tokens").alias("at", "token"), "doc", "size", "rare")
+    rare = _met(buckets.where("at < rare").select("token", "doc", "size"), True)
+    frequent_rows = _met(buckets.where("at >= rare").select("token", "doc", "size"), False)
+    met = scratch.settle(rare.union(frequent_rows), "met")
+    candidates = scratch.settle(_candidates(met, t, False), "candidates")
+    scratch.free(met)
+    pairs = scratch.settle(_multi_match(candidates, prefixes), "pairs")
+    scratch.free(candidates, prefixes)
     sent_ids = spark.sparkContext.broadcast(_bits_of(pairs.select("a").union(pairs.select("b"))))
 
     def packed(i, own):
@@ -262,10 +284,15 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
                 return None
         return i, len(own), _set_key(own), _pack(own)
 
-    needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    # rows that share an id may have several sets here; that of the class is meant
     sets = scratch.settle(
         _sets(docs, shingle, packed, "doc long, n long, key binary, packed binary", ["doc", "n", "key", "packed"])
-        .join(needed, "doc", "left_semi").dropDuplicates(["doc"]).select("doc", "packed"), "packed")
+        .select("doc", "key", "packed"), "packed")
+    if repeated:
+        own = sets.join(classes.select(F.col("rep").alias("doc"), F.col("key").alias("k")), "doc").where("key = k")
+        sets = scratch.settle(own.dropDuplicates(["doc"]).select("doc", "packed"), "packed")
+    sets = sets.select("doc", "packed")
+    scratch.free(classes)
     found = None
     for level in range(LEVELS):
         checked = scratch.settle(
@@ -292,9 +319,11 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
                  .groupBy("a", "p", "q", "have1", "have2", "ahead1", "n1", "n2").count()
                  .where(F.col("count") + F.col("have1") - F.col("ahead1") >= bound - 1e-6)
                  .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.lit(False).alias("star")))
-        both = spread.where("kind = 2").select("token", F.col("b").alias("doc"), "n").distinct()
-        pairs = scratch.settle(_candidates(both, t, level == LEVELS - 2).union(mixed).groupBy("a", "b").agg(
-            F.max("star").alias("star")), "pairs")
+        both = spread.where("kind = 2").select("token", F.col("b").alias("doc"), (F.col("n") * 16 + 1).alias("size"))
+        met = scratch.settle(_met(both.distinct(), False), "met")
+        again = _candidates(met, t, level == LEVELS - 2).select("a", "b", "star")
+        pairs = scratch.settle(again.union(mixed).groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+        scratch.free(met)
     return rows, found
 
 
