@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
     OneVsRest, RandomForestClassifier,
 )
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,6 +166,8 @@ def train_type_model(pairs: DataFrame, key: str = "pair_id", label: str = "bug_t
     out.add("forest", fit_forest(train, trees, depth), test)
     out.add("boosted", fit_boosted(train, len(classes), rounds), test)
     out.add("mlp", fit_mlp(train, width, len(classes), iterations), test)
+    train.unpersist()
+    test.unpersist()
     return out
 
 
@@ -183,6 +187,7 @@ def train_dual(pairs: DataFrame, group: str, targets: tuple[str, ...] = ("bug_ty
         t.add("forest", fit_forest(train, trees, depth), test)
         t.add("extra_trees", fit_forest(train, trees, depth, extra_random=True), test)
         t.add("sgd", fit_linear(train, "sgd", iterations=iterations), test)
+        parts.unpersist()
         out[target] = t
     return out
 
@@ -205,6 +210,8 @@ def train_hybrid(samples: DataFrame, key: str, label: str, text: str, vector: st
         out.add(f"{family}_forest", fit_forest(a, trees, depth), b)
         if family == "text":
             out.add("text_bayes", fit_nb(a), b)
+        a.unpersist()
+        b.unpersist()
     return out
 
 
@@ -213,9 +220,7 @@ def train_binary(samples: DataFrame, group: str, label: str, features: dict[str,
                  iterations: int = 100) -> tuple[Trained, DataFrame]:
     """Buggy or clean: feature sets x models, grouped folds for the spread, grouped hold-out for
     the final figure. Returns the hold-out models and the fold scores."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
+    evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
     rows = group_kfold(samples.withColumn("label", F.col(label).cast("double")), group, folds)
     out, fold_scores = Trained(classes=["clean", "buggy"]), None
     for family, cols in features.items():
@@ -230,15 +235,14 @@ def train_binary(samples: DataFrame, group: str, label: str, features: dict[str,
                                                   featureSubsetStrategy="log2", bootstrap=False),
             "boosted": GBTClassifier(maxIter=rounds, seed=42)}
         for name, estimator in models.items():
-            cv = CrossValidator(
-                estimator=estimator, estimatorParamMaps=ParamGridBuilder().build(),
-                evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-                numFolds=folds, foldCol="fold").fit(parts)
+            scores = [evaluator.evaluate(estimator.fit(parts.where(F.col("fold") != f)).transform(
+                parts.where(F.col("fold") == f))) for f in range(folds)]
             score = samples.sparkSession.createDataFrame(
-                [(f"{family}_{name}", float(cv.avgMetrics[0]), float(cv.stdMetrics[0]))],
+                [(f"{family}_{name}", float(np.mean(scores)), float(np.std(scores)))],
                 "model string, mean double, deviation double")
             fold_scores = score if fold_scores is None else fold_scores.unionByName(score)
             out.add(f"{family}_{name}", estimator.fit(train), test)
+        parts.unpersist()
     return out, fold_scores
 
 
@@ -252,6 +256,7 @@ def train_pair_order(pairs: DataFrame, key: str, before: str, after: str, trees:
     out = Trained(classes=["buggy_first", "clean_first"])
     out.add("logistic", fit_linear(train, "logistic", None, iterations), test)
     out.add("forest", fit_forest(train, trees, depth, weight=None), test)
+    rows.unpersist()
     return out
 
 

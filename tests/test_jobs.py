@@ -1,3 +1,4 @@
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ def test_other_miners(spark, log):
 def test_scan_files(spark):
     files = spark.createDataFrame([
         (1, "src/a.js", "for (let i = 0; i <= x.length; i++) {\n a(i);\n}"), (1, "dist/b.js", "x"),
-        (1, "src/c.js", "const c = 1;"), (2, "src/d.js", "const q = 5;")], "scan_id int, path string, content string")
+        (1, "src/c.js", "const c = 1;"), (2, "src/d.js", "const q = 5;"),
+        (2, "src/blank.js", "")], "scan_id int, path string, content string")
     refs = spark.createDataFrame([(1, "c1", "off_by_one", "Major", "for (let i = 0; i <= y.length; i++) {}"),
                                   (2, "c2", "async_error", "Major", "await fetch(x)")],
                                  "pair_id long, commit_id string, bug_type string, severity string, buggy_code_chunk string")
@@ -68,7 +70,12 @@ def test_scan_files(spark):
     assert [(r["file_path"], r["severity_level"]) for r in found if r["file_path"] == "src/a.js"] == [("src/a.js", "Critical")]
     assert {r["file_path"]: r["is_buggy"] for r in scan.files.collect()}["src/a.js"]
     total = {r["scan_id"]: r["methods_analyzed"] for r in scan.summary.collect()}
-    assert total == {1: 2, 2: 1} and scan.documents().count() == 2
+    assert total == {1: 2, 2: 1}
+    assert {r["scan_id"]: r["files_scanned"] for r in scan.summary.collect()} == {1: 2, 2: 2}
+    documents = {r["file_path"]: json.loads(r["document"]) for r in scan.documents().collect()}
+    assert set(documents) == {"src/a.js", "src/c.js", "src/d.js", "src/blank.js"}
+    assert documents["src/a.js"]["findings_list"] and documents["src/a.js"]["ledger"][0]["suspicious"]
+    assert documents["src/blank.js"]["method_count"] == 0 and documents["src/blank.js"]["totals"]["files_scanned"] == 2
 
 
 def test_fallback_scorer_fills_what_the_first_left(spark):
