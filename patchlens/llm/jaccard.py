@@ -289,9 +289,10 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
         _sets(docs, shingle, packed, "doc long, n long, key binary, packed binary", ["doc", "n", "key", "packed"])
         .select("doc", "key", "packed"), "packed")
     if repeated:
+        all_sets = sets
         own = sets.join(classes.select(F.col("rep").alias("doc"), F.col("key").alias("k")), "doc").where("key = k")
         sets = scratch.settle(own.dropDuplicates(["doc"]).select("doc", "packed"), "packed")
-    sets = sets.select("doc", "packed")
+        scratch.free(all_sets)
     scratch.free(classes)
     found = None
     for level in range(LEVELS):
@@ -302,7 +303,7 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
                 lambda x: _verify(x, t), "kind int, a long, b long, tokens array<long>, have long, ahead long, n long"),
             "checked")
         scratch.free(pairs)
-        links = checked.where("kind = 0").select("a", "b")
+        links = scratch.settle(checked.where("kind = 0").select("a", "b"), "linked")
         found = links if found is None else found.union(links)
         spread = checked.where("kind > 0").select(
             "kind", "a", "b", F.explode("tokens").alias("x"), "have", "ahead", "n").withColumn(
@@ -323,7 +324,8 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
         met = scratch.settle(_met(both.distinct(), False), "met")
         again = _candidates(met, t, level == LEVELS - 2).select("a", "b", "star")
         pairs = scratch.settle(again.union(mixed).groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
-        scratch.free(met)
+        scratch.free(met, checked)
+    scratch.free(checked, sets)
     return rows, found
 
 
