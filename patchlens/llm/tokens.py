@@ -10,8 +10,6 @@ other in the order of their texts; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 import functools
-import itertools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,32 +20,42 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchlens.llm.rangecoder import decode_blocks, encode_blocks
+from patchlens.llm.words import SLICE, U, piece_hashes
 
 END = 2
 BLOCK = 2048
 LANES = 2048  # blocks coded together
-KNOWN = 400_000  # word pieces remembered at once
+KNOWN = 1_500_000  # word pieces remembered at once
 
 #: Texts of these characters alone are cut into pieces here, as the vocabulary's own rule cuts them.
 _LATIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x100)])
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\x09-\x0d\x20a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 #: Letters that stand for bytes in the vocabulary: printable bytes are themselves, the rest follow from 256 on.
 _PLAIN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
 _LETTER = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(
     b for b in range(256) if b not in set(_PLAIN))}
 
 
-class Pieces(dict):
-    """Number of each piece, given on first sight."""
+#: Kind of each Latin-1 byte: 0 space, 1 letter, 2 digit, 3 other. A piece is a run of letters, a digit, or a run of others.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[ord(c) for c in "abcdefghijklmnopqrstuvwxyzªµº"] + [c for c in range(0xDF, 0x100) if c != 0xF7]] = 1
+_KIND[[ord(c) for c in "0123456789²³¹¼½¾"]] = 2
+SLOTS = 22  # bits of the table of known pieces
+PROBES = 8
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        return n
+
+def _runs(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Pieces in runs of about SLICE bytes."""
+    cuts = [0]
+    while cuts[-1] < len(start):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(end, start[cuts[-1]] + SLICE, "right"))))
+    return list(zip(cuts, cuts[1:]))
 
 
 class Encoder:
     """Ids of texts by a tokenizer whose words do not depend on each other: each distinct piece is encoded once and
-    remembered, within a bound. A text that the cutting rule here does not cover is encoded whole."""
+    remembered under a hash of 64 bits, within a bound. A text that the cutting rule here does not cover is encoded
+    whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,62 +64,108 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces = Pieces()
+        self.keys = np.zeros((1 << SLOTS) + PROBES, U)
+        self.numbers = np.zeros((1 << SLOTS) + PROBES, np.int32)
         self.flat, self.start, self.size = np.zeros(1 << 16, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.filled = 0
+        self.odd: dict[int, int] = {}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        """Ids of the pieces not seen before, from the tokenizer's model: a piece is one word to it."""
-        known = len(self.start)
-        new = list(itertools.islice(reversed(self.pieces), len(self.pieces) - known))[::-1]
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Ids of new pieces, from the tokenizer's model: a piece is one word to it."""
+        if len(self.start) + len(pieces) > KNOWN:
+            self.forget()
         model = self.tokenizer.model
-        for i in range(0, len(new), 20_000):
-            ids = [[t.id for t in model.tokenize(
-                p if p.isascii() else "".join(_LETTER[b] for b in p.encode()))] for p in new[i:i + 20_000]]
-            size = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((y for x in ids for y in x), np.uint16, int(size.sum()))
-            while self.filled + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint16)])
-            self.flat[self.filled:self.filled + len(flat)] = flat
-            self.start = np.append(self.start, self.filled + np.cumsum(size) - size)
-            self.size = np.append(self.size, size)
-            self.filled += len(flat)
+        ids = [[t.id for t in model.tokenize(
+            p if p.isascii() else "".join(_LETTER[b] for b in p.encode()))] for p in pieces]
+        size = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((y for x in ids for y in x), np.uint16, int(size.sum()))
+        while self.filled + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint16)])
+        self.flat[self.filled:self.filled + len(flat)] = flat
+        first = len(self.start)
+        self.start = np.append(self.start, self.filled + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.filled += len(flat)
+        for i, (h, at) in enumerate(zip(hashes.tolist(), (hashes >> U(64 - SLOTS)).astype(np.int64).tolist())):
+            for slot in range(at, at + PROBES):
+                if not self.keys[slot]:
+                    self.keys[slot], self.numbers[slot] = h, first + i
+                    break
+            else:
+                self.odd[h] = first + i
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each piece, places of those not known)."""
+        out = np.zeros(len(hashes), np.int64)
+        todo, slot, new = np.arange(len(hashes)), (hashes >> U(64 - SLOTS)).astype(np.int64), []
+        for _ in range(PROBES):
+            found = self.keys.take(slot)
+            hit = found == hashes[todo]
+            out[todo[hit]] = self.numbers.take(slot[hit])
+            new.append(todo[found == 0])
+            on = ~hit & (found != 0)
+            todo, slot = todo[on], slot[on] + 1
+        for i in todo.tolist():  # a run of taken slots
+            known = self.odd.get(int(hashes[i]))
+            if known is None:
+                new.append(np.array([i]))
+            else:
+                out[i] = known
+        return out, np.concatenate(new)
+
+    def _cut(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of lowered Latin-1 texts, over their bytes at once."""
+        raw = np.frombuffer("\n".join(texts).encode("latin-1"), np.uint8)
+        if not len(raw):
+            return [np.zeros(0, np.uint16) for _ in texts]
+        kind = _KIND[raw]
+        change = np.ones(len(raw) + 1, bool)
+        change[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        inside = kind != 0
+        start, end = np.flatnonzero(change[:-1] & inside), np.flatnonzero(change[1:] & inside) + 1
+        bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+        hashes = np.concatenate([piece_hashes(raw, start[i:j], end[i:j]) for i, j in _runs(start, end)] or [np.zeros(0, U)])
+        which, new = self._find(hashes)
+        if len(new):
+            for _ in range(2):  # a second time where learning has made room by forgetting
+                own, at = np.unique(hashes[new], return_index=True)
+                at = new[at]
+                data = raw.tobytes()
+                self._learn(own, [data[start[i]:end[i]].decode("latin-1") for i in at.tolist()])
+                which, new = self._find(hashes)
+                if not len(new):
+                    break
+            else:
+                raise RuntimeError("more distinct pieces in a batch than are remembered")
+        size = self.size[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(self.start[which] - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[np.searchsorted(start, bounds)]
+        return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
-        if len(self.pieces) > KNOWN:
-            self.forget()
         cut, whole = [], []
-        look = self.pieces.__getitem__
         for i, text in enumerate(texts):
             try:
-                plain = not text.encode("latin-1").translate(None, _LATIN) and "<|" not in text
+                # the rule has cases for an apostrophe that a run of characters does not show
+                plain = not text.encode("latin-1").translate(None, _LATIN) and "<|" not in text and "'" not in text
             except UnicodeEncodeError:
                 plain = False
-            if plain:
-                cut.append((i, list(map(look, _PIECE.findall(text.lower())))))
-            else:
-                whole.append(i)
-        self._learn()
+            (cut if plain else whole).append(i)
         out: list = [None] * len(texts)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = np.array(ids, np.uint16)
-        if cut:
-            which = np.fromiter(itertools.chain.from_iterable(own for _, own in cut), np.int64,
-                                sum(len(own) for _, own in cut))
-            size = self.size[which]
-            ends = np.cumsum(size)
-            flat = self.flat[np.repeat(self.start[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-            ends = np.concatenate([[0], ends])
-            at = 0
-            for i, own in cut:
-                out[i] = flat[ends[at]:ends[at + len(own)]]
-                at += len(own)
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
+            out[i] = ids
+        for i, ids in zip(cut, self._cut([texts[i].lower() for i in cut])):
+            out[i] = ids
         return out
 
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.uint16) for ids in self._encode(texts)]
+
 
 _encoders: dict[str, Encoder] = {}
 

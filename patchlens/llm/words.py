@@ -59,6 +59,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
+def piece_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each raw[start:end], pieces in ascending order; capital letters count as small ones; never 0."""
+    if not len(start):
+        return np.zeros(0, U)
+    low, n = start[0], int(end[-1] - start[0])
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, U)
+        np.cumsum(BYTE[raw[low:low + n]] * _power("step", STEP, n + 1)[:n], out=sums[1:])
+        return mix((sums[end - low] - sums[start - low]) * _power("back", BACK, n + 1)[start - low]) | U(1)
+
+
 class Words:
     """Words of a few texts: hash, text (index in the batch), start and end byte (in the slice's buffer)."""
 
