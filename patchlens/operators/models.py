@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.functions import vectors as vx
@@ -22,43 +22,52 @@ from patchlens.operators.report import class_balance, lookup_texts
 from patchlens.operators.reshape import swap_pairs, top_predictions
 from patchlens.operators.splits import group_kfold, group_split, stratified_split
 from patchlens.operators.tfidf import TermWeights, word_grams
+from patchlens.session import new_table_path
 
 
 def with_features(df: DataFrame, *arrays: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(vx.concat_features(*map(F.col, arrays))))
 
 
+def plain(model: Model) -> Model:
+    """The model without its training summary, by writing and loading it. The summary of a binary model
+    holds the session, and tasks cannot be sent with it once the session has run a stream."""
+    path = new_table_path(SparkSession.active(), "model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def fit_linear(train: DataFrame, kind: str = "logistic", weight: str | None = "weight",
                iterations: int = 100) -> Model:
     """logistic, sgd (lightly regularised logistic) or svm (one against the rest)."""
     extra = {"weightCol": weight} if weight else {}
     if kind == "svm":
         binary = LinearSVC(maxIter=iterations, **extra)
-        return OneVsRest(classifier=binary, parallelism=4, **extra).fit(train)
+        return plain(OneVsRest(classifier=binary, parallelism=4, **extra).fit(train))
     reg = {"logistic": 1e-2, "sgd": 1e-4}[kind]
-    return LogisticRegression(maxIter=iterations, regParam=reg, **extra).fit(train)
+    return plain(LogisticRegression(maxIter=iterations, regParam=reg, **extra).fit(train))
 
 
 def fit_forest(train: DataFrame, trees: int = 200, depth: int = 20, extra_random: bool = False,
                weight: str | None = "weight", seed: int = 42) -> Model:
     extra = {"weightCol": weight} if weight else {}
     sampling = {"featureSubsetStrategy": "log2", "bootstrap": False} if extra_random else {}
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **sampling,
-                                  **extra).fit(train)
+    return plain(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **sampling,
+                                        **extra).fit(train))
 
 
 def fit_boosted(train: DataFrame, classes: int, rounds: int = 100, depth: int = 5,
                 weight: str | None = "weight", seed: int = 42) -> Model:
     extra = {"weightCol": weight} if weight else {}
     boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, **extra)
-    return boosted.fit(train) if classes == 2 else OneVsRest(
-        classifier=boosted, parallelism=4, **extra).fit(train)
+    return plain(boosted.fit(train) if classes == 2 else OneVsRest(
+        classifier=boosted, parallelism=4, **extra).fit(train))
 
 
 def fit_mlp(train: DataFrame, width: int, classes: int, iterations: int = 100, seed: int = 42
             ) -> Model:
-    return MultilayerPerceptronClassifier(
-        layers=[width, 128, 64, classes], maxIter=iterations, seed=seed).fit(train)
+    return plain(MultilayerPerceptronClassifier(
+        layers=[width, 128, 64, classes], maxIter=iterations, seed=seed).fit(train))
 
 
 def fit_nb(train: DataFrame, weight: str | None = "weight") -> Model:
@@ -235,13 +244,13 @@ def train_binary(samples: DataFrame, group: str, label: str, features: dict[str,
                                                   featureSubsetStrategy="log2", bootstrap=False),
             "boosted": GBTClassifier(maxIter=rounds, seed=42)}
         for name, estimator in models.items():
-            scores = [evaluator.evaluate(estimator.fit(parts.where(F.col("fold") != f)).transform(
+            scores = [evaluator.evaluate(plain(estimator.fit(parts.where(F.col("fold") != f))).transform(
                 parts.where(F.col("fold") == f))) for f in range(folds)]
             score = samples.sparkSession.createDataFrame(
                 [(f"{family}_{name}", float(np.mean(scores)), float(np.std(scores)))],
                 "model string, mean double, deviation double")
             fold_scores = score if fold_scores is None else fold_scores.unionByName(score)
-            out.add(f"{family}_{name}", estimator.fit(train), test)
+            out.add(f"{family}_{name}", plain(estimator.fit(train)), test)
         parts.unpersist()
     return out, fold_scores
 

@@ -47,6 +47,12 @@ def top_projects(df: DataFrame, project: str, k: int = 5) -> DataFrame:
             .orderBy(F.col("n").desc(), project).limit(k))
 
 
+def language_counts(df: DataFrame, language: str) -> DataFrame:
+    """Rows per language, without rows that have none."""
+    return df.where(F.col(language).isNotNull()).groupBy(F.col(language).alias("language")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def distinct_profile(df: DataFrame, repository: str, label: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_rows"),
                   F.count_distinct(repository).alias("repositories"),
@@ -115,8 +121,11 @@ def issue_report(issues: DataFrame, keys: dict[str, list[str]] = REPORT_KEYS) ->
 
 
 def function_report(spans: DataFrame) -> DataFrame:
-    """Functions per kind."""
-    return spans.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Functions per kind and in total, in the shape of the issue report."""
+    counts = spans.groupingSets([[F.col("kind")], []], "kind").agg(
+        F.grouping_id("kind").alias("gid"), F.count(F.lit(1)).alias("n"))
+    return counts.select(F.when(F.col("gid") == 0, "function").otherwise("functions").alias("dimension"),
+                         F.when(F.col("gid") == 0, F.col("kind")).otherwise("all").alias("name"), "n")
 
 
 def attach_issues(files: DataFrame, issues: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def mine_pairs(commits: DataFrame, files: DataFrame, scorer: LabelScorer,
     featured = both.withColumns({
         "buggy_vector": vx.token_vector64(F.col("buggy_code")),
         "fixed_vector": vx.token_vector64(F.col("fixed_code")),
-        "ast_tier": F.lit(EXTRACTOR)})
+        "ast_tier": quality.joint_tier(F.lit(EXTRACTOR), F.lit(EXTRACTOR))})
     labelled = settle(quality.accept_label(scorer.score(featured)), "labelled")
     capped = mining.cap_per_group(
         labelled.withColumn("_type", F.col("label.bug_type")), "_type", "repository", order, caps,

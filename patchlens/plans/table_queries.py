@@ -441,6 +441,12 @@ def _(t):
     return report.distinct_profile(t.pairs(), "repository", "bug_type")
 
 
+@query("language_counts", """SELECT lang AS language, count(*) AS n FROM documents WHERE lang IS NOT NULL
+GROUP BY 1""")
+def _(t):
+    return report.language_counts(t.documents, "lang")
+
+
 @query("tier_stats", """WITH s AS (SELECT 'buggy' AS side, event_type AS tier FROM events UNION ALL
 SELECT 'fixed', CASE WHEN value > 10 THEN 'parse_error' ELSE event_type END FROM events),
 c AS (SELECT side, tier, count(*) AS n FROM s GROUP BY 1, 2) SELECT side, tier, n,

@@ -7,7 +7,7 @@ from patchlens.functions import labels as lx
 from patchlens.functions import text as fx
 from patchlens.functions import vectors as vx
 from patchlens.functions.patterns import squeeze
-from patchlens.operators import mining, quality, repair, reshape, slicing, tfidf
+from patchlens.operators import mining, quality, repair, report, reshape, slicing, tfidf
 from patchlens.plans import bindings as B
 from patchlens.plans.bindings import (
     PAIRS, PATHS, SNIPPETS, quote, sql_any, sql_count, sql_fold, sql_found, sql_pick, sql_times,
@@ -158,21 +158,34 @@ _NAME = f"regexp_extract({_BASE}, '^[A-Za-z]+')"
 _PREFIX = "^(" + "|".join(L.HANDLER_PREFIXES) + ")"
 
 
-@query("function_kind", f"""WITH {PATHS}, named AS (SELECT page_id,
+_KINDS = f"""WITH {PATHS}, named AS (SELECT page_id,
 CASE WHEN page_id % 5 = 0 THEN 'getThing' WHEN page_id % 5 = 1 THEN 'Panel' ELSE {_NAME} END AS name,
-{FILE_ROLE_SQL} AS role FROM paths)
+{FILE_ROLE_SQL} AS role FROM paths), kinds AS (
 SELECT page_id, {_ladder([
     ("name = ''", "'anonymous'"), (sql_found('name', '^use[A-Z]'), "'hook'"),
     (sql_found('name', '^[A-Z]'), "'component'"),
     (f"{sql_found('lower(name)', _PREFIX)} AND role IN ('route', 'controller')", "role"),
-    ("role IN ('model', 'middleware')", "role")], "'utility'")} AS kind FROM named""")
-def _(t):
+    ("role IN ('model', 'middleware')", "role")], "'utility'")} AS kind FROM named)"""
+
+
+def _kinds(t):
     name = (F.when(F.col("page_id") % 5 == 0, "getThing").when(F.col("page_id") % 5 == 1, "Panel")
             .otherwise(F.regexp_extract(fx.base_name(F.col("path")), "^[A-Za-z]+", 0)))
     named = t.paths().select("page_id", name.alias("name"), fx.file_role(F.col("path")).alias("role"))
     return named.select("page_id", fx.function_kind(F.col("name"), F.col("role")).alias("kind"))
 
 
+@query("function_kind", f"{_KINDS} SELECT page_id, kind FROM kinds")
+def _(t):
+    return _kinds(t)
+
+
+@query("function_report", f"""{_KINDS} SELECT 'function' AS dimension, kind AS name, count(*) AS n FROM kinds GROUP BY 2
+UNION ALL SELECT 'functions', 'all', count(*) FROM kinds""")
+def _(t):
+    return report.function_report(_kinds(t))
+
+
 _RL = L.METHOD_ROLES
 
 

@@ -40,7 +40,12 @@ SAMPLES_CSV = T.StructType([
 MINED_CSV = T.StructType([
     *_strings("repository", "commit_hash", "file_path", "language", "bug_type",
               "original_commit_message", "buggy_code", "fixed_code", "buggy_ast_vector",
-              "fixed_ast_vector")])
+              "fixed_ast_vector", "ast_tier", "bug_description", "root_cause", "fix_description",
+              "severity", "bug_pattern", "affected_component"),
+    T.StructField("confidence_score", T.DoubleType()), T.StructField("match_margin", T.DoubleType()),
+    *_strings("label_source", "gemini_model"), T.StructField("gemini_confidence", T.DoubleType()),
+    *_strings("gemini_reason", "gemini_validation_status", "gemini_api_key_slot"),
+    T.StructField("gemini_attempts", T.IntegerType())])
 COMMITS_JSON = T.StructType([
     *_strings("repository"), T.StructField("position", T.IntegerType()),
     *_strings("sha", "message"),
