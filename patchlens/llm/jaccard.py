@@ -11,7 +11,8 @@ prefixes of their own, in buckets of the hub and a token. Only documents linked
 
 With K = (100 - T) / (100 + T), sets a and b are linked if |a ^ b| <= K * (|a| + |b|). Let A and B be the differences
 of a and b from hub h, b not linked to h: |A & B| > (1 - K) * |A| / 2, and if a is not linked either, the same holds
-with B. A is linked and b is not only if |B| is within the sum of two such bounds.
+with B. A is linked and b is not only if |B| is within the sum of two such bounds. And |A & B| >= |A| - |a ^ b| always, where
+|a ^ b| <= (100 - T) / T * |a|; so no prefix of a difference is longer than that and one.
 
 Edge cases: documents without words or without text are in no pair and are their own component; a document of fewer
 words than a shingle has its whole sequence as one; repeated rows are in one class; rows without an id count in no
@@ -35,6 +36,7 @@ FREQUENT = 2
 MOST_FREQUENT = 1 << 20
 LONGEST = 8  # tokens that a pair may have to share
 SMALL = 16  # documents of a bucket in which all pairs are candidates
+SMALL_WITHIN = 256  # the same for buckets of a hub and a token, whose documents are alike in more than the token
 LEVELS = 4  # of buckets; in those of the last all pairs are candidates
 VERIFY = 8.0  # cost of a candidate's verification, in rows of a bucket
 FILTER_BITS = 25
@@ -149,7 +151,8 @@ def _in_sorted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[at] == a
 
 
-def _verify(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], t: int, frequent: np.ndarray, times: np.ndarray
+            ) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, star, sets of both): kind 0 links a and b; of a star's pairs, with b's difference from hub a,
     kind 1 for a linked and 2 for an unlinked b's prefix tokens, and 3 for further tokens of an unlinked one that
     may meet a linked one. `have` is the size of the difference, `ahead` that of the prefix."""
@@ -170,8 +173,14 @@ def _verify(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatc
                 continue
             added = other[~common]
             gone = mine[~_in_sorted(mine, other)]
-            diff = np.concatenate([added, gone]).view(np.int64)
-            ahead = len(diff) - int((1 - k) * len(diff) / 2)
+            # rare tokens first, and those that the hub lacks; an order that all documents of the hub share
+            diff = np.concatenate([added, gone])
+            cost = np.zeros(len(diff), np.int64)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, diff), len(frequent) - 1)
+                cost = np.where(frequent[at] == diff, times[at], 0)
+            diff = diff[np.argsort(cost, kind="stable")].view(np.int64)
+            ahead = min(len(diff) - int((1 - k) * len(diff) / 2), (100 - t) * len(other) // t + 1)
             far = k * (len(mine) * 100 / t + len(other)) + k * (len(mine) + len(mine) * 100 / t)
             row = (len(diff), ahead, len(other))
             out.append((1 if linked else 2, a, b, diff[:ahead].tolist(), *row))
@@ -196,10 +205,10 @@ def _met(rows: DataFrame, even: bool) -> DataFrame:
     return rows.join(counts, "token")
 
 
-def _candidates(met: DataFrame, t: int, last: bool) -> DataFrame:
+def _candidates(met: DataFrame, t: int, last: bool, most: int) -> DataFrame:
     """(a, b, star, ell) of the pairs to verify of buckets: all of a small bucket that sizes allow; of a large one its
     smallest document, the hub, with every other. ell: tokens that a pair has to share."""
-    small = F.lit(True) if last else F.col("members") <= SMALL
+    small = F.lit(True) if last else F.col("members") <= most
     one = met.where(small).select("token", F.col("doc").alias("a"), F.col("size").alias("na"))
     two = met.where(small).select("token", F.col("doc").alias("b"), F.col("size").alias("nb"))
     na, nb = F.floor(F.col("na") / 16), F.floor(F.col("nb") / 16)
@@ -268,7 +277,7 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
     rare = _met(buckets.where("at < rare").select("token", "doc", "size"), True)
     frequent_rows = _met(buckets.where("at >= rare").select("token", "doc", "size"), False)
     met = scratch.settle(rare.union(frequent_rows), "met")
-    candidates = scratch.settle(_candidates(met, t, False), "candidates")
+    candidates = scratch.settle(_candidates(met, t, False, SMALL), "candidates")
     scratch.free(met)
     pairs = scratch.settle(_multi_match(candidates, prefixes), "pairs")
     scratch.free(candidates, prefixes)
@@ -284,6 +293,7 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
                 return None
         return i, len(own), _set_key(own), _pack(own)
 
+    sent_short = spark.sparkContext.broadcast((frequent >> U(16), times))  # as packed sets have them
     # rows that share an id may have several sets here; that of the class is meant
     sets = scratch.settle(
         _sets(docs, shingle, packed, "doc long, n long, key binary, packed binary", ["doc", "n", "key", "packed"])
@@ -300,7 +310,7 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
             pairs.join(sets.select(F.col("doc").alias("b"), F.col("packed").alias("two")), "b")
             .join(sets.select(F.col("doc").alias("a"), F.col("packed").alias("one")), "a")
             .select("a", "b", "star", "one", "two").mapInArrow(
-                lambda x: _verify(x, t), "kind int, a long, b long, tokens array<long>, have long, ahead long, n long"),
+                lambda x: _verify(x, t, *sent_short.value), "kind int, a long, b long, tokens array<long>, have long, ahead long, n long"),
             "checked")
         scratch.free(pairs)
         links = scratch.settle(checked.where("kind = 0").select("a", "b"), "linked")
@@ -322,7 +332,7 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
                  .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.lit(False).alias("star")))
         both = spread.where("kind = 2").select("token", F.col("b").alias("doc"), (F.col("n") * 16 + 1).alias("size"))
         met = scratch.settle(_met(both.distinct(), False), "met")
-        again = _candidates(met, t, level == LEVELS - 2).select("a", "b", "star")
+        again = _candidates(met, t, level == LEVELS - 2, SMALL_WITHIN).select("a", "b", "star")
         pairs = scratch.settle(again.union(mixed).groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
         scratch.free(met, checked)
     scratch.free(checked, sets)

@@ -179,6 +179,7 @@ def test_jaccard_query_against_all_pairs(spark, folder, docs):
 def test_jaccard_in_large_groups(spark, seed, monkeypatch):
     """Groups of copies around a base, at all distances of the threshold, and passages that many texts share."""
     monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "SMALL_WITHIN", 3)
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
     rnd = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
