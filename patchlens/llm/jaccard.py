@@ -48,19 +48,16 @@ def base_prefix(n: np.ndarray | int, t: int):
 
 
 def _sets(docs: DataFrame, k: int, take, schema: str, names: list[str]) -> DataFrame:
-    """Rows that `take` makes of (set) for each document with words; its first column is the id."""
+    """Rows that `take` makes of a document's id and set, or none."""
+    types = [pa.int64(), pa.int64(), *[pa.binary()] * (len(names) - 2)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
-            out: list[tuple] = []
-            for w in slices(b.column(1)):
-                for i, own in w.shingle_sets(k):
-                    row = take(ids[i], own)
-                    if row is not None:
-                        out.append(row)
-            types = [pa.int64(), pa.int64(), *[pa.binary()] * (len(names) - 2)]
-            cols = list(zip(*out)) if out else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+            for w in slices(b.column(1)):  # a batch for each slice: no more than that is held
+                rows = [take(ids[i], own) for i, own in w.shingle_sets(k)]
+                cols = list(zip(*(r for r in rows if r is not None))) or [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
