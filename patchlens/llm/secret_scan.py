@@ -26,14 +26,18 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Least bits a character over a window, by the characters that the window holds.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8, "letters": 4.1}
 WINDOW = 20
-#: Strings that look random and are none: identifiers by rule, alphabets, and well-known documentation samples.
+#: Whole candidates that look random and are none: identifiers by rule, paths of short parts, a documentation sample.
+#: No two ways lead through any of them, so a match takes time in proportion to the string.
 ALLOWED = (
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
-    r"(?i:.*(?:abcdefghijkl|0123456789|example|placeholder|changeme|xxxxxx).*)",
-    r"(?:/?[a-z0-9_-]{1,15}){1,20}/?",
+    r"/?[a-z_-]{1,15}\d{0,3}(?:/[a-z_-]{1,15}\d{0,3})*/?",
     r"[A-Z]?[a-z]+(?:[A-Z][a-z]+)*\d{0,4}",
     r"[+/_=-]+",
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
 )
+#: Alphabets and placeholders: no window reaches over one, the rest of the candidate is looked at.
+SAMPLES = re.compile(
+    r"(?i:abcdefghijkl(?:mnopqrstuvwxyz)?|0123456789(?:abcdef)?|example|placeholder|changeme|x{6,})")
 
 SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
           "n_entropy long")
@@ -99,13 +103,17 @@ def scan(text: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHO
     base.sort()
     added = []
     for m in CANDIDATE.finditer(text):
-        # letters of one case alone belong to no class: nothing to look at
-        s = m[0]
-        if s.isalpha() and (s[1:].islower() or s.isupper()) or allowed.fullmatch(s):
+        cuts = [m.start(), *(m.start() + x for hit in SAMPLES.finditer(m[0]) for x in hit.span()), m.end()]
+        if allowed.fullmatch(m[0]):
             continue
-        for a, b in entropy_spans(text, *m.span(), window, thresholds):
-            if not any(x <= a and b <= y for x, _, y in base):
-                added.append((a, 3, b))
+        for i, j in zip(cuts[::2], cuts[1::2]):
+            # letters of one case alone belong to no class: nothing to look at
+            s = text[i:j]
+            if len(s) < window or s.isalpha() and (s[1:].islower() or s.isupper()) or allowed.fullmatch(s):
+                continue
+            for a, b in entropy_spans(text, i, j, window, thresholds):
+                if not any(x <= a and b <= y for x, _, y in base):
+                    added.append((a, 3, b))
     return base, added
 
 

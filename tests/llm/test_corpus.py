@@ -336,6 +336,23 @@ def test_secret_cases(spark, odd, none):
     assert secret_scan.scan_secrets(odd).count() == len(ODD) and secret_scan.scan_secrets(none).collect() == []
 
 
+def test_lower_case_secrets_have_spans():
+    def spans(text):
+        return [text[a:b] for a, _, b in secret_scan.scan(text)[1]]
+    rnd = random.Random(6)
+    for chars, size, prefix in (("abcdefghijkmnpqrstuvwxyz23456789", 24, ""), ("abcdefghijkmnpqrstuvwxyz0123456789", 36, "ghp_"),
+                                ("abcdefghijkmnpqrstuvwxyz0123456789", 32, "sk-live-"), ("0123456789abcdef", 28, "")):
+        for _ in range(50):
+            own = prefix + "".join(rnd.sample(chars, min(size, len(chars))) + rnd.choices(chars, k=max(0, size - len(chars))))
+            assert spans(f"see {own} here"), own
+    key = "k3j9x0qz7v1b5n8m2w4r6t0y"
+    for text in ("example_key=" + key, key + "/xxxxxx", "xxxxxxxx-" + key, "placeholder/" + key + "/example"):
+        assert any(key in s for s in spans(text)), text
+    for calm in ("path/to/some2/file/in10/a/folder", "xxxxxxxxxxxxxxxxxxxxxxxx1234", "how-to-make-your-own-bread-at-home",
+                 "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        assert spans(calm) == [], calm
+
+
 def test_entropy_counts_are_right():
     rnd, limits = random.Random(3), {"hex": 3.0, "alnum": 3.0, "base64": 3.0, "letters": 3.0}
     text = "".join(rnd.choice("abcXYZ0123+/") for _ in range(80))
