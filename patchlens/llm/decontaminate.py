@@ -5,7 +5,7 @@ whose seeds meet those of a test item are aligned with it at the hits, and a str
 and nearly the same is reported.
 
 Edge cases: null or empty texts on either side match nothing; items of fewer than `MIN_WORDS` words are no evidence
-and match nothing, items shorter than a mask are looked up as whole runs; repeated documents and items give the same
+and match nothing, items shorter than `SPAN` words have masks of their own; repeated documents and items give the same
 rows once; empty tables give no rows; a document without an id cannot be reported and stays; other columns are
 ignored.
 """
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from patchlens.llm.words import PLACE, U, Words, mix, slices
 
-#: Selected places of each mask: six words out of ten.
-MASKS = ((0, 1, 2, 4, 7, 9), (0, 2, 3, 5, 6, 9), (0, 1, 4, 5, 8, 9))
+#: Selected places of each mask: six words out of up to ten. Some mask meets every ten words with two changed ones and
+#: every fifteen with three, so every stretch of ten words or more with one changed word in five: a stretch of 10 to 14,
+#: or 16 to 19, holds one of those, and a longer one parts into such.
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 6, 7), (0, 1, 3, 4, 5, 6), (0, 1, 3, 5, 7, 8), (0, 1, 4, 5, 7, 8))
 SPAN = 10
 MIN_WORDS = 5
 #: A stretch counts from so many words on (a shorter item: whole), with so large a share of equal words.
@@ -46,8 +48,15 @@ def _seed(w: Words, places: tuple[int, ...], tag: int) -> tuple[np.ndarray, np.n
         return at, mix(total[at])
 
 
-def _all_masks(short: list[int]) -> list[tuple[int, ...]]:
-    return [*MASKS, *(tuple(range(n)) for n in short)]
+def _short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of items of n words, of which one may be changed: each leaves out one of few equal parts of the item."""
+    width = max(1, n - max(MIN_WORDS, n // 2 + 1))
+    return [tuple(p for p in range(n) if not i <= p < i + width) for i in range(0, n, width)]
+
+
+def _all_masks(short: list[int]) -> list[tuple[tuple[int, ...], int]]:
+    """(mask, length of the items it is for: 0 for all)."""
+    return [*((m, 0) for m in MASKS), *((m, n) for n in short for m in _short_masks(n))]
 
 
 def _probe(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -71,16 +80,16 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 
 def _item_seeds(items: DataFrame, short: list[int], id_col: str, text_col: str) -> DataFrame:
-    """(seed, item_id, place): the seeds of every item under every mask; short items under their own length only."""
+    """(seed, item_id, place): the seeds of every item under every mask; masks of short items at their beginning only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = np.array(b.column(0).to_pylist(), np.int64)
             for w in slices(b.column(1)):
-                for tag, places in enumerate(_all_masks(short)):
+                for tag, (places, size) in enumerate(_all_masks(short)):
                     at, h = _seed(w, places, tag)
                     text = w.text[at]
-                    if tag >= len(MASKS):
-                        own = w.counts[text] == len(places)
+                    if size:
+                        own = (w.counts[text] == size) & (at == w.at[text])
                         at, h, text = at[own], h[own], text[own]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h.view(np.int64)), pa.array(ids[w.first + text]), pa.array(at - w.at[text])],
@@ -116,7 +125,7 @@ def _hits(docs: DataFrame, bits: np.ndarray, short: list[int], id_col: str, text
             ids = b.column(0)
             for w in slices(b.column(1)):
                 places, seeds = [], []
-                for tag, mask in enumerate(_all_masks(short)):
+                for tag, (mask, _) in enumerate(_all_masks(short)):
                     at, h = _seed(w, mask, tag)
                     for k in range(PROBES):
                         keep = known[_probe(h, k)]

@@ -434,6 +434,34 @@ def test_contamination_with_words_replaced(spark, odd, none):
     assert decontaminate.find_contaminated(df, items.limit(0), Scratch(spark)).collect() == []
 
 
+def test_masks_meet_every_pattern_of_changes():
+    for size in range(5, 20):
+        masks = [(m, range(size - m[-1])) for m in decontaminate.MASKS] if size >= decontaminate.SPAN else [
+            (m, (0,)) for m in decontaminate._short_masks(size)]
+        for changed in itertools.combinations(range(size), size // 5):
+            assert any(all(p + at not in changed for p in m) for m, places in masks for at in places), (size, changed)
+    assert all(len(m) >= min(n - 1, 5) for n in range(5, 10) for m in decontaminate._short_masks(n))
+
+
+def test_contamination_of_short_items_and_stretches(spark):
+    rows, items, want = [], [], set()
+    for size in (5, 6, 7, 8, 9, 10, 11, 15):
+        item = [f"s{size}w{i}" for i in range(size)]
+        items.append((size, " ".join(item)))
+        for changed in itertools.combinations(range(size), size // 5):
+            want.add((len(rows), size))
+            own = ["zz" if i in changed else w for i, w in enumerate(item)]
+            rows.append((len(rows), " ".join(["pad"] * (len(rows) % 3) + own + ["tail"] * (len(rows) % 2))))
+    item = [f"l{i}" for i in range(30)]
+    items.append((30, " ".join(item)))
+    for changed in itertools.combinations(range(12), 2):
+        want.add((len(rows), 30))
+        rows.append((len(rows), " ".join("zz" if i in changed else w for i, w in enumerate(item[9:21]))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.find_contaminated(df, spark.createDataFrame(items, "item_id long, text string"), Scratch(spark))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_best_stretch():
     a = np.arange(30)
     assert decontaminate.best_stretch(a, a[5:25], 5, 12, 0.8) == (20, 20, 5)
