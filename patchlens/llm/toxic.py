@@ -32,8 +32,11 @@ ADDRESS = frozenset("you your you're youre yourself u ur".split())
 QUOTES = frozenset("\"'`“”‘’«»„")
 SPAN = 5  # words looked at on either side
 SLICE = 1 << 19
-FEATURES = ("exact", "near", "stem", "exact_rate", "near_rate", "stem_rate", "addressed", "quoted", "bias")
-PRIOR = np.array([3.0, 1.5, 0.5, 3.0, 1.5, 1.0, 1.0, -1.0, -3.0])
+#: Kinds of hits: 1 a term, 2 near a term, 3 a stem and whatever follows, 4 near a stem and whatever follows.
+KINDS = 4
+FEATURES = ("exact", "near", "stem", "near_stem", "exact_rate", "near_rate", "stem_rate", "near_stem_rate", "addressed",
+            "quoted", "bias")
+PRIOR = np.array([3.0, 1.5, 0.5, 0.25, 3.0, 1.5, 1.0, 0.5, 1.0, -1.0, -3.0])
 
 _LETTER = np.zeros(0x3000, bool)
 _LOWER = np.arange(0x3000, dtype=np.uint32)
@@ -55,8 +58,9 @@ def edits(term: str) -> int:
 class Automaton:
     """Deterministic automaton of all strings near a term. terms: (text, is it a stem).
 
-    A state is a set of (trie node, edits so far); a stem accepts whatever follows it. `accept` gives the kind of
-    the best match of each state: 0 none, 1 exact, 2 near, 3 stem.
+    A state is a set of (trie node, edits so far); a stem accepts whatever follows it, or follows a misspelling of it
+    (nodes -1 and -2). `accept` gives the kind of the best match of each state, an exact one before a near one: 0 none,
+    1 exact, 3 stem, 2 near, 4 near a stem.
     """
 
     def __init__(self, terms: list[tuple[str, bool]]):
@@ -65,7 +69,7 @@ class Automaton:
         ends: list[list[tuple[int, bool]]] = [[]]
         room = [0]
         for term, stem in terms:
-            allowed, node = 0 if stem else edits(term), 0
+            allowed, node = edits(term), 0
             room[0] = max(room[0], allowed)
             for c in term:
                 if c not in children[node]:
@@ -94,28 +98,30 @@ class Automaton:
                 if e <= room[node] and found.get(node, 9) > e:
                     found[node] = e
             for node, e in state:
-                if node == -1:
-                    found[-1] = 0
+                if node < 0:
+                    found[node] = 0
                     continue
                 if node:  # the first letter stays: no letter is put before a term
                     put(node, e + 1)
                 for k, child in children[node].items():
                     put(child, e if k == c else e + 1)
-            out = closed(found) if -1 not in found else found
-            if any(node > 0 and e == 0 and any(stem for _, stem in ends[node]) for node, e in dict(out).items()):
-                found[-1] = 0
-            return frozenset(found.items())
+            done = {n: 0 for n in (-1, -2) if found.pop(n, None) is not None}
+            out = dict(closed(found))
+            for node, e in out.items():
+                if any(stem and e <= allowed for allowed, stem in ends[node]):
+                    done[-1 if e == 0 else -2] = 0
+            if -1 in done:
+                done.pop(-2, None)
+            return frozenset((out | done).items())
 
         def kind(state: frozenset) -> int:
-            best = 0
+            found = set()
             for node, e in state:
-                if node == -1:
-                    best = best or 3
-                    continue
-                for allowed, stem in ends[node]:
-                    if not stem and e <= allowed:
-                        best = 1 if e == 0 or best == 1 else 2
-            return best
+                if node < 0:
+                    found.add(2 - node)
+                else:
+                    found |= {1 if e == 0 else 2 for allowed, stem in ends[node] if not stem and e <= allowed}
+            return next((k for k in (1, 3, 2, 4) if k in found), 0)
 
         start = frozenset({(0, 0)})
         number = {frozenset(): 0, start: 1}
@@ -184,20 +190,20 @@ def batches_of(texts: list[str], limit: int = SLICE) -> Iterator[tuple[int, int,
 def features(texts: list[str], automaton: Automaton, usual: frozenset = frozenset(), span: int = SPAN) -> np.ndarray:
     """Counts of hits by kind, their rates, and how many are addressed to someone or quoted; one row a text.
 
-    usual: words near a term that are words of their own, no hits.
+    usual: words near a term or stem that are words of their own, no hits.
     """
     out = np.zeros((len(texts), len(FEATURES)))
     out[:, -1] = 1
     for i, j, codes, bounds in batches_of(texts):
         letters, start, end, text = split_words(codes, bounds)
         kinds = automaton.run(letters, start, end)
-        for h in np.flatnonzero(kinds == 2) if usual else ():
+        for h in np.flatnonzero((kinds == 2) | (kinds == 4)) if usual else ():
             if "".join(map(chr, letters[start[h]:end[h]])) in usual:
                 kinds[h] = 0
         size = np.maximum(1, np.bincount(text, minlength=j - i)) if len(text) else np.ones(j - i)
-        for k in (1, 2, 3):
+        for k in range(1, KINDS + 1):
             out[i:j, k - 1] = np.bincount(text[kinds == k], minlength=j - i) if len(text) else 0
-        for h in np.flatnonzero((kinds == 1) | (kinds == 2)):
+        for h in np.flatnonzero(kinds):
             t = text[h]
             near = [x for x in range(max(0, h - span), min(len(start), h + span + 1)) if text[x] == t and x != h]
             around = {"".join(map(chr, letters[start[x]:end[x]])) for x in near}
@@ -207,11 +213,11 @@ def features(texts: list[str], automaton: Automaton, usual: frozenset = frozense
             quoted = bool(left & QUOTES and right & QUOTES) or bool(around & REPORTING)
             if quoted:  # speech that is reported is no abuse of its own
                 out[i + t, kinds[h] - 1] -= 1
-            out[i + t, 7] += quoted
-            out[i + t, 6] += bool(around & ADDRESS) and not quoted
-        out[i:j, 3:6] = 10 * out[i:j, :3] / np.sqrt(size)[:, None]
-        out[i:j, :3] = np.log1p(out[i:j, :3])
-        out[i:j, 6:8] = np.log1p(out[i:j, 6:8])
+            out[i + t, -2] += quoted
+            out[i + t, -3] += bool(around & ADDRESS) and not quoted
+        out[i:j, KINDS:2 * KINDS] = 10 * out[i:j, :KINDS] / np.sqrt(size)[:, None]
+        out[i:j, :KINDS] = np.log1p(out[i:j, :KINDS])
+        out[i:j, -3:-1] = np.log1p(out[i:j, -3:-1])
     return out
 
 
@@ -249,17 +255,16 @@ def learn_terms(texts: list[str], y: np.ndarray, most: int = MAX_TERMS) -> list[
         if not any(s.startswith(c) for c in chosen) and not any(w.startswith(s) and said[w] > 0.7 * n
                                                                  for _, w, _ in found):
             chosen.append(s)
-    words = [(w, False) for _, w, _ in sorted(found, key=lambda x: (-x[0], x[1]))
-             if not any(w.startswith(c) for c in chosen)]
+    words = [(w, False) for _, w, _ in sorted(found, key=lambda x: (-x[0], x[1]))]
     return [(s, True) for s in chosen[:most // 3]] + words[:most]
 
 
 def usual_words(texts: list[str], automaton: Automaton, least: int = 2, most: int = 5000) -> frozenset:
-    """Words near a term that several harmless documents hold."""
+    """Words near a term or a stem that several harmless documents hold."""
     holders: Counter = Counter()
     for i, _, codes, bounds in batches_of(texts):
         letters, start, end, text = split_words(codes, bounds)
-        near = np.flatnonzero(automaton.run(letters, start, end) == 2)
+        near = np.flatnonzero(np.isin(automaton.run(letters, start, end), (2, 4)))
         holders.update(w for w, _ in {("".join(map(chr, letters[start[h]:end[h]])), text[h]) for h in near})
     return frozenset(w for w, n in sorted(holders.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least)
 
@@ -285,9 +290,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_t
         rows.sort(key=lambda r: r[0])
         texts, y = [r[1] or "" for r in rows], np.array([int(r[2] > 0) for r in rows], int)
         learned = learn_terms(texts, y)
-        stems = [s for s, is_stem in learned if is_stem]
-        terms = learned + [(s, False) for s in seeds
-                           if (s, False) not in learned and not any(s.startswith(c) for c in stems)]
+        terms = learned + [(s, False) for s in seeds if (s, False) not in learned]
         automaton = Automaton(terms)
         usual = usual_words([t for t, toxic in zip(texts, y) if not toxic], automaton)
         w = fit_model(features(texts, automaton, usual), y)
@@ -302,15 +305,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_t
 
 def score_toxicity(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted and hit counts of every document, from its whole text."""
+    # made once for the whole run
+    sent = docs.sparkSession.sparkContext.broadcast(Automaton([tuple(t) for t in model["terms"]]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, w = Automaton([tuple(t) for t in model["terms"]]), np.array(model["weights"])
+        automaton, w = sent.value, np.array(model["weights"])
         usual = frozenset(model["usual"])
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 x = features([t or "" for t in part.column(1).to_pylist()], automaton, usual)
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-                hits = np.rint(np.expm1(x[:, :3])).astype(np.int64)
+                hits = np.rint(np.expm1(x[:, :KINDS])).astype(np.int64)
+                hits[:, 2] += hits[:, 3]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(p), *(pa.array(hits[:, k]) for k in range(3))],
                     ["doc_id", "score", "n_exact", "n_near", "n_stem"])

@@ -537,6 +537,37 @@ def test_automaton_is_the_edit_distance():
     assert automaton.run(letters, np.array([0]), np.array([9]))[0] == 3
 
 
+def test_stems_have_misspellings_and_contexts():
+    automaton = toxic.Automaton([("achli", True), ("verbrecht", True), ("achlich", False)])
+    def kinds(*tried):
+        letters = np.frombuffer("".join(tried).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(w) for w in tried])
+        return automaton.run(letters, ends - [len(w) for w in tried], ends).tolist()
+    assert kinds("achlich", "achlixyz", "achlicx", "achxixyz", "achixyz", "achllixyz", "axhxixyz") == [1, 3, 3, 4, 4, 4, 0]
+    assert kinds("verbrechtung", "verbrxchtung", "vrbrxchtung", "vrbxxchtung", "acl", "acli") == [3, 4, 4, 0, 0, 4]
+    rnd, stems = random.Random(8), ["achli", "verbrecht"]
+    tried = []
+    for _ in range(3000):
+        w = list(rnd.choice(stems))
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(1, len(w) + 1)
+            w[at:at + rnd.randrange(2)] = rnd.choices("abcehilrtv", k=rnd.randrange(2))
+        tried.append("".join(w + rnd.choices("xyz", k=rnd.randrange(4))))
+    for w, kind in zip(tried, kinds(*tried)):
+        near = any(distance(w[1:n], t[1:]) <= toxic.edits(t) for t in stems if t[0] == w[0] for n in range(1, len(w) + 1))
+        assert (kind > 0) == near, w
+    texts = ["you are verbrechtung", "they said verbrechtung there", "you are verbrxchtung", "\"verbrxchtung\" it was"]
+    x = toxic.features(texts, automaton)
+    assert x[:, -3].tolist() == [np.log(2), 0, np.log(2), 0] and x[:, -2].tolist() == [0, np.log(2), 0, np.log(2)]
+    assert not x[[1, 3], :2 * toxic.KINDS].any() and x[0, 2] and x[2, 3]
+
+
+def test_words_under_a_stem_stay_terms():
+    texts = [f"stemmy{x} stemmy{y} filler" for x, y in itertools.product("abcdefghij", "klmnopqrst")] + ["calm words here"] * 400
+    got = toxic.learn_terms(texts, np.array([1] * 100 + [0] * 400))
+    assert ("stemm", True) in got and {(f"stemmy{x}", False) for x in "abcdefghijklmnopqrst"} <= set(got)
+
+
 def test_quotation_is_told_from_abuse():
     automaton = toxic.Automaton([(s, False) for s in toxic.SEEDS])
     x = toxic.features(["you are an idiot and a m0ron", "he said the word idiot was \"moron\" then", "", "idi ot"], automaton)
