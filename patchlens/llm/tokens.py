@@ -75,8 +75,6 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         """Ids of new pieces, from the tokenizer's model: a piece is one word to it."""
-        if len(self.start) + len(pieces) > KNOWN:
-            self.forget()
         model = self.tokenizer.model
         ids = [[t.id for t in model.tokenize(
             p if p.isascii() else "".join(_LETTER[b] for b in p.encode()))] for p in pieces]
@@ -128,21 +126,25 @@ class Encoder:
         start, end = np.flatnonzero(change[:-1] & inside), np.flatnonzero(change[1:] & inside) + 1
         bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
         hashes = np.concatenate([piece_hashes(raw, start[i:j], end[i:j]) for i, j in _runs(start, end)] or [np.zeros(0, U)])
-        which, new = self._find(hashes)
-        if len(new):
-            for _ in range(2):  # a second time where learning has made room by forgetting
-                own, at = np.unique(hashes[new], return_index=True)
+        flats, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+        data = None
+        for i in range(0, len(hashes), KNOWN):  # so many pieces can be known at once, however they differ
+            part = hashes[i:i + KNOWN]
+            which, new = self._find(part)
+            if len(new):
+                own, at = np.unique(part[new], return_index=True)
                 at = new[at]
-                data = raw.tobytes()
-                self._learn(own, [data[start[i]:end[i]].decode("latin-1") for i in at.tolist()])
-                which, new = self._find(hashes)
-                if not len(new):
-                    break
-            else:
-                raise RuntimeError("more distinct pieces in a batch than are remembered")
-        size = self.size[which]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        flat = self.flat[np.repeat(self.start[which] - ends[:-1], size) + np.arange(ends[-1])]
+                if len(self.start) + len(own) > KNOWN:
+                    self.forget()
+                    own, at = np.unique(part, return_index=True)
+                data = data or raw.tobytes()
+                self._learn(own, [data[start[x]:end[x]].decode("latin-1") for x in (at + i).tolist()])
+                which, _ = self._find(part)
+            size = self.size[which]
+            ends = np.cumsum(size)
+            flats.append(self.flat[np.repeat(self.start[which] - ends + size, size) + np.arange(size.sum())])
+            sizes.append(size)
+        flat, ends = np.concatenate(flats), np.cumsum(np.concatenate([[0], *sizes]))
         cuts = ends[np.searchsorted(start, bounds)]
         return [flat[i:j] for i, j in zip(cuts, cuts[1:])]
 

@@ -96,6 +96,21 @@ def test_tokens_equal_the_tokenizers(spark, folder, docs, odd, none):
     assert tokens.encoded(none, fresh_path(spark, "t")).collect() == []
 
 
+def test_more_distinct_pieces_than_are_remembered(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "KNOWN", 50)
+    code = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(9)
+    def junk(n):
+        return " ".join("".join(rnd.choices("abcdefgé", k=6)) for _ in range(n))
+    known = junk(40)
+    for texts in ([known], [known + " " + junk(45), "", junk(30)], [junk(400), known, " ", known], [known] * 9, [""], [junk(50), "x"]):
+        want = code._encode(texts)
+        assert [x.tolist() for x in code.encode(texts)] == want
+        assert len(code.start) <= 50
+
+
 def test_cut_documents_come_back(spark):
     path = fresh_path(spark, "t")
     df = spark.createDataFrame([(i, "the cat sat on " * n) for i, n in enumerate((0, 3000, 1, 700))], "doc_id long, text string")
