@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlens.llm import decontaminate, ftrl, itq, jaccard, lines, mixing, secret_scan, tokens, toxic, warc
+from patchlens.llm import decontaminate, filter_audit, ftrl, itq, jaccard, license_scan, lines, mixing, prefix_trie
+from patchlens.llm import secret_scan, tokens, toxic, warc
 from patchlens.llm.common import Scratch, fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,18 @@ def vector_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_jaccard_join")
 def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"), Scratch(spark), shingle=4, t=85)
+
+
+@query("op11_filter_audit", filter_audit.ORACLE)
+def filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"), Scratch(spark))
+
+
+@query("op12_prefix_trie", prefix_trie.ORACLE)
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"), Scratch(spark))
+
+
+@query("op13_license_scan")
+def license_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, folder, "documents"))
