@@ -10,9 +10,10 @@ from patchlens.functions import labels as lx
 from patchlens.functions import text as fx
 from patchlens.functions import vectors as vx
 from patchlens.functions.patterns import squeeze
-from patchlens.operators.grouping import first_per_group, top_per_group
+from patchlens.operators.grouping import first_per_group, range_bins, top_per_group
 from patchlens.rules import lexicon as L
 from patchlens.rules.categories import TOPIC_HINTS
+from patchlens.session import discard, settle
 
 
 def existing_counts(pairs: DataFrame) -> dict[str, DataFrame]:
@@ -123,31 +124,57 @@ def cap_per_group(df: DataFrame, category: str, repository: str, order: list[str
     return rows.orderBy(*by).limit(target) if target is not None else rows
 
 
-def cap_per_group_greedy(df: DataFrame, category: str, repository: str, order: list[str],
-                         caps: dict[str, int], per_repository: int) -> DataFrame:
-    """Row-by-row admission: a row refused by its category leaves its repository's room alone.
+def _counts_before(rows: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """Admitted and open rows before each row of its group. Ranges of the order are counted first, so a group's rows
+    are only ordered inside a range."""
+    by = [key, "_range"]
+    flags = {f"{name}_in": F.col("_in").cast("int"), f"{name}_open": (~F.col("_in")).cast("int")}
+    sums = rows.groupBy(*by).agg(*(F.sum(x).alias(n) for n, x in flags.items()))
+    so_far = Window.partitionBy(key).orderBy("_range")
+    offsets = sums.select(*by, *((F.sum(n).over(so_far) - F.col(n)).alias(f"{n}_0") for n in flags))
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(offsets, by).select("*", *((F.col(f"{n}_0") + F.coalesce(F.sum(x).over(inside), F.lit(0))).alias(n)
+                                                for n, x in flags.items())).drop(*(f"{n}_0" for n in flags))
 
-    Rows admitted for one (category, repository) are a prefix of at most k rows. That prefix is
-    taken first, spread over the cluster; only it is walked in order. Use while categories x
-    repositories x k stays small, else `cap_per_group`.
-    """
-    import pandas as pd
 
+def cap_per_group_greedy(df: DataFrame, category: str, repository: str, order: list[str],
+                         caps: dict[str, int], per_repository: int, default_cap: int = 0,
+                         repository_counts: DataFrame | None = None, category_counts: DataFrame | None = None,
+                         target: int | None = None) -> DataFrame:
+    """Row-by-row admission in `order`: a row refused by its category leaves its repository's room alone.
+
+    Counts only grow, so the rows admitted for one (category, repository) are a prefix of at most `per_repository`
+    rows; that prefix is taken first. Then rounds settle what is certain: a row is admitted once the admitted and the
+    still open rows before it leave room in both groups, and refused once the admitted ones alone fill one of them. The
+    first open row is always settled, so the rounds end; rows that share no full group are settled together. Equal rows
+    in `order` go by a hash of the whole row.
+    """
     by = [F.col(c) for c in order]
-    small = top_per_group(df, [category, repository], by, per_repository, order, "_prefix").drop(
-        "_prefix")
-
-    def admit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, in_category, in_repository, keep = rows.sort_values(order), {}, {}, []
-        for c, r in zip(rows[category], rows[repository]):
-            ok = in_category.get(c, 0) < caps.get(c, 0) and in_repository.get(r, 0) < per_repository
-            if ok:
-                in_category[c] = in_category.get(c, 0) + 1
-                in_repository[r] = in_repository.get(r, 0) + 1
-            keep.append(ok)
-        return rows[keep]
-
-    return small.groupBy().applyInPandas(admit, small.schema)
+    rows = top_per_group(df, [category, repository], by, per_repository, order, "_prefix").drop("_prefix")
+
+    def named(c: str) -> Column:  # nulls are a group of their own, which joins would lose
+        return F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(c).cast("string")))
+
+    cap = reduce(lambda c, kv: c.when(F.col(category) == kv[0], kv[1]), caps.items(),
+                 F.when(F.lit(False), 0)).otherwise(default_cap)
+    rows = rows.withColumns({"_c": named(category), "_r": named(repository), "_cap": cap, "_most": F.lit(per_repository),
+                             "_tie": F.xxhash64(*df.columns), "_in": F.lit(False)})
+    for counts, column, key, room in ((category_counts, category, "_c", "_cap"), (repository_counts, repository, "_r", "_most")):
+        if counts is not None:
+            had = counts.select(named(column).alias(key), F.col("n").alias("_had"))
+            rows = rows.join(had, key, "left").withColumn(room, F.col(room) - F.coalesce("_had", F.lit(0))).drop("_had")
+    by = [*by, F.col("_tie")]
+    rows = range_bins(rows.where("_cap > 0 AND _most > 0"), by)
+    kept = rows.columns
+    while not rows.where("NOT _in").isEmpty():
+        seen = _counts_before(_counts_before(rows, "_c", by, "_of_c"), "_r", by, "_of_r")
+        refused = ~F.col("_in") & ((F.col("_of_c_in") >= F.col("_cap")) | (F.col("_of_r_in") >= F.col("_most")))
+        admitted = ((F.col("_of_c_in") + F.col("_of_c_open") < F.col("_cap"))
+                    & (F.col("_of_r_in") + F.col("_of_r_open") < F.col("_most")))
+        before, rows = rows, settle(seen.where(~refused).withColumn("_in", F.col("_in") | admitted).select(*kept), "admitted")
+        discard(before)
+    out = rows if target is None else rows.orderBy(*by).limit(target)
+    return out.select(*df.columns)
 
 
 def build_record(df: DataFrame) -> DataFrame:

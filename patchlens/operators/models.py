@@ -1,6 +1,7 @@
 """Classifiers on Spark ML and the training jobs built from them."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 from patchlens.functions import vectors as vx
 from patchlens.functions.patterns import bind
 from patchlens.operators import evaluate as ev
+from patchlens.operators.descent import LinearScores, fit_sgd
 from patchlens.operators.quality import drop_rare_classes
 from patchlens.operators.report import class_balance, lookup_texts
 from patchlens.operators.reshape import swap_pairs, top_predictions
 from patchlens.operators.splits import group_kfold, group_split, stratified_split
 from patchlens.operators.tfidf import TermWeights, word_grams
+from patchlens.operators.trees import TreeEnsemble, fit_extra_trees, fit_softmax_boosting
 from patchlens.session import new_table_path
 
 
@@ -31,7 +34,10 @@ def with_features(df: DataFrame, *arrays: str) -> DataFrame:
 
 def plain(model: Model) -> Model:
     """The model without its training summary, by writing and loading it. The summary of a binary model
-    holds the session, and tasks cannot be sent with it once the session has run a stream."""
+    holds the session, and tasks cannot be sent with it once the session has run a stream. Models of this
+    library have no summary."""
+    if not isinstance(model, Model):
+        return model
     path = new_table_path(SparkSession.active(), "model")
     model.write().save(path)
     return type(model).load(path)
@@ -39,29 +45,36 @@ def plain(model: Model) -> Model:
 
 def fit_linear(train: DataFrame, kind: str = "logistic", weight: str | None = "weight",
                iterations: int = 100) -> Model:
-    """logistic, sgd (lightly regularised logistic) or svm (one against the rest)."""
+    """logistic, sgd (logistic by stochastic descent) or svm (one against the rest)."""
     extra = {"weightCol": weight} if weight else {}
     if kind == "svm":
         binary = LinearSVC(maxIter=iterations, **extra)
         return plain(OneVsRest(classifier=binary, parallelism=4, **extra).fit(train))
-    reg = {"logistic": 1e-2, "sgd": 1e-4}[kind]
-    return plain(LogisticRegression(maxIter=iterations, regParam=reg, **extra).fit(train))
+    if kind == "sgd":
+        return fit_sgd(train, class_count(train), iterations, weight=weight)
+    return plain(LogisticRegression(maxIter=iterations, regParam=1e-2, **extra).fit(train))
+
+
+def class_count(train: DataFrame) -> int:
+    return int(train.agg(F.max("label")).first()[0] or 0) + 1
 
 
 def fit_forest(train: DataFrame, trees: int = 200, depth: int = 20, extra_random: bool = False,
                weight: str | None = "weight", seed: int = 42) -> Model:
+    """Random forest, or extremely random trees: all rows, random cuts."""
+    if extra_random:
+        return fit_extra_trees(train, class_count(train), trees, depth, weight, seed)
     extra = {"weightCol": weight} if weight else {}
-    sampling = {"featureSubsetStrategy": "log2", "bootstrap": False} if extra_random else {}
-    return plain(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **sampling,
-                                        **extra).fit(train))
+    return plain(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **extra).fit(train))
 
 
 def fit_boosted(train: DataFrame, classes: int, rounds: int = 100, depth: int = 5,
                 weight: str | None = "weight", seed: int = 42) -> Model:
+    """Gradient boosting; for more than two classes on the softmax loss, all classes in each round."""
+    if classes > 2:
+        return fit_softmax_boosting(train, classes, rounds, depth, weight=weight)
     extra = {"weightCol": weight} if weight else {}
-    boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, **extra)
-    return plain(boosted.fit(train) if classes == 2 else OneVsRest(
-        classifier=boosted, parallelism=4, **extra).fit(train))
+    return plain(GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, **extra).fit(train))
 
 
 def fit_mlp(train: DataFrame, width: int, classes: int, iterations: int = 100, seed: int = 42
@@ -112,6 +125,13 @@ def score_row(model: Model, test: DataFrame, name: str, position: int) -> DataFr
                          *joined.columns)
 
 
+@dataclass
+class Fit:
+    """A fitting function in the form of an estimator."""
+
+    fit: Callable[[DataFrame], TreeEnsemble | LinearScores]
+
+
 @dataclass
 class Trained:
     models: dict[str, Model] = field(default_factory=dict)
@@ -240,8 +260,7 @@ def train_binary(samples: DataFrame, group: str, label: str, features: dict[str,
             "logistic": LogisticRegression(maxIter=iterations, regParam=1e-2),
             "svm": LinearSVC(maxIter=iterations),
             "forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42),
-            "extra_trees": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42,
-                                                  featureSubsetStrategy="log2", bootstrap=False),
+            "extra_trees": Fit(lambda d: fit_forest(d, trees, depth, True, weight=None)),
             "boosted": GBTClassifier(maxIter=rounds, seed=42)}
         for name, estimator in models.items():
             scores = [evaluator.evaluate(plain(estimator.fit(parts.where(F.col("fold") != f))).transform(

@@ -1,15 +1,18 @@
-"""Exact nearest neighbours by blocked matrix products, and the retrieval gate.
+"""Exact nearest neighbours by cells with bounds, and the retrieval gate.
 
-References are cut into blocks and met with target buckets in a grid of cells, all of bounded size;
-each cell keeps only its best k per target, and the winners are merged.
+References are dealt to cells around centroids. A cell knows how far its members lie from the centroid and within which
+range each coordinate stays, which bounds the score that any of them can reach against a target. Neighbouring cells form
+tiles of bounded size. A target goes to the tile of its nearest centroid first, and then only to tiles that hold a cell
+whose bound reaches its k-th best score so far; inside a tile it meets only such cells, its best one first.
 """
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.functions import text as fx
@@ -19,111 +22,367 @@ from patchlens.operators.tfidf import TermWeights, word_grams
 from patchlens.rules import lexicon as L
 from patchlens.session import settle
 
-BLOCK_BYTES = 64 << 20  # of a cell's dense references, and of its dense targets
+BLOCK_BYTES = 64 << 20  # of a tile's dense references, and of the dense targets that meet it in one task
 CHUNK_ROWS = 1_024
 PLACES = 9  # scores are compared at this many places, so equal rows tie on every machine
+SLACK = 2 * 10.0**-PLACES  # a bound this much below the k-th best score still counts as reached
+CELL_ROWS = 64  # members of a cell on average, as long as there are no more than MAX_CELLS
+MAX_CELLS = 1_024  # so what all tasks are told of the cells has a size that does not grow with the references
+MAX_FIT = 4_096  # references, those of the smallest hashed ids, that the centroids are fitted on
+FIT_ROUNDS = 4
 
 
-def _matrix(batch: pa.RecordBatch | pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and dense rows of a batch with columns id, idx, val (all sparse)."""
-    ids = np.asarray(batch.column("id"), dtype=np.int64)
+def _dense(batch: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
     idx, val = batch.column("idx"), batch.column("val")
     if isinstance(idx, pa.ChunkedArray):
         idx, val = idx.combine_chunks(), val.combine_chunks()
     lengths = np.diff(np.asarray(idx.offsets))
-    rows = np.repeat(np.arange(len(ids)), lengths)
-    dense = np.zeros((len(ids), dim))
-    dense[rows, np.asarray(idx.flatten())] = np.asarray(val.flatten())
-    return ids, dense
-
-
-def _best(target_ids, targets, ref_ids, refs, k: int, threshold: float | None) -> pa.RecordBatch:
-    """Best k references per target: score descending, then smaller reference id."""
-    outs = []
-    for at in range(0, len(target_ids), CHUNK_ROWS):
-        scores = np.round(targets[at:at + CHUNK_ROWS] @ refs.T, PLACES)
-        if k == 1:
-            cols = scores.argmax(axis=1)
-            rows = np.arange(len(scores))
-        else:
-            floor = np.partition(scores, -min(k, scores.shape[1]), axis=1)
-            floor = floor[:, -min(k, scores.shape[1])]
-            rows, cols = np.nonzero(scores >= floor[:, None])
-            order = np.lexsort((cols, -scores[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
-            starts = np.searchsorted(rows, rows, side="left")
-            keep = np.arange(len(rows)) - starts < k
-            rows, cols = rows[keep], cols[keep]
-        best = scores[rows, cols]
-        if threshold is not None:
-            keep = best >= threshold
-            rows, cols, best = rows[keep], cols[keep], best[keep]
-        outs.append((target_ids[at + rows], ref_ids[cols], best))
-    parts = [np.concatenate(p) for p in zip(*outs)] if outs else [[], [], []]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()),
-         pa.array(parts[2], pa.float64())], names=["target_id", "reference_id", "score"])
-
-
-def _sorted_refs(table, dim):
-    ids, dense = _matrix(table, dim)
-    order = np.argsort(ids, kind="stable")
-    return ids[order], dense[order]
-
-
-def nearest(targets: DataFrame, references: DataFrame, dim: int, k: int = 1,
-            threshold: float | None = None, carry: tuple[str, ...] = (),
-            block_rows: int | None = None) -> DataFrame:
+    dense = np.zeros((len(lengths), dim))
+    dense[np.repeat(np.arange(len(lengths)), lengths), np.asarray(idx.flatten())] = np.asarray(val.flatten())
+    return dense
+
+
+def fit_centres(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Centroids by a few rounds of nearest means, from the first rows that differ."""
+    _, firsts = np.unique(sample, axis=0, return_index=True)
+    centres = sample[np.sort(firsts)[:cells]].copy()
+    for _ in range(FIT_ROUNDS if len(centres) > 1 else 0):
+        own = nearest_centre(sample, centres)
+        counts = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        centres[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
+    return centres
+
+
+def nearest_centre(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (rows @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+
+
+@dataclass
+class Bounds:
+    """What is known of each cell: centre, distances from it in each part of the coordinates and in all, and the
+    least and greatest value of each coordinate. At most MAX_CELLS rows of `dim` numbers each."""
+
+    centres: np.ndarray
+    parts: list[tuple[int, int]]
+    radii: np.ndarray  # [cell, part], the whole last
+    low: np.ndarray
+    high: np.ndarray
+    sizes: np.ndarray
+
+    def of(self, targets: np.ndarray, cells: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """No member of a cell scores more than this against a target: [target, cell].
+
+        In each part the score is at most the centre's plus the target's length times the radius, and at most the sum
+        of each coordinate's greatest product; over all coordinates the first holds as well.
+        """
+        centres, radii = self.centres[cells], self.radii[cells]
+        near = targets @ centres.T
+        reach = near + np.linalg.norm(targets, axis=1)[:, None] * radii[:, -1]
+        total = np.zeros_like(near)
+        for p, (a, b) in enumerate(self.parts):
+            t = targets[:, a:b]
+            ball = t @ centres[:, a:b].T + np.linalg.norm(t, axis=1)[:, None] * radii[:, p]
+            box = np.maximum(t, 0) @ self.high[cells, a:b].T
+            if (t < 0).any():
+                box += np.minimum(t, 0) @ self.low[cells, a:b].T
+            total += np.minimum(ball, box)
+        return np.where(self.sizes[cells] > 0, np.minimum(reach, total), -np.inf)
+
+    def tiles(self, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first tile, number of tiles) of each cell. Cells that lie near each other share a tile of at most so many
+        rows; a larger cell is cut into tiles of its own."""
+        middle = self.centres - self.centres.mean(axis=0)
+        axis = np.linalg.svd(middle, full_matrices=False)[2][0] if len(middle) > 1 else np.zeros(middle.shape[1])
+        first, parts = np.zeros(len(self.sizes), np.int64), np.ones(len(self.sizes), np.int64)
+        tile, held = 0, 0
+        for cell in np.argsort(middle @ axis, kind="stable").tolist():
+            size = int(self.sizes[cell])
+            if held and held + size > rows:
+                tile, held = tile + 1, 0
+            first[cell], parts[cell] = tile, max(1, math.ceil(size / rows))
+            held += size
+            if parts[cell] > 1:
+                tile, held = tile + int(parts[cell]), 0
+        return first, parts
+
+
+@dataclass
+class VectorIndex:
+    """References in cells. `rows`: id, idx, val, cell and the distances from its centre; `bounds` as told to tasks."""
+
+    rows: DataFrame
+    bounds: Bounds
+    dim: int
+
+    @classmethod
+    def build(cls, references: DataFrame, dim: int, split: int = 0, cell_rows: int = CELL_ROWS,
+              settled: bool = False) -> "VectorIndex":
+        """Deal references (id, idx, val) to cells. `split` parts the coordinates into two with bounds of their own.
+        They are read three times, and so written first unless they come from a settled table."""
+        whole = references.select("id", "idx", "val")
+        whole = whole if settled else settle(whole, "references")
+        cells = max(1, min(MAX_CELLS, math.ceil(whole.count() / cell_rows)))
+        sample = whole.orderBy(F.xxhash64("id", "idx", "val")).limit(MAX_FIT if cells > 1 else 1).toArrow()
+        centres = fit_centres(_dense(sample, dim), cells) if sample.num_rows else np.zeros((1, dim))
+        parts = [(0, split), (split, dim)] if 0 < split < dim else [(0, dim)]
+        told = whole.sparkSession.sparkContext.broadcast(centres)
+
+        def deal(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, CHUNK_ROWS):
+                    part = batch.slice(at, CHUNK_ROWS)
+                    dense = _dense(part, dim)
+                    own = nearest_centre(dense, told.value)
+                    away = dense - told.value[own]
+                    far = [np.linalg.norm(away[:, a:b], axis=1) for a, b in [*parts, (0, dim)]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.array(own, pa.int32()), pa.array(list(np.array(far).T))],
+                        [*part.schema.names, "cell", "far"])
+
+        rows = settle(whole.mapInArrow(deal, "id long, idx array<int>, val array<double>, cell int, far array<double>"),
+                      "cells")
+        told.destroy()
+        return cls(rows, _bounds(rows, centres, parts), dim)
+
+    def write(self, path: str) -> None:
+        """Rows in one folder a cell, so that a search reads the cells that it visits; centres and parts beside them."""
+        spark = self.rows.sparkSession
+        slices = F.pmod(F.xxhash64("id"), F.lit(max(1, int(self.bounds.sizes.max()) // (CELL_ROWS * 1_000))))
+        self.rows.repartition("cell", slices).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        split = self.bounds.parts[0][1] if len(self.bounds.parts) > 1 else 0
+        spark.createDataFrame([(i, self.dim, split, c.tolist()) for i, c in enumerate(self.bounds.centres)],
+                              "cell int, dim int, split int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> "VectorIndex":
+        found = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # at most MAX_CELLS rows
+        dim, split = found[0]["dim"], found[0]["split"]
+        parts = [(0, split), (split, dim)] if split else [(0, dim)]
+        rows = spark.read.schema("id long, idx array<int>, val array<double>, far array<double>, cell int").parquet(f"{path}/rows")
+        return cls(rows, _bounds(rows, np.array([r["centre"] for r in found]), parts), dim)
+
+
+def _bounds(rows: DataFrame, centres: np.ndarray, parts: list[tuple[int, int]]) -> Bounds:
+    """Counts, radii and coordinate ranges by cell, from aggregates whose size is cells x coordinates."""
+    cells, dim = centres.shape
+    radii, sizes = np.zeros((cells, len(parts) + 1)), np.zeros(cells, np.int64)
+    far = [F.max(F.get("far", F.lit(p))).alias(f"r{p}") for p in range(len(parts) + 1)]
+    for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *far).collect():
+        sizes[r["cell"]] = r["n"]
+        radii[r["cell"]] = [r[f"r{p}"] for p in range(len(parts) + 1)]
+    entries = rows.select("cell", F.explode(F.arrays_zip("idx", "val")).alias("e")).groupBy(
+        "cell", F.col("e.idx").alias("i")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("e.val").alias("low"), F.max("e.val").alias("high")).toArrow()
+    cell, i = (np.asarray(entries.column(c)) for c in ("cell", "i"))
+    low, high = np.zeros((cells, dim)), np.zeros((cells, dim))
+    # a coordinate that not every member names is 0 for the others
+    every = np.asarray(entries.column("n")) == sizes[cell]
+    lows, highs = np.asarray(entries.column("low")), np.asarray(entries.column("high"))
+    low[cell, i] = np.where(every, lows, np.minimum(lows, 0))
+    high[cell, i] = np.where(every, highs, np.maximum(highs, 0))
+    return Bounds(centres, parts, radii, low, high, sizes)
+
+
+@dataclass
+class SearchCost:
+    """Scores worked out by a search, and those of all targets against all references."""
+
+    scores: int = 0
+    all_scores: int = 0
+
+
+def nearest(targets: DataFrame, references: DataFrame | VectorIndex, dim: int, k: int = 1,
+            threshold: float | None = None, carry: tuple[str, ...] = (), split: int = 0,
+            block_rows: int | None = None, cell_rows: int = CELL_ROWS, cost: SearchCost | None = None) -> DataFrame:
     """Exact top k references by dot product. Both sides have columns id, idx, val.
 
-    One plan at any size: both sides are written once, dealt into blocks of bounded bytes and met
-    cell by cell; each cell keeps its best k per target. Every target row has its own result, also
-    among equal ids. With one reference per target and no threshold, all targets stay: without any
-    reference their score is 0. `carry` names target columns to keep in the result.
+    One plan at any size. Every target row has its own result, also among equal ids. With one reference per target and
+    no threshold, all targets stay: without any reference their score is 0. `carry` names target columns to keep in the
+    result; `cost` is told what the search took. `block_rows` bounds what a task holds of either side.
     """
-    key = F.xxhash64("id", "idx", "val")
-    whole = settle(targets.select("id", "idx", "val", *carry).withColumn("_row", key), "targets")
-    left = whole.select("id", "_row", "idx", "val").dropDuplicates(["id", "_row"])
-    right = settle(references.select("id", "idx", "val"), "references")
-    rows = block_rows or max(64, BLOCK_BYTES // (8 * dim))
-    found = _grid(left, right, dim, k, threshold, rows)
+    index = references if isinstance(references, VectorIndex) else VectorIndex.build(references, dim, split, cell_rows)
+    whole = settle(targets.select("id", "idx", "val", *carry).withColumn("_row", F.monotonically_increasing_id()), "targets")
+    found = _search(whole.select("id", "_row", "idx", "val"), index, k, threshold,
+                    block_rows or max(64, BLOCK_BYTES // (8 * dim)), cost)
     own = whole.select(F.col("id").alias("target_id"), "_row", *carry)
     if k == 1:
         best = F.max(F.struct("score", (-F.col("reference_id")).alias("key"))).alias("b")
-        merged = found.groupBy("target_id", "_row").agg(best)
-        out = own.join(merged, ["target_id", "_row"], "inner" if threshold is not None else "left")
+        merged = found.groupBy("_row").agg(best)
+        out = own.join(merged, "_row", "inner" if threshold is not None else "left")
         return out.select("target_id", (-F.col("b.key")).alias("reference_id"),
                           F.coalesce("b.score", F.lit(0.0)).alias("score"), *carry)
     order = [F.col("score").desc(), F.col("reference_id")]
-    top = top_per_group(found, ["target_id", "_row"], order, k, ["reference_id"])
-    return top.join(own, ["target_id", "_row"]).drop("_row")
-
-
-def _grid(targets, references, dim, k, threshold, block_rows) -> DataFrame:
-    blocks = max(1, math.ceil(references.count() / block_rows))
-    buckets = max(1, math.ceil(targets.count() / block_rows), _tasks(targets.sparkSession) // blocks)
-
-    def place(df, own, n_own, other, n_other):
-        return (df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))))
-
-    left = place(targets, "bucket", buckets, "block", blocks).groupBy("bucket", "block")
-    right = place(references, "block", blocks, "bucket", buckets).groupBy("bucket", "block")
-
-    def cell(t: pa.Table, r: pa.Table) -> pa.Table:
-        if t.num_rows == 0 or r.num_rows == 0:
-            at, ref, score = (pa.array([], x) for x in (pa.int64(), pa.int64(), pa.float64()))
-            return pa.table([at, at, ref, score], names=["target_id", "_row", "reference_id", "score"])
-        ids, dense = _matrix(t, dim)
-        best = _best(np.arange(len(ids)), dense, *_sorted_refs(r, dim), k, threshold)
-        at = np.asarray(best.column("target_id"))
-        return pa.table([ids[at], np.asarray(t.column("_row"))[at], best.column("reference_id"), best.column("score")],
-                        names=["target_id", "_row", "reference_id", "score"])
-
-    return left.cogroup(right).applyInArrow(cell, "target_id long, _row long, reference_id long, score double")
-
-
-def _tasks(spark) -> int:
+    return top_per_group(found, ["_row"], order, k, ["reference_id"]).join(own, "_row").drop("_row")
+
+
+FOUND = "_row long, reference_id long, score double, spent long"
+
+
+class _Best:
+    """The best k references of some targets so far: score descending, then smaller reference id."""
+
+    def __init__(self, n: int, k: int, floor: np.ndarray):
+        self.scores = np.full((n, k), -np.inf)
+        self.ids = np.full((n, k), np.iinfo(np.int64).max)
+        self.start, self.k = floor, k
+
+    def floor(self) -> np.ndarray:
+        return np.maximum(self.start, self.scores[:, -1])
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of `rows` against references; `ids` ascend."""
+        if self.k == 1:
+            col = scores.argmax(axis=1)
+            score, id_ = scores[np.arange(len(rows)), col], ids[col]
+            had, had_id = self.scores[rows, 0], self.ids[rows, 0]
+            win = (score > had) | ((score == had) & (id_ < had_id))
+            self.scores[rows[win], 0], self.ids[rows[win], 0] = score[win], id_[win]
+            return
+        both = np.concatenate([self.scores[rows], scores], axis=1)
+        named = np.concatenate([self.ids[rows], np.broadcast_to(ids, scores.shape)], axis=1)
+        order = np.lexsort((named, -both), axis=1)[:, :self.k]
+        self.scores[rows], self.ids[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(named, order, 1)
+
+
+def _meet(targets: np.ndarray, floor: np.ndarray, refs: np.ndarray, ids: np.ndarray, cells: np.ndarray, bounds: Bounds,
+          k: int) -> tuple[_Best, int]:
+    """Best k of the references of a tile, which come by cell; and the number of scores worked out."""
+    best, spent = _Best(len(targets), k, floor), 0
+    names, starts = np.unique(cells, return_index=True)
+    ends = [*starts[1:], len(cells)]
+    reach = bounds.of(targets, names)
+
+    def visit(c: int, rows: np.ndarray) -> int:
+        some = targets if len(rows) == len(targets) else targets[rows]
+        best.add(rows, np.round(some @ refs[starts[c]:ends[c]].T, PLACES), ids[starts[c]:ends[c]])
+        reach[rows, c] = -np.inf
+        return len(rows) * int(ends[c] - starts[c])
+
+    # the most promising cells first: what they give rules out others
+    likely = reach.argmax(axis=1)
+    for pick in (likely, None):
+        for c in np.argsort(-reach.max(axis=0), kind="stable"):
+            open_ = (reach[:, c] >= best.floor() - SLACK) & (reach[:, c] > -np.inf)
+            rows = np.flatnonzero(open_ if pick is None else open_ & (pick == c))
+            if len(rows):
+                spent += visit(c, rows)
+    return best, spent
+
+
+def _search(left: DataFrame, index: VectorIndex, k: int, threshold: float | None, block_rows: int,
+            cost: SearchCost | None) -> DataFrame:
+    """Candidates (_row, reference_id, score) that hold the best k of each target."""
+    first, parts = index.bounds.tiles(block_rows)
+    n_tiles = int((first + parts).max())
+    told = left.sparkSession.sparkContext.broadcast(index.bounds)
+    dim, base = index.dim, "id long, _row long, idx array<int>, val array<double>"
+    names = ["id", "_row", "idx", "val"]
+
+    def first_tiles(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
+                near = _dense(part, dim) @ told.value.centres.T
+                near[:, told.value.sizes == 0] = -np.inf
+                tiles = first[near.argmax(axis=1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([[t] for t in tiles], pa.list_(pa.int32()))],
+                                                 [*names, "tiles"])
+
+    def tiles_in_reach(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
+                floor = np.asarray(part.column("floor").fill_null(-np.inf))
+                if threshold is not None:
+                    floor = np.maximum(floor, threshold)
+                open_ = told.value.of(_dense(part, dim)) >= floor[:, None] - SLACK
+                open_ &= told.value.sizes > 0
+                seen = part.column("seen").to_pylist()
+                tiles = [sorted({t for c in np.flatnonzero(row) for t in range(first[c], first[c] + parts[c])} - {own})
+                         for row, own in zip(open_, seen)]
+                yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(tiles, pa.list_(pa.int32())),
+                                                  pa.array(floor)], [*names, "tiles", "floor"])
+
+    if n_tiles == 1:  # every target meets the one tile
+        started = left.withColumns({"tiles": F.array(F.lit(0)), "floor": F.lit(float("-inf"))})
+        found = _visit(started, index, told, first, parts, k, threshold, block_rows)
+        return _counted(found, left, index, cost)
+    started = settle(left.mapInArrow(first_tiles, f"{base}, tiles array<int>"), "visits")
+    found = settle(_visit(started.withColumn("floor", F.lit(float("-inf"))), index, told, first, parts, k, threshold,
+                          block_rows), "found")
+    ranks = top_per_group(found.where("reference_id IS NOT NULL"), ["_row"], [F.col("score").desc(), F.col("reference_id")],
+                          k, ["reference_id"])
+    floors = ranks.where(F.col("rank") == k).select("_row", F.col("score").alias("floor"))
+    waiting = started.join(floors, "_row", "left").select(*names, F.get("tiles", F.lit(0)).alias("seen"), "floor")
+    rest = settle(waiting.mapInArrow(tiles_in_reach, f"{base}, tiles array<int>, floor double"), "visits")
+    more = _visit(rest, index, told, first, parts, k, threshold, block_rows)
+    return _counted(found.unionByName(more), left, index, cost)
+
+
+def _counted(found: DataFrame, left: DataFrame, index: VectorIndex, cost: SearchCost | None) -> DataFrame:
+    if cost is not None:
+        found = settle(found, "found")
+        cost.scores += found.agg(F.sum("spent")).first()[0] or 0
+        cost.all_scores += left.count() * int(index.bounds.sizes.sum())
+    return found.where("reference_id IS NOT NULL").drop("spent")
+
+
+def _visit(visits: DataFrame, index: VectorIndex, told, first: np.ndarray, parts: np.ndarray, k: int,
+           threshold: float | None, block_rows: int) -> DataFrame:
+    """Best k of each visited tile for each target (its tiles, and the score to reach). A tile with many visitors is met
+    in several buckets of bounded size, so neither a common kind of target nor a hot cell sits in one task."""
+    n_tiles, dim = int((first + parts).max()), index.dim
+    calls = visits.withColumn("tile", F.explode("tiles")).drop("tiles")
+    callers = np.zeros(n_tiles, np.int64)
+    for r in calls.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a tile
+        callers[r["tile"]] = r["n"]
+    least = _tasks(visits.sparkSession) // max(1, int((callers > 0).sum()))
+    asked = np.flatnonzero(callers).tolist()
+    buckets = {t: max(1, min(least, int(callers[t])), math.ceil(callers[t] / block_rows)) for t in asked}
+    sizes = visits.sparkSession.createDataFrame(sorted(buckets.items()), "tile int, buckets int")
+    cells = visits.sparkSession.createDataFrame(
+        [(c, int(a), int(n)) for c, (a, n) in enumerate(zip(first, parts))], "cell int, first int, parts int")
+    left = calls.join(F.broadcast(sizes), "tile").withColumn(
+        "bucket", F.pmod(F.xxhash64("_row"), F.col("buckets")).cast("int")).drop("buckets")
+    # both tables have a row a cell or tile, so their size is bounded by the cells told to all tasks anyway, and by the
+    # parts of cells larger than a tile
+    needed = [c for c in range(len(first)) if any(t in buckets for t in range(first[c], first[c] + parts[c]))]
+    members = index.rows.where(F.col("cell").isin(needed)).select("id", "idx", "val", "cell")
+    right = members.join(F.broadcast(cells), "cell").withColumn(
+        "tile", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(
+        F.broadcast(sizes), "tile").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).select(
+        "tile", "bucket", "cell", "id", "idx", "val")
+
+    def meet(t: pa.Table, r: pa.Table) -> pa.Table:
+        out = [], [], [], []
+        if t.num_rows and r.num_rows:
+            r = r.take(pa.array(np.lexsort((np.asarray(r["id"]), np.asarray(r["cell"])))))
+            refs, ids, cells = _dense(r, dim), np.asarray(r["id"]), np.asarray(r["cell"])
+            spent = 0
+            for at in range(0, t.num_rows, CHUNK_ROWS):
+                part = t.slice(at, CHUNK_ROWS)
+                floor = np.asarray(part["floor"])
+                if threshold is not None:
+                    floor = np.maximum(floor, threshold)
+                best, took = _meet(_dense(part, dim), floor, refs, ids, cells, told.value, k)
+                spent += took
+                rows, cols = np.nonzero(best.scores > -np.inf if threshold is None else best.scores >= threshold)
+                for to, x in zip(out, (np.asarray(part["_row"])[rows], best.ids[rows, cols], best.scores[rows, cols])):
+                    to.append(x)
+            n = sum(map(len, out[0]))
+            return pa.table({"_row": pa.array(np.append(np.concatenate(out[0]), -1)),
+                             "reference_id": pa.array([*np.concatenate(out[1]).tolist(), None], pa.int64()),
+                             "score": pa.array(np.append(np.concatenate(out[2]), 0.0)),
+                             "spent": pa.array([None] * n + [spent], pa.int64())})
+        return pa.table({c: pa.array([], x) for c, x in zip(("_row", "reference_id", "score", "spent"), (
+            pa.int64(), pa.int64(), pa.float64(), pa.int64()))})
+
+    return left.groupBy("tile", "bucket").cogroup(right.groupBy("tile", "bucket")).applyInArrow(meet, FOUND)
+
+
+def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -134,38 +393,51 @@ def dense_as_sparse(df: DataFrame, id_: str, vector: Column, dim: int) -> DataFr
                      vx.l2_normalise(vx.fit_dim(vector, dim)).alias("val"))
 
 
-def vector_topk(queries: DataFrame, index: DataFrame, id_: str, vector: str, dim: int = 64,
+def vector_topk(queries: DataFrame, index: DataFrame | VectorIndex, id_: str, vector: str, dim: int = 64,
                 k: int = 5, threshold: float | None = None, **sizes) -> DataFrame:
-    """Top k index rows per query by cosine, at or over a threshold."""
-    return nearest(dense_as_sparse(queries, id_, F.col(vector), dim),
-                   dense_as_sparse(index, id_, F.col(vector), dim), dim, k, threshold, **sizes)
+    """Top k index rows per query by cosine, at or over a threshold. A stored index is searched as it is."""
+    if isinstance(index, DataFrame):
+        index = dense_as_sparse(index, id_, F.col(vector), dim)
+    return nearest(dense_as_sparse(queries, id_, F.col(vector), dim), index, dim, k, threshold, **sizes)
 
 
-def hybrid_features(df: DataFrame, id_: str, code: str, weights: TermWeights,
-                    vector: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One sparse row per snippet whose dot product is the weighted sum of both cosines."""
-    v = vx.token_vector64(F.col(code)) if vector is None else vx.l2_normalise(
-        vx.fit_dim(vector, 64))
-    base = df.select(F.col(id_).cast("long").alias("id"), word_grams(F.col(code)).alias("grams"),
-                     v.alias("vec"), *carry)
-    part = weights.sparse(base)
+def _hybrid_base(df: DataFrame, id_: str, code: str, vector: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    v = vx.token_vector64(F.col(code)) if vector is None else vx.l2_normalise(vx.fit_dim(vector, 64))
+    return df.select(F.col(id_).cast("long").alias("id"), word_grams(F.col(code)).alias("grams"), v.alias("vec"), *carry)
+
+
+def _hybrid_rows(base: DataFrame, weights: TermWeights, carry: tuple[str, ...] = ()) -> DataFrame:
     wv, wt = math.sqrt(L.VECTOR_WEIGHT), math.sqrt(L.TEXT_WEIGHT)
-    return part.select(
+    return weights.sparse(base).select(
         "id",
         F.concat(F.sequence(F.lit(0), F.lit(63)), F.transform("idx", lambda i: i + 64)).alias("idx"),
         F.concat(F.transform("vec", lambda x: x * wv),
                  F.transform("val", lambda x: x * wt)).alias("val"), *carry)
 
 
-def hybrid_top1(targets: DataFrame, references: DataFrame, id_: str, ref_id: str, code: str,
+def hybrid_features(df: DataFrame, id_: str, code: str, weights: TermWeights,
+                    vector: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One sparse row per snippet whose dot product is the weighted sum of both cosines."""
+    return _hybrid_rows(_hybrid_base(df, id_, code, vector, carry), weights, carry)
+
+
+def hybrid_index(references: DataFrame, ref_id: str, ref_code: str, weights: TermWeights | None = None,
+                 **sizes) -> tuple[VectorIndex, TermWeights]:
+    """References in cells, bounded apart for the vector and the term part of the score, and the term weights, which are
+    fitted on the references unless given. Their grams are taken once and written."""
+    base = settle(_hybrid_base(references, ref_id, ref_code), "references")
+    if weights is None:
+        weights = TermWeights.fit(base.select("grams"))
+    return VectorIndex.build(_hybrid_rows(base, weights), 64 + len(weights.terms), 64, settled=True, **sizes), weights
+
+
+def hybrid_top1(targets: DataFrame, references: DataFrame | VectorIndex, id_: str, ref_id: str, code: str,
                 ref_code: str, weights: TermWeights | None = None, carry: tuple[str, ...] = (),
                 **sizes) -> DataFrame:
-    """Best reference per target by 0.4 vector cosine + 0.6 term cosine, exact."""
-    if weights is None:
-        weights = TermWeights.fit(references.select(word_grams(F.col(ref_code)).alias("grams")))
-    return nearest(hybrid_features(targets, id_, code, weights, carry=carry),
-                   hybrid_features(references, ref_id, ref_code, weights),
-                   64 + len(weights.terms), carry=carry, **sizes)
+    """Best reference per target by 0.4 vector cosine + 0.6 term cosine, exact. An index comes with its weights."""
+    if isinstance(references, DataFrame):
+        references, weights = hybrid_index(references, ref_id, ref_code, weights)
+    return nearest(hybrid_features(targets, id_, code, weights, carry=carry), references, references.dim, carry=carry, **sizes)
 
 
 def gate(scored: DataFrame, scan: str | None = None, threshold: float = L.GATE_THRESHOLD,

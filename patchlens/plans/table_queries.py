@@ -17,6 +17,7 @@ from patchlens.plans.registry import query
 from patchlens.plans.text_queries import defect_sql
 from patchlens.rules import lexicon as L
 from patchlens.rules.categories import TOPIC_HINTS
+from patchlens.session import new_table_path
 from patchlens.sources import sinks
 from patchlens.streaming.jobs import score_methods
 
@@ -158,19 +159,33 @@ def _(t):
     return v.select("doc_id", *[F.round(F.get("v", F.lit(i)), 6).alias(f"s{i}") for i in (3, 4, 5, 6)])
 
 
-@query("vector_topk", """WITH u AS (SELECT vec_id, label,
+_TOPK = """WITH u AS (SELECT vec_id, label,
 [x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) for x in embedding::DOUBLE[]] AS v
 FROM embeddings), s AS (SELECT a.vec_id AS target_id, b.vec_id AS reference_id,
 round(list_dot_product(a.v, b.v), 9) AS score FROM u a, u b), r AS (SELECT *, row_number() OVER
 (PARTITION BY target_id ORDER BY score DESC, reference_id) AS rank FROM s WHERE score >= 0.2)
-SELECT target_id, reference_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
-def _(t):
-    e = t.embeddings
-    top = retrieval.vector_topk(e, e, "vec_id", "embedding", 64, 5, 0.2)
+SELECT target_id, reference_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
+
+
+def _topk(e, index):
+    top = retrieval.vector_topk(e, index, "vec_id", "embedding", 64, 5, 0.2)
     return top.select("target_id", "reference_id", F.round("score", 6).alias("score"),
                       F.col("rank").cast(LONG).alias("rank"))
 
 
+@query("vector_topk", _TOPK)
+def _(t):
+    return _topk(t.embeddings, t.embeddings)
+
+
+@query("stored_index_topk", _TOPK)
+def _(t):
+    """The same neighbours from an index that was written and is read back."""
+    path = new_table_path(t.spark, "vector-index")
+    sinks.write_vector_index(t.embeddings, path, "vec_id", "embedding", 64)
+    return _topk(t.embeddings, sinks.read_vector_index(t.spark, path))
+
+
 @query("pair_similarity", f"""WITH {EPAIRS}, s AS (SELECT list_dot_product(x, y) /
 ((sqrt(list_dot_product(x, x)) + 1e-9) * (sqrt(list_dot_product(y, y)) + 1e-9)) AS c FROM epairs)
 SELECT round(avg(c), 6) AS mean, round(min(c), 6) AS least, round(max(c), 6) AS most FROM s""")
@@ -498,7 +513,17 @@ def _(t):
     return kept.select("event_id")
 
 
-@query("cap_per_group_greedy")
+@query("cap_per_group_greedy", f"""WITH RECURSIVE first AS (SELECT event_id, event_type, user_id, row_number() OVER
+(PARTITION BY event_type, user_id ORDER BY ts, event_id) AS rn, ts FROM events),
+line AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS i FROM first WHERE rn <= 3),
+caps AS (SELECT MAP {{{', '.join(f"'{c}': {n}" for c, n in {**_CAPS, 'purchase': 30}.items())}}} AS cap),
+walk(i, event_id, ok, types, users) AS (
+SELECT 0::BIGINT, NULL::BIGINT, false, MAP {{'': 0}}, MAP {{-1::BIGINT: 0}} UNION ALL
+SELECT l.i, l.event_id, l.ok, CASE WHEN l.ok THEN map_concat(w.types, MAP {{l.event_type: l.a + 1}}) ELSE w.types END,
+CASE WHEN l.ok THEN map_concat(w.users, MAP {{l.user_id: l.b + 1}}) ELSE w.users END
+FROM walk w, LATERAL (SELECT x.*, a < coalesce(cap[event_type], 0) AND b < 3 AS ok FROM (SELECT line.*,
+coalesce(w.types[event_type], 0) AS a, coalesce(w.users[user_id], 0) AS b FROM line WHERE line.i = w.i + 1) x, caps) l)
+SELECT event_id FROM walk WHERE ok""")
 def _(t):
     caps = {**_CAPS, "purchase": 30}
     return mining.cap_per_group_greedy(

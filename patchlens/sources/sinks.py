@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 
 from patchlens.functions import vectors as vx
 from patchlens.operators.grouping import first_per_group
+from patchlens.operators.retrieval import VectorIndex, dense_as_sparse
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -50,13 +51,21 @@ def index_rows(pairs: DataFrame, key: str, vector: str, dim: int = 64, buckets:
 
 
 def write_vector_index(pairs: DataFrame, path: str, key: str, vector: str, dim: int = 64) -> int:
-    """Write the index and return the number of rows, counted while writing."""
+    """Write the rows with their payload by bucket, and beside them their vectors in cells for
+    `vector_topk`. Returns the number of rows, counted while writing."""
     seen = Observation("index")
     rows = index_rows(pairs, key, vector, dim).observe(seen, F.count(F.lit(1)).alias("n"))
     rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    written = pairs.sparkSession.read.parquet(path)
+    VectorIndex.build(dense_as_sparse(written, key, F.col(vector), dim), dim).write(f"{path}/_cells")
     return seen.get["n"]
 
 
+def read_vector_index(spark: SparkSession, path: str) -> VectorIndex:
+    """The cells that `write_vector_index` has written, as they are; ids are the keys of the payload rows."""
+    return VectorIndex.read(spark, f"{path}/_cells")
+
+
 def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return df.join(done.select(key), key, "left_anti")
 

@@ -85,6 +85,8 @@ def test_index_counts_rows_it_wrote(spark, folder_):
     assert sinks.write_vector_index(rows, f"{folder_}/i", "pair_id", "v", 4) == 1
     got = spark.read.parquet(f"{folder_}/i").first()
     assert got["v"] == [0.6, 0.8, 0.0, 0.0]
+    index = sinks.read_vector_index(spark, f"{folder_}/i")
+    assert [(r["id"], r["cell"]) for r in index.rows.collect()] == [(1, 0)] and index.bounds.centres.tolist() == [[0.6, 0.8, 0.0, 0.0]]
 
 
 def test_resume_enriches_each_row_once(spark, folder_):
