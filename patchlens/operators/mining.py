@@ -32,11 +32,56 @@ def skip_known_commits(commits: DataFrame, known: DataFrame, key: str = "commit_
 
 
 def match_known_repo(url: Column, known: list[tuple[str, str]]) -> Column:
-    """Name of the first known (name, url) that equals the URL or whose name is part of it."""
+    """Name of the first known (name, url) that equals the URL or whose name is part of it, for a short list."""
     hits = [F.when((url == u) | url.contains(name), F.lit(name)) for name, u in known]
     return F.coalesce(*hits)
 
 
+GRAM = 4  # characters of the keys by which names and URLs meet
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of n characters; none where the text is shorter."""
+    last = F.length(text) - n + 1
+    return F.when(last > 0, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(n))))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def match_known_repos(rows: DataFrame, known: DataFrame, url: str = "url", name: str = "known_repo") -> DataFrame:
+    """Add the name of the first known repository (position, name, url) whose URL equals the row's or whose name is part
+    of it; null where there is none.
+
+    A name meets the URLs that hold its rarest gram and is then looked for in them, so the work follows the matches and
+    not names x URLs. A name shorter than a gram is its own key; an empty name is part of every URL. Each distinct URL is
+    looked up once.
+    """
+    urls = settle(rows.select(F.col(url).alias("_url")).where("_url IS NOT NULL").distinct(), "urls")
+    known = settle(known.select("position", "name", F.col("url").alias("_url")), "known")
+    named = known.where("name <> ''").groupBy("name").agg(F.min("position").alias("position")).withColumn(
+        "_size", F.least(F.length("name"), F.lit(GRAM)))
+    sizes = [r[0] for r in named.select("_size").distinct().collect()]  # GRAM at most
+    none = F.array().cast("array<string>")
+    in_urls = urls.select("_url", F.explode(F.concat(none, *(_grams(F.col("_url"), n) for n in sizes))).alias("gram"))
+    often = in_urls.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    of_size = reduce(lambda c, n: c.when(F.col("_size") == n, _grams(F.col("name"), n)), sizes, F.when(F.lit(False), none))
+    keys = named.select("name", "position", F.explode(of_size).alias("gram")).join(often, "gram", "left").groupBy(
+        "name", "position").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+    keys = keys.where("rarest.n > 0").select("name", "position", F.col("rarest.gram").alias("gram"))
+    inside = in_urls.join(keys, "gram").where(F.contains("_url", "name"))
+    equal = urls.join(known.where("name IS NOT NULL"), "_url")
+    first = F.min(F.struct("position", "name")).alias("first")
+    found = inside.select("_url", "position", "name").unionByName(equal.select("_url", "position", "name")).groupBy(
+        "_url").agg(first)
+    # one row: the first empty name, which every URL holds
+    empty = known.agg(F.min(F.when(F.col("name") == "", F.col("position"))).alias("_empty"))
+    best = urls.join(found, "_url", "left").crossJoin(F.broadcast(empty)).select(
+        "_url", F.when(F.col("_empty") <= F.coalesce("first.position", F.col("_empty")), "").otherwise(
+            F.col("first.name")).alias("_name"))
+    return rows.join(best.where("_name IS NOT NULL"), F.col(url) == F.col("_url"), "left").withColumn(
+        name, F.col("_name")).drop("_url", "_name")
+
+
 def first_fix_commits(commits: DataFrame, latest: int = 30, keep: int = 5) -> DataFrame:
     """First fix commits among the latest of each repository, by position."""
     recent = top_per_group(commits, ["repository"], [F.col("position")], latest, ["position"],

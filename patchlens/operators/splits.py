@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.operators.grouping import hash_bin, id_hash, range_bins, spread_row_number, with_group_count
+from patchlens.session import settle
 
 
 def _ranked_by_hash(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
@@ -33,14 +34,40 @@ def group_split(df: DataFrame, group: Column, test_percent: int = 20, seed: int
     return df.withColumn("is_test", F.pmod(id_hash(group, seed), F.lit(100)) < test_percent)
 
 
+def fold_segments(histogram: list[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """Largest group first to the lightest fold (the first of equals), for a histogram (size, groups) from the largest
+    size on. Groups of one size go in turn to a set of folds until a further fold is as light: each segment (size, first,
+    last, folds in turn) says so for groups first .. last of the size; a size has at most `folds` segments."""
+    loads, out = [0] * folds, []
+    for size, groups in histogram:
+        at = 1
+        while groups:
+            turn = sorted(range(folds), key=lambda f: (loads[f], f))
+            low, light = loads[turn[0]], turn[0]
+            m = sum((loads[f], f) < (low + size, light) for f in turn)
+            take = groups
+            if m < folds:  # whole turns until the next fold is reached
+                gap, level = divmod(loads[turn[m]] - low, size)
+                take = min(groups, m * (gap - (level == 0 and turn[m] < light)))
+            out.append((size, at, at + take - 1, turn[:m]))
+            for place, f in enumerate(turn[:m]):
+                loads[f] += size * (take // m + (place < take % m))
+            at, groups = at + take, groups - take
+    return out
+
+
 def group_kfold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """Folds of whole groups: groups are dealt out in turn by size, largest first, so the row counts
-    of two folds differ by no more than the largest group."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    order = [F.col("_n").desc(), F.col(group)]
-    ranked = spread_row_number(range_bins(sizes, order), [], F.col("_range"), order, "_rn")
-    dealt = ranked.select(group, F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int").alias("fold"))
-    return df.join(dealt, group)
+    """Folds of whole groups: the largest group first, each to the lightest fold. Only the histogram of group sizes is
+    walked in order; it has at most sqrt(2 n) rows for n rows. Groups of one size go by their key."""
+    sizes = settle(df.groupBy(group).agg(F.count(F.lit(1)).alias("_k")), "sizes")
+    histogram = sorted(((r["_k"], r["c"]) for r in sizes.groupBy("_k").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    segments = df.sparkSession.createDataFrame(
+        fold_segments(histogram, folds), "_size long, _first long, _last long, _turn array<int>")
+    ranked = spread_row_number(range_bins(sizes, [F.col("_k"), F.col(group)]), ["_k"], F.col("_range"), [F.col(group)], "_rn")
+    place = F.pmod(F.col("_rn") - F.col("_first"), F.size("_turn").cast("long")).cast("int")
+    dealt = ranked.join(segments, (F.col("_k") == F.col("_size")) & F.col("_rn").between(F.col("_first"), F.col("_last"))).select(
+        F.col(group).alias("_group"), F.get("_turn", place).alias("fold"))
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def encode_label(df: DataFrame, label: str, name: str = "label_index") -> DataFrame:

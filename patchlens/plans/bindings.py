@@ -97,7 +97,7 @@ class Tables:
         number = F.col("conv_id") + F.col("turn")
         return both.select(
             "pair_id", "conv_id", "turn",
-            F.when(p % 19 == 0, F.lit("")).otherwise(swap(F.col("_b"), CODE_WORDS)).alias("before"),
+            F.when(p % 38 == 0, F.lit(None)).when(p % 19 == 0, F.lit("")).otherwise(swap(F.col("_b"), CODE_WORDS)).alias("before"),
             swap(F.when(p % 11 == 0, F.col("_b")).otherwise(F.col("_a")), CODE_WORDS).alias("after"),
             F.col("_a").alias("message"),
             F.concat(pick(OWNERS, F.col("conv_id")), F.lit("/repo"),
@@ -157,7 +157,7 @@ _N = "(a.conv_id + a.turn)"
 _P = "(a.conv_id * 1000 + a.turn)"
 PAIRS = _cte("pairs", f"""
 SELECT {_P} AS pair_id, a.conv_id, a.turn,
-  CASE WHEN {_P} % 19 = 0 THEN '' ELSE {sql_swap('a.text', CODE_WORDS)} END AS before,
+  CASE WHEN {_P} % 38 = 0 THEN NULL WHEN {_P} % 19 = 0 THEN '' ELSE {sql_swap('a.text', CODE_WORDS)} END AS before,
   CASE WHEN {_P} % 11 = 0 THEN {sql_swap('a.text', CODE_WORDS)}
        ELSE {sql_swap('b.text', CODE_WORDS)} END AS after,
   b.text AS message,

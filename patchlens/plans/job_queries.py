@@ -248,6 +248,16 @@ def _(t):
     return _scored(t, lambda d: models.fit_forest(d, 20, 8))
 
 
+@query("fit_extra_trees")
+def _(t):
+    return _scored(t, lambda d: models.fit_forest(d, 20, 8, True))
+
+
+@query("fit_sgd")
+def _(t):
+    return _scored(t, lambda d: models.fit_linear(d, "sgd", iterations=10))
+
+
 @query("fit_boosted")
 def _(t):
     return _scored(t, lambda d: models.fit_boosted(d, 10, 3, 3))

@@ -495,6 +495,19 @@ def _(t):
     return mining.skip_known_commits(t.orders, known, "o_orderkey").select("o_orderkey")
 
 
+@query("match_known_repos", """WITH k AS (SELECT page_id AS position, CASE WHEN page_id % 15 = 0 THEN url
+ELSE reverse(split_part(reverse(url), '/', 1)) END AS name, CASE WHEN page_id % 10 = 0 THEN url END AS known_url
+FROM pages WHERE page_id % 5 = 0), m AS (SELECT page_id, name, row_number() OVER (PARTITION BY page_id ORDER BY position)
+AS rn FROM pages JOIN k ON pages.url = known_url OR contains(pages.url, name))
+SELECT page_id, m.name AS known_repo FROM pages LEFT JOIN (SELECT * FROM m WHERE rn = 1) m USING (page_id)""")
+def _(t):
+    url, at = F.col("url"), F.col("page_id")
+    known = t.pages.where(at % 5 == 0).select(
+        at.alias("position"), F.when(at % 15 == 0, url).otherwise(F.element_at(F.split(url, "/"), -1)).alias("name"),
+        F.when(at % 10 == 0, url).alias("url"))
+    return mining.match_known_repos(t.pages.select("page_id", "url"), known).select("page_id", "known_repo")
+
+
 _CAPS = {"click": 40, "view": 25, "signup": 10, "error": 60}
 
 
@@ -632,13 +645,13 @@ def _(t):
     return sinks.not_done(t.orders, done, "o_orderkey").select("o_orderkey")
 
 
-@query("index_rows", """SELECT vec_id, round(list_sum([x * x for x in embedding::DOUBLE[]]) / list_sum(
-[x * x for x in embedding::DOUBLE[]]), 6) AS size, 120::BIGINT AS width FROM embeddings WHERE vec_id % 4 > 0""")
+@query("index_rows", """WITH u AS (SELECT vec_id, list_concat([x / sqrt(list_dot_product(embedding::DOUBLE[],
+embedding::DOUBLE[])) for x in embedding::DOUBLE[]], [0.0::DOUBLE for x in range(56)]) AS v FROM embeddings
+WHERE vec_id % 4 > 0) SELECT vec_id, i::BIGINT AS i, round(v[i], 6) + 0 AS x FROM u, range(1, 121) r(i)""")
 def _(t):
     e = t.embeddings.withColumn("embedding", F.when(F.col("vec_id") % 4 > 0, F.col("embedding")))
-    r = sinks.index_rows(e, "vec_id", "embedding", 120)
-    return r.select("vec_id", F.round(vx.norm(F.col("embedding")), 6).alias("size"),
-                    F.size("embedding").cast(LONG).alias("width"))
+    r = sinks.index_rows(e, "vec_id", "embedding", 120).select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    return r.select("vec_id", (F.col("i") + 1).cast(LONG).alias("i"), (F.round("x", 6) + F.lit(0.0)).alias("x"))
 
 
 @query("scan_documents", f"""WITH {LEDGER} SELECT scan_id, file_path,
@@ -973,17 +986,14 @@ def _(t):
     return splits.group_split(t.events, F.col("user_id")).select("event_id", "is_test")
 
 
-@query("group_kfold", """SELECT count(*) AS rows_kept, 5::BIGINT AS folds, 0::BIGINT AS groups_split,
-true AS balanced FROM events""")
+@query("group_kfold", """WITH RECURSIVE g AS (SELECT user_id, count(*) AS n, row_number() OVER
+(ORDER BY count(*) DESC, user_id) AS i FROM events GROUP BY 1), w(i, user_id, fold, loads) AS (
+SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, [0, 0, 0, 0, 0]::BIGINT[] UNION ALL
+SELECT g.i, g.user_id, list_position(loads, list_min(loads)) - 1, list_transform(loads,
+lambda x, j: x + CASE WHEN j = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END)
+FROM w JOIN g ON g.i = w.i + 1) SELECT event_id, fold::BIGINT AS fold FROM events JOIN w USING (user_id)""")
 def _(t):
-    """What folds must be, whatever the formula: all rows, no group in two, even to one largest group."""
-    dealt = splits.group_kfold(t.events, "user_id").groupBy("user_id", "fold").agg(F.count(F.lit(1)).alias("n"))
-    split = dealt.groupBy("user_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).agg(
-        F.count_if(F.col("k") > 1).alias("groups_split"), F.max("n").alias("largest"))
-    sizes = dealt.groupBy("fold").agg(F.sum("n").alias("n")).agg(
-        F.sum("n").alias("rows_kept"), F.count(F.lit(1)).alias("folds"), (F.max("n") - F.min("n")).alias("gap"))
-    return sizes.crossJoin(split).select("rows_kept", "folds", "groups_split",
-                                         (F.col("gap") <= F.col("largest")).alias("balanced"))
+    return splits.group_kfold(t.events, "user_id").select("event_id", F.col("fold").cast(LONG).alias("fold"))
 
 
 @query("encode_label", """SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS label_index FROM part""")

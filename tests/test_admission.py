@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from patchlens.operators import mining
+from patchlens.operators import mining, splits
 from patchlens.session import new_table_path
 from patchlens.streaming import jobs as st
 
@@ -98,3 +98,68 @@ def test_state_is_one_row_a_group(spark, tmp_path):
     query.awaitTermination()
     assert sorted(st.state_rows(query)) == [4, 20]
     assert spark.read.parquet(f"{tmp_path}/out").count() == 20
+
+
+# known repositories and folds
+
+
+def test_known_repositories(spark):
+    rng = random.Random(2)
+    known = [(i, rng.choice([None, "ab", "repo", "x/y", f"name{i}", "http", "zzz", "q"]), rng.choice([None, f"http://h/{i}"]))
+             for i in rng.sample(range(500), 60)]
+    urls = [(i, rng.choice([None, "", "http://h/3", f"http://g/name{rng.randrange(500)}/x", "ftp://repo/x/y", f"h/{i}",
+                            f"http://h/{rng.randrange(500)}"])) for i in range(200)]
+
+    def first(u):
+        return next((n for _, n, k in sorted(known, key=lambda x: x[0]) if n is not None and (u == k or n in u)), None)
+
+    def got(known):
+        return {r["id"]: r["known_repo"] for r in mining.match_known_repos(
+            spark.createDataFrame(urls, "id long, url string"), spark.createDataFrame(
+                known, "position long, name string, url string")).collect()}
+
+    assert got(known) == {i: None if u is None else first(u) for i, u in urls}
+    known.append((250, "", None))
+    assert got(known) == {i: None if u is None else first(u) for i, u in urls}
+    assert set(got([]).values()) == {None}
+
+
+def test_many_known_repositories_meet_few_urls(spark):
+    known = spark.range(100_000).selectExpr("id AS position", "concat('owner', id, '/repo') AS name", "CAST(NULL AS STRING) AS url")
+    urls = spark.range(300).selectExpr("id", "concat('https://host/owner', id * 997, '/repo.git') AS url")
+    rows = mining.match_known_repos(urls, known).collect()
+    assert all(r["known_repo"] == (f"owner{r['id'] * 997}/repo" if r["id"] * 997 < 100_000 else None) for r in rows)
+
+
+def greedy_folds(sizes, folds):
+    loads, out = [0] * folds, {}
+    for n, g in sorted(((n, g) for g, n in sizes.items()), key=lambda x: (-x[0], x[1])):
+        f = loads.index(min(loads))
+        loads[f] += n
+        out[g] = f
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_segments_deal_as_the_greedy_rule(seed):
+    rng = random.Random(seed)
+    folds, sizes = rng.choice([1, 2, 5, 7]), {g: rng.choice([1, 1, 1, 2, 5, rng.randrange(1, 400)]) for g in range(rng.choice([3, 400]))}
+    want, place, histogram = greedy_folds(sizes, folds), {}, {}
+    for g in sorted(sizes):
+        histogram.setdefault(sizes[g], []).append(g)
+    for size, first, last, turn in splits.fold_segments(sorted(((n, len(g)) for n, g in histogram.items()), reverse=True), folds):
+        for rank in range(first, last + 1):
+            place[histogram[size][rank - 1]] = turn[(rank - first) % len(turn)]
+    assert place == want
+
+
+def test_folds_of_whole_groups(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0, 0, rng.randrange(60), None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g long")
+    got = {r["id"]: r["fold"] for r in splits.group_kfold(df, "g", 4).collect()}
+    sizes = {}
+    for _, g in rows:
+        sizes[-1 if g is None else g] = sizes.get(-1 if g is None else g, 0) + 1
+    want = greedy_folds(sizes, 4)
+    assert got == {i: want[-1 if g is None else g] for i, g in rows}
