@@ -625,19 +625,38 @@ def _(t):
     return found.select("p_partkey", F.col("line_start").cast(LONG).alias("line_start"))
 
 
-@query("upsert_by_key", """WITH u AS (SELECT o_orderkey AS k, 0 AS version, o_totalprice AS v FROM orders
+_UPSERT = """WITH u AS (SELECT o_orderkey AS k, 0 AS version, o_totalprice AS v FROM orders
 WHERE o_orderstatus <> 'P' UNION ALL SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY version DESC, v DESC) AS rn FROM u)
-SELECT k, version::BIGINT AS version, v FROM r WHERE rn = 1""")
-def _(t):
+SELECT k, version::BIGINT AS version, v FROM r WHERE rn = 1"""
+
+
+def _old_and_new(t):
     old = t.orders.where("o_orderstatus <> 'P'").select(
         F.col("o_orderkey").alias("k"), F.lit(0).alias("version"), F.col("o_totalprice").alias("v"))
-    new = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("version"),
-                            F.col("l_extendedprice").alias("v"))
-    best = sinks.upsert_by_key(old, new, "k", [F.col("version").desc(), F.col("v").desc()])
+    return old, t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("version"),
+                                  F.col("l_extendedprice").alias("v"))
+
+
+def _newest():
+    return [F.col("version").desc(), F.col("v").desc()]
+
+
+@query("upsert_by_key", _UPSERT)
+def _(t):
+    best = sinks.upsert_by_key(*_old_and_new(t), "k", _newest())
     return best.select("k", F.col("version").cast(LONG).alias("version"), "v")
 
 
+@query("upsert_keyed_table", _UPSERT)
+def _(t):
+    """The same rows from a table that was written, brought up to date and read back."""
+    path = new_table_path(t.spark, "keyed")
+    for rows in _old_and_new(t):
+        sinks.upsert_keyed_table(rows, path, "k", _newest(), 16)
+    return sinks.read_keyed_table(t.spark, path).select("k", F.col("version").cast(LONG).alias("version"), "v")
+
+
 @query("resume_rows", """SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN
 (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')""")
 def _(t):

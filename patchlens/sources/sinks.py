@@ -1,6 +1,9 @@
 """Writers: appends, upserts, resumable jobs, metrics and scan documents."""
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
@@ -8,6 +11,7 @@ from pyspark.errors import AnalysisException
 from patchlens.functions import vectors as vx
 from patchlens.operators.grouping import first_per_group
 from patchlens.operators.retrieval import VectorIndex, dense_as_sparse
+from patchlens.session import discard, settle
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -31,6 +35,82 @@ def upsert_by_key(current: DataFrame, incoming: DataFrame, key: str, version: li
     return first_per_group(rows, [key], version)
 
 
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def table_versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions of a keyed table, oldest first."""
+    fs, at = _fs(spark, f"{path}/versions")
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _listing(spark: SparkSession, path: str, version: int) -> tuple[int, dict[int, str]]:
+    """Number of buckets, and the folder of each bucket that has rows, in a version."""
+    rows = spark.read.schema("buckets int, bucket int, folder string").json(f"{path}/versions/{version}").collect()
+    return rows[0]["buckets"], {r["bucket"]: r["folder"] for r in rows}
+
+
+def read_keyed_table(spark: SparkSession, path: str, version: int | None = None, buckets: list[int] | None = None
+                     ) -> DataFrame:
+    """The newest version of a keyed table or an earlier one; of some buckets only, on demand."""
+    _, folders = _listing(spark, path, table_versions(spark, path)[-1] if version is None else version)
+    chosen = [f"{path}/data/{f}/bucket={b}" for b, f in sorted(folders.items()) if buckets is None or b in buckets]
+    return spark.read.option("mergeSchema", "true").parquet(*chosen)
+
+
+def upsert_keyed_table(incoming: DataFrame, path: str, key: str, version: list[Column], buckets: int = 64) -> int:
+    """Insert or replace rows in a stored table: the newest row of each key stays. Returns the version after it.
+
+    Only buckets that the incoming rows touch are read and written, to folders of their own; then a list of all folders
+    is put in place by one rename. Readers see the version before or the one after, and a write that fails leaves the one
+    before. One writer at a time; the number of buckets is that of the first write. No rows make no version.
+    """
+    spark = incoming.sparkSession
+    done = table_versions(spark, path)
+    number, folders = done[-1] if done else 0, {}
+    if done:
+        buckets, folders = _listing(spark, path, number)
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    fresh = settle(incoming.withColumn("_bucket", bucket), "incoming")
+    touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most one row a bucket
+    if not touched:
+        return number
+    there = [b for b in touched if b in folders]
+    rows = fresh
+    if there:
+        old = read_keyed_table(spark, path, number, there)
+        rows = old.withColumn("_bucket", bucket).unionByName(fresh, allowMissingColumns=True)
+    folder = uuid.uuid4().hex
+    newest = first_per_group(rows, [key], version).withColumnRenamed("_bucket", "bucket")
+    newest.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
+    listed = {**folders, **{b: folder for b in touched}}
+    lines = [json.dumps({"buckets": buckets, "bucket": b, "folder": f}) for b, f in sorted(listed.items())]
+    fs, made = _fs(spark, f"{path}/versions/_{folder}")
+    out = fs.create(made, False)
+    out.write("\n".join(lines).encode())
+    out.close()
+    _, place = _fs(spark, f"{path}/versions/{number + 1}")
+    if fs.exists(place) or not fs.rename(made, place):
+        raise RuntimeError(f"version {number + 1} of {path} was written by another job")
+    discard(fresh)
+    return number + 1
+
+
+def expire_versions(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Delete versions but the newest ones, and the folders that only they name."""
+    done = table_versions(spark, path)
+    old, kept = done[:-keep], done[-keep:]
+    used = {f for v in kept for f in _listing(spark, path, v)[1].values()}
+    for v in old:
+        gone = set(_listing(spark, path, v)[1].values()) - used
+        for part in [*(f"data/{f}" for f in sorted(gone)), f"versions/{v}"]:
+            fs, at = _fs(spark, f"{path}/{part}")
+            fs.delete(at, True)
+
+
 def seed_if_empty(df: DataFrame, path: str, key: str) -> DataFrame:
     """Rows not stored yet are appended, so a repeated seed adds nothing. Returns the table."""
     spark = df.sparkSession

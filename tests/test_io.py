@@ -118,3 +118,41 @@ def test_settle_writes_to_the_shared_folder(spark):
     assert settle(spark.range(4), "kept").count() == 4
     new = set(os.listdir(shared_dir(spark))) - before
     assert len(new) == 1 and new.pop().startswith("kept-")
+
+
+def test_keyed_table_replaces_touched_buckets_only(spark, folder_):
+    path, newest = f"{folder_}/t", [F.col("version").desc(), F.col("v")]
+
+    def rows(*values):
+        return spark.createDataFrame(values, "k long, version int, v string")
+
+    def stored(version=None):
+        return {(r["k"], r["version"], r["v"]) for r in sinks.read_keyed_table(spark, path, version).collect()}
+
+    assert sinks.upsert_keyed_table(rows(*[(k, 1, "old") for k in range(50)]), path, "k", newest, 8) == 1
+    first = sinks._listing(spark, path, 1)[1]
+    assert sinks.upsert_keyed_table(rows((3, 2, "new"), (3, 0, "late"), (99, 1, "x"), (None, 1, "n"), (7, 0, "late")), path, "k", newest) == 2
+    second = sinks._listing(spark, path, 2)[1]
+    want = {(k, 1, "old") for k in range(50) if k != 3} | {(3, 2, "new"), (99, 1, "x"), (None, 1, "n")}
+    assert stored() == want and stored(1) == {(k, 1, "old") for k in range(50)}
+    changed = {b for b in second if second[b] != first.get(b)}
+    assert changed == {r[0] for r in rows((3, 2, ""), (99, 1, ""), (None, 1, ""), (7, 0, "")).select(
+        F.pmod(F.xxhash64("k"), F.lit(8))).collect()} and len(changed) < 8
+    assert sinks.upsert_keyed_table(rows(), path, "k", newest) == 2 and sinks.upsert_keyed_table(rows(), f"{path}2", "k", newest) == 0
+    more = rows((3, 3, "more")).withColumn("extra", F.lit(1))
+    assert sinks.upsert_keyed_table(more, path, "k", newest) == 3
+    got = sinks.read_keyed_table(spark, path)
+    assert got.where("k = 3").first()["extra"] == 1 and got.where("k = 5").first()["extra"] is None
+    sinks.expire_versions(spark, path)
+    assert sinks.table_versions(spark, path) == [3] and got.count() == 52
+
+
+def test_a_failed_upsert_leaves_the_version_before(spark, folder_):
+    path = f"{folder_}/t"
+    good = spark.range(5).selectExpr("id AS k", "1 AS version")
+    sinks.upsert_keyed_table(good, path, "k", [F.col("version").desc()], 4)
+    bad = spark.range(5).selectExpr("id AS k", "assert_true(id < 3) IS NULL AS ok", "2 AS version")
+    with pytest.raises(Exception):
+        sinks.upsert_keyed_table(bad, path, "k", [F.col("version").desc()])
+    assert sinks.table_versions(spark, path) == [1]
+    assert {r["version"] for r in sinks.read_keyed_table(spark, path).collect()} == {1}
