@@ -290,5 +290,17 @@ def find_samples(df: DataFrame, bug_type: str | None, order: str, limit: int = 2
     return page.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def get_scan(scans: DataFrame, scan_id, key: str = "scan_id") -> DataFrame:
-    return scans.where(F.col(key) == scan_id)
+SCAN_BUCKETS = 64
+
+
+def scan_bucket(scan: Column, buckets: int = SCAN_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(scan), F.lit(buckets)).cast("int")
+
+
+def get_scan(scans: DataFrame, scan_id, key: str = "scan_id", buckets: int = SCAN_BUCKETS) -> DataFrame:
+    """Rows of one scan. Of a table that `write_scans` has stored, only the files of its bucket are read."""
+    rows = scans.where(F.col(key) == scan_id)
+    if "scan_bucket" not in scans.columns:
+        return rows
+    own = scan_bucket(F.lit(scan_id).cast(scans.schema[key].dataType), buckets)
+    return rows.where(F.col("scan_bucket") == own).drop("scan_bucket")

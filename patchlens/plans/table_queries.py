@@ -978,6 +978,13 @@ def _(t):
     return report.get_scan(t.ledger(), 7).select("method_id", "file_path")
 
 
+@query("stored_scan", f"WITH {LEDGER} SELECT method_id, file_path FROM ledger WHERE scan_id = 7")
+def _(t):
+    path = new_table_path(t.spark, "scans")
+    sinks.write_scans(t.ledger(), path)
+    return report.get_scan(t.spark.read.parquet(path), 7).select("method_id", "file_path")
+
+
 # --- splits ------------------------------------------------------------------------------------------------
 
 def hash_sql(key: str, seed: int = 42) -> str:

@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 
 from patchlens.functions import vectors as vx
 from patchlens.operators.grouping import first_per_group
+from patchlens.operators.report import SCAN_BUCKETS, scan_bucket
 from patchlens.operators.retrieval import VectorIndex, dense_as_sparse
 from patchlens.session import discard, settle
 
@@ -172,6 +173,14 @@ def write_metrics(results: DataFrame, path: str) -> None:
     tall_metrics(results).write.mode("overwrite").json(path)
 
 
+def write_scans(rows: DataFrame, path: str, scan: str = "scan_id", buckets: int = SCAN_BUCKETS) -> None:
+    """Append rows of scans by bucket of the scan, so that `get_scan` prunes. The rows of a bucket are dealt to several
+    tasks, since one scan may hold a large share of them."""
+    placed = rows.withColumn("scan_bucket", scan_bucket(F.col(scan), buckets))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(8))
+    placed.repartition("scan_bucket", spread).write.mode("append").partitionBy("scan_bucket").parquet(path)
+
+
 def scan_documents(rows: DataFrame, scan: str, part: str, item: str) -> DataFrame:
     """One JSON document per scan and part (its file), with the scan's number of rows, so no scan has
     to fit one task."""

@@ -5,6 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from patchlens.operators import report
 from patchlens.sources import readers, sinks
 from patchlens.session import settle, shared_dir
 
@@ -156,3 +157,15 @@ def test_a_failed_upsert_leaves_the_version_before(spark, folder_):
         sinks.upsert_keyed_table(bad, path, "k", [F.col("version").desc()])
     assert sinks.table_versions(spark, path) == [1]
     assert {r["version"] for r in sinks.read_keyed_table(spark, path).collect()} == {1}
+
+
+def test_a_stored_scan_reads_its_bucket_only(spark, folder_):
+    rows = spark.range(2000).selectExpr("if(id % 3 = 0, 5, id % 40) AS scan_id", "id AS method_id")
+    sinks.write_scans(rows, f"{folder_}/s")
+    sinks.write_scans(rows.selectExpr("scan_id", "method_id + 5000 AS method_id"), f"{folder_}/s")
+    stored = spark.read.parquet(f"{folder_}/s")
+    got = report.get_scan(stored, 5)
+    assert got.columns == ["scan_id", "method_id"] and got.count() == 2 * rows.where("scan_id = 5").count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(scan_bucket" in plan
+    assert report.get_scan(rows, 5).count() == rows.where("scan_id = 5").count()

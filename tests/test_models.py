@@ -54,3 +54,35 @@ def test_text_weights_come_from_the_training_side(spark, points):
     train, test = points.where("pair_id < 200"), points.where("pair_id >= 200").withColumn("text", F.lit("unseen"))
     a, b, w = models._term_features(train, test, "text", 50, True)
     assert "unseen" not in w.terms and b.agg(F.max(F.array_max("terms"))).first()[0] == 0.0
+
+
+def _accuracy(model, test):
+    return model.transform(test).agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+
+
+@pytest.mark.parametrize("name,fit", [
+    ("logistic", lambda d: models.fit_linear(d, "logistic", None, 20)), ("svm", lambda d: models.fit_linear(d, "svm", None, 10)),
+    ("sgd", lambda d: models.fit_linear(d, "sgd", None, 4)), ("mlp", lambda d: models.fit_mlp(d, 6, 3, 40)),
+    ("extra trees", lambda d: models.fit_forest(d, 8, 4, True, None)), ("boosted", lambda d: models.fit_boosted(d, 3, 3, 2, None))])
+def test_each_classifier_learns(spark, points, name, fit):
+    rows, classes = models.index_labels(models.with_features(points, "buggy_vector"), "bug_type")
+    assert classes == ["t0", "t1", "t2"]
+    model = fit(rows.where("pair_id < 160").select("label", "features"))
+    assert _accuracy(model, rows.where("pair_id >= 160")) > 0.9, name
+
+
+def test_two_classes_and_bayes(spark, points):
+    rows = models.with_features(points.withColumn("v", F.transform("buggy_vector", lambda x: F.greatest(x, F.lit(0.0)))), "v")
+    rows = rows.withColumn("label", F.col("y").cast("double"))
+    train, test = (rows.where(c).select("label", "features") for c in ("pair_id < 160", "pair_id >= 160"))
+    assert _accuracy(models.fit_boosted(train, 2, 3, 2, None), test) > 0.9
+    assert _accuracy(models.fit_nb(train, None), test) > 0.9
+
+
+def test_hybrid_families(spark, points):
+    t = models.train_hybrid(points, "pair_id", "bug_type", "text", "buggy_vector", terms=10, trees=4, depth=3, iterations=5,
+                            margin=False)
+    scores = {r["model"]: r["accuracy"] for r in t.results.collect()}
+    assert set(scores) == {"text_logistic", "text_forest", "text_bayes", "vector_logistic", "vector_forest", "both_logistic",
+                           "both_forest"}
+    assert min(scores[f] for f in ("text_logistic", "vector_logistic", "both_logistic")) > 0.9

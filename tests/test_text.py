@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +155,23 @@ def test_tool_lines_and_urls(spark):
               d=fx.parse_repo_url(F.lit("https://x.org/a")))
     assert tuple(row["a"]) == ("src/a.ts", 3, 4, "error", "TS2322", "bad")
     assert row["b"] is None and tuple(row["c"]) == ("a", "b") and row["d"] is None
+
+
+def _complexity(code):
+    """Branches, nesting and tokens by walking over the text."""
+    branches = len(re.findall(r"\b(?:if|for|while|catch)\b", code)) + len(re.findall(r"\bdo\b\s*\{", code))
+    branches += len(re.findall(r"\?(?![.?:])", code)) + len(re.findall(r"&&|\|\||\?\?", code))
+    now = top = 0
+    for c in code:
+        now = now + 1 if c == "{" else max(0, now - 1) if c == "}" else now
+        top = max(top, now)
+    return branches + 1, top + 1, len(re.findall(r"\w+|[^\s\w]", code))
+
+
+def test_complexity_against_a_walk_over_the_text(spark):
+    rng = random.Random(11)
+    parts = ["if (", "for ", "while", "catch (e) ", "do {", "do", "}", "{", " ? a : b", "?.", "??", "&&", "||", "x1", " ", "\n", "é", "iffy", ";"]
+    codes = ["", "}}}{{", "if"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(80)]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "id long, code string")
+    got = {r["id"]: tuple(r["p"]) for r in rows.select("id", vx.complexity_proxy(F.col("code")).alias("p")).collect()}
+    assert got == {i: _complexity(c) for i, c in enumerate(codes)}
