@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from patchlens.llm.words import SLICE, U, piece_hashes
 END = 2
 BLOCK = 2048
 LANES = 2048  # blocks coded together
+BATCH_BYTES = 1 << 20  # of texts encoded together; a longer text is encoded alone
 KNOWN = 1_500_000  # word pieces remembered at once
 
 #: Texts of these characters alone are cut into pieces here, as the vocabulary's own rule cuts them.
@@ -224,18 +226,30 @@ class _Packer:
             schema=BLOCKS)
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END, block: int = BLOCK) -> None:
-    """Tokenise, add the end id and write coded blocks. Documents are dealt out by ranges of doc_id."""
+def _batches(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts have BATCH_BYTES together, or one row with more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END, block: int = BLOCK,
+                 lanes: int = LANES) -> None:
+    """Tokenise, add the end id and write coded blocks. Documents are dealt out by ranges of doc_id; a task codes
+    `lanes` blocks together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, packer, ordinal = encoder(vocabulary), _Packer(block), 0
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in _batches(b):
                 keys, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 for key, ids in zip(keys, code.encode(texts)):
                     packer.put(ordinal, key, np.append(ids, np.uint16(end)))
                     ordinal += 1
-                if len(packer.full) >= LANES:
+                if len(packer.full) >= lanes:
                     yield packer.take()
         packer.close()
         if packer.full:
@@ -250,7 +264,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+def _decoded(batches: Iterator[pa.RecordBatch], lanes: int = LANES) -> Iterator[list[tuple]]:
     """(part, block, ids, ordinals, doc_ids, counts) of many blocks at a time."""
     rows: list[tuple] = []
 
@@ -259,8 +273,8 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
     for b in batches:
         rows += zip(*(b.column(i).to_pylist() for i in range(6)))
-        while len(rows) >= LANES:
-            rows, rest = rows[:LANES], rows[LANES:]
+        while len(rows) >= lanes:
+            rows, rest = rows[:lanes], rows[lanes:]
             yield flush()
             rows = rest
     if rows:
@@ -313,10 +327,10 @@ def crc_joined(first: int, second: int, length: int) -> int:
     return first ^ second
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
+def digests(spark: SparkSession, path: str, lanes: int = LANES) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _decoded(batches):
+        for group in _decoded(batches, lanes):
             out = []
             for part, block, ids, ordinals, keys, counts in group:
                 data, at = memoryview(ids.astype("<u4").tobytes()), 0
@@ -353,11 +367,12 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         "doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encoded(docs: DataFrame, path: str, vocabulary: str | None = None) -> DataFrame:
-    """Write the documents' ids to a folder and give what the files say of each document."""
+def encoded(docs: DataFrame, path: str, vocabulary: str | None = None, lanes: int = LANES) -> DataFrame:
+    """Write the documents' ids to a folder and give what the files say of each document. Fewer `lanes` take less
+    memory and more time; the files are the same."""
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    write_tokens(docs, path, vocabulary)
-    return digests(docs.sparkSession, path)
+    write_tokens(docs, path, vocabulary, lanes=lanes)
+    return digests(docs.sparkSession, path, lanes)
