@@ -7,6 +7,10 @@ from patchlens.llm import decontaminate, ftrl, jaccard, mixing, tokens
 from patchlens.llm.common import Scratch, fresh_path, table
 
 
+#: Blocks coded together: the last stage shares its executors with what the stages before have left in memory.
+LANES = 1024
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return ftrl.keep_quality(docs, ftrl.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -29,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the token files say of each document: doc_id, start, n_tokens, ids_crc32."""
-    return tokens.encoded(docs, fresh_path(spark, "tokens"))
+    return tokens.encoded(docs, fresh_path(spark, "tokens"), lanes=LANES)
 
 
 STAGES = [
