@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchlens.session import settle
+
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     return df.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"))
@@ -22,8 +24,8 @@ def confusion_matrix(df: DataFrame, classes: list, label: str = "label",
 
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Precision, recall, F1 and support per class, then macro and weighted means. The raw rows
-    are read once, for the confusion counts; the rest works on classes."""
-    return report_of(confusion(df, label, prediction), label, prediction)
+    are read once, for the confusion counts, which are written; the rest works on classes."""
+    return report_of(settle(confusion(df, label, prediction), "confusion"), label, prediction)
 
 
 def report_of(counts: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
