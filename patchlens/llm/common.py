@@ -88,6 +88,14 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         e.select(F.col("v"), F.col("v")).distinct())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def has_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

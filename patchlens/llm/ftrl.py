@@ -100,14 +100,16 @@ def scores_of(column, weights: np.ndarray, bits: int) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(key, text, y) of at most `most` labelled rows that are not held out, those of the smallest hashed ids."""
+    """(key, text, y) of at most `most` labelled rows that are not held out, those of the smallest hashed ids. Of
+    several texts of an id, that of the smallest hash is learned."""
     rows = (labels.select(F.col("doc_id").cast("long").alias("key"), F.col(label).cast("int").alias("y"))
             .where(F.col("y").isNotNull() & F.col("key").isNotNull() & ~held_out(F.col("key")))
             .groupBy("key").agg(F.max("y").alias("y"))
             .orderBy(F.xxhash64("key"), "key").limit(most))
     # at most `most` narrow rows, so they travel to the documents
     return (docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text"))
-            .join(F.broadcast(rows), "key").dropDuplicates(["key"]))
+            .join(F.broadcast(rows), "key").groupBy("key")
+            .agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r")).select("key", "r.text", "r.y"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS,

@@ -16,7 +16,8 @@ with B. A is linked and b is not only if |B| is within the sum of two such bound
 
 Edge cases: documents without words or without text are in no pair and are their own component; a document of fewer
 words than a shingle has its whole sequence as one; repeated rows are in one class; rows without an id count in no
-component and are returned; an empty table gives no rows; other columns are ignored.
+component and are returned; an empty table gives no rows; other columns are ignored. Rows that share an id with
+different texts: an id stands for one document in the links; `keep_one` takes them as documents of their own.
 """
 from __future__ import annotations
 
@@ -27,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import Scratch, components
+from patchlens.llm.common import Scratch, components, free_name
 from patchlens.llm.words import PLACE, U, mix, slices
+from patchlens.operators.grouping import spread_row_number
 
 #: A token is frequent if more classes than this hold it in their first prefix. At most MOST_FREQUENT tokens are sent to
 #: the tasks: where there are more, the number of classes that makes a token frequent is raised until there are not.
@@ -346,8 +348,26 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int = 80) -> DataFrame:
-    """Documents with all their columns, of each component the one of the smallest id; rows without an id stay."""
-    drop = near_duplicates(docs, scratch, shingle, t).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(drop, docs["doc_id"] == drop["__gone"], "left_anti")
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """Documents with all their columns, of each component the one of the smallest id; rows without an id stay.
+
+    A document is an id and a text: where an id has several texts, documents are numbered in the order of (id, hash of
+    the text) and compared by number; of rows with the same id and text one stays.
+    """
+    number = free_name(docs, "number")
+    tag = F.xxhash64("text")
+    keys = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), tag.alias("tag"))
+    several = keys.groupBy("id").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low <> high")
+    numbered = docs.withColumn(number, F.col("doc_id").cast("long"))
+    if several.limit(1).count():
+        ranges = scratch.settle(keys.distinct().repartitionByRange("id", "tag").withColumn(
+            "range", F.spark_partition_id()), "ranges")
+        order = [F.col("id"), F.col("tag")]
+        numbers = spread_row_number(ranges, [], F.col("range"), order, "place").select("id", "tag", "place")
+        numbered = scratch.settle(
+            docs.join(numbers, (docs["doc_id"].cast("long") == numbers["id"]) & (tag == numbers["tag"]), "left").select(
+                *(docs[c] for c in docs.columns), numbers["place"].alias(number)), "numbered")
+    drop = near_duplicates(numbered.select(F.col(number).alias("doc_id"), "text"), scratch, shingle, t).where(
+        "doc_id <> component_id").select(F.col("doc_id").alias(free_name(numbered, "gone"))).distinct()
+    left = numbered.join(drop, numbered[number] == drop[drop.columns[0]], "left_anti")
+    kept = left.where(F.col(number).isNotNull()).dropDuplicates([number])
+    return left.where(F.col(number).isNull()).unionByName(kept).select(*docs.columns)

@@ -5,13 +5,16 @@ blocks of equal length. Golden-ratio points pick a source for every slot; the k-
 block.
 
 Edge cases: a null text has size 0; a source without words has target 0; null is a source of its own, the last;
-documents of size 0 take nothing; repeated rows are documents of their own; an empty table gives no rows.
+documents of size 0 take nothing; repeated rows, and rows that share an id, are documents of their own; an empty table
+gives no rows; other columns stay as they are, whatever their names.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchlens.operators.grouping import spread_row_number
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 BLOCK = 2048
@@ -59,16 +62,16 @@ def streams(sized: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFram
     A source's running sum is taken in bins of the hash: sums of whole bins first, then inside each bin.
     """
     d = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", sized["source"].alias("source"), "size", "rank", "source_size", "target",
+        "doc_id", sized["source"].alias("source"), "size", "tag", "rank", "source_size", "target",
         _shuffled(F.col("doc_id"), seed).alias("h")).withColumn("bin", F.substring("h", 1, 3))
     sums = d.groupBy("rank", "bin").agg(F.sum("size").alias("words"))
     sums = sums.select(F.col("rank").alias("r"), F.col("bin").alias("b"), F.coalesce(F.sum("words").over(
         Window.partitionBy("rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("rank", "bin").orderBy("h", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("rank", "bin").orderBy("h", "doc_id", "size", "tag").rowsBetween(
         Window.unboundedPreceding, -1)
     d = d.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return d.join(sums, (d["rank"] == sums["r"]) & (d["bin"] == sums["b"])).select(
-        "doc_id", "source", "size", "rank", "source_size", "target", (F.col("base") + F.col("inside")).alias("start"))
+        "doc_id", "source", "size", "tag", "rank", "source_size", "target", (F.col("base") + F.col("inside")).alias("start"))
 
 
 def quota(target: Column, source_size: Column, most: int = 2) -> Column:
@@ -119,7 +122,7 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix(docs: DataFrame, scratch, block: int = BLOCK, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS):
     """(pieces, streams). pieces: slot, doc_id, source, rank, start, size, pass, from_word, n_words - the mix in the
     order of its slots; streams: all documents with their sizes and targets."""
-    sized = scratch.settle(with_size(docs).select("doc_id", "source", "size"), "sizes")
+    sized = scratch.settle(with_size(docs).select("doc_id", "source", "size", F.xxhash64("text").alias("tag")), "sizes")
     targets = scratch.settle(source_targets(sized, weights), "targets")
     placed = scratch.settle(streams(sized, targets, seed), "streams")
     q = quota(F.col("target"), F.col("source_size"))
@@ -135,23 +138,47 @@ def mix(docs: DataFrame, scratch, block: int = BLOCK, seed: str = "mix", weights
     return pieces.join(schedule(targets, block), ["rank", "block"]), placed
 
 
-def taken_words(docs: DataFrame, scratch, **settings) -> DataFrame:
-    """Each document with its source's target and the words that the mix takes from it, repeats counted."""
+def placed_words(docs: DataFrame, scratch, **settings) -> DataFrame:
+    """Each document with its place in its source's stream, its source's target and the words that the mix takes from
+    it, repeats counted; tag is a hash of its text."""
     pieces, placed = mix(docs, scratch, **settings)
-    taken = pieces.groupBy("rank", "start", "doc_id", "size").agg(F.sum("n_words").alias("taken"))
-    some = placed.where("size > 0").join(taken.withColumnRenamed("doc_id", "d").withColumnRenamed("size", "s"),
-                                         ["rank", "start"], "left")
-    cols = ["doc_id", "size", "source_size", F.col("target").cast("double").alias("target")]
+    taken = pieces.groupBy("rank", "start").agg(F.sum("n_words").alias("taken"))
+    cols = ["doc_id", "source", "tag", "start", "size", "source_size", F.col("target").cast("double").alias("target")]
+    some = placed.where("size > 0").join(taken, ["rank", "start"], "left")
     return some.select(*cols, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).union(
         placed.where("size = 0").select(*cols, F.lit(0).cast("long")))
 
 
+def taken_words(docs: DataFrame, scratch, **settings) -> DataFrame:
+    """Each document with its source's target and the words that the mix takes from it, repeats counted."""
+    return placed_words(docs, scratch, **settings).drop("source", "tag", "start")
+
+
+def _identity(doc_id: Column, source: Column, tag: Column) -> Column:
+    """One string for an id, a source and a text; nulls differ from all values."""
+    return F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("-")), tag,
+                       F.coalesce(F.concat(F.lit("="), source), F.lit("-")))
+
+
 def mixed_documents(docs: DataFrame, scratch, **settings) -> DataFrame:
     """The documents of the mix with all their columns: the words taken, a second pass after the first; a document
-    of which nothing is taken goes. Rows of one id share what is taken from that id."""
-    taken = taken_words(docs, scratch, **settings).groupBy("doc_id").agg(
-        F.max(F.struct("size", "taken")).alias("__t")).select(
-        F.col("doc_id").alias("__id"), F.col("__t.size").alias("__size"), F.col("__t.taken").alias("__taken"))
+    of which nothing is taken goes. Copies of one id, source and text stand one behind the other in the stream; each
+    row takes one of their places."""
+    places = scratch.settle(placed_words(docs, scratch, **settings).where("size > 0").select(
+        _identity(F.col("doc_id"), F.col("source"), F.col("tag")).alias("key"), "start", "size", "taken"), "places")
+    groups = places.groupBy("key").agg(F.count("*").alias("copies"), F.min("start").alias("first"))
+    parts = places.join(groups, "key").where("taken > 0").select(
+        "key", ((F.col("start") - F.col("first")) / F.col("size")).cast("long").alias("copy"), "size", "taken")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")).withColumn("key", _identity(
+        F.col("row.doc_id"), F.col("row.source"), F.xxhash64("row.text")))
+    many = groups.where("copies > 1").select("key")
+    numbered = rows.withColumn("copy", F.lit(0).cast("long"))
+    if many.limit(1).count():
+        # written with the number of the task that wrote them, so that a group is counted by parts
+        repeated = scratch.settle(rows.join(many, "key", "left_semi").withColumn("part", F.spark_partition_id()), "repeats")
+        counted = spread_row_number(repeated, ["key"], F.col("part"), [F.xxhash64("row")], "copy")
+        numbered = numbered.join(many, "key", "left_anti").unionByName(
+            counted.select("row", "key", (F.col("copy") - 1).cast("long").alias("copy")))
 
     def first_words(text: Column, n: Column) -> Column:
         """The text up to the end of its n-th word and the gap after it."""
@@ -160,16 +187,16 @@ def mixed_documents(docs: DataFrame, scratch, **settings) -> DataFrame:
         rest = F.when(F.size(parts) > n, F.char_length(F.element_at(parts, -1))).otherwise(0)
         return F.when(n <= 0, F.lit("")).otherwise(F.substring(body, F.lit(1), F.char_length(body) - rest))
 
-    d = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).where("__taken > 0")
-    size, n = F.col("__size"), F.col("__taken")
-    text = (F.when(n == size, F.col("text"))
-            .when(n == 2 * size, F.concat("text", F.lit("\n"), "text"))
-            .when(n < size, first_words(F.col("text"), n))
-            .otherwise(F.concat("text", F.lit("\n"), first_words(F.col("text"), n - size))))
-    d = d.withColumn("text", text)
+    size, n, whole = F.col("size"), F.col("taken"), F.col("row.text")
+    text = (F.when(n == size, whole)
+            .when(n == 2 * size, F.concat(whole, F.lit("\n"), whole))
+            .when(n < size, first_words(whole, n))
+            .otherwise(F.concat(whole, F.lit("\n"), first_words(whole, n - size))))
+    d = numbered.join(parts, ["key", "copy"]).withColumn("text", text)
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+        changed["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return d.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

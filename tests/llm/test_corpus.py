@@ -228,6 +228,17 @@ def test_jaccard_odd_rows(spark, odd, none):
     assert jaccard.near_duplicates(none, Scratch(spark)).collect() == []
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    """Ids with several texts: copies go, other texts of the same id stay, whatever extra columns are called."""
+    text = {x: " ".join(f"{x}{i}" for i in range(30)) for x in "abcde"}
+    rows = [(1, "a"), (2, "a"), (2, "b"), (2, "c"), (3, "d"), (3, "e"), (4, "d"), (5, "e"), (6, "b"), (3, "d"), (None, "a")]
+    df = spark.createDataFrame([(i, text[x], i, 0) for i, x in rows], "doc_id long, text string, number long, gone int")
+    kept = jaccard.keep_one(df, Scratch(spark))
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id or 0, r.text[0]) for r in kept.collect())
+    assert got == [(0, "a"), (1, "a"), (2, "b"), (2, "c"), (3, "d"), (3, "e")]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     got = {r.node: r.component for r in components(
@@ -306,6 +317,23 @@ def test_mix_odd_rows_and_whole_schedule(spark, odd, none):
             assert len(WORD.findall(r.text)) == by[r.doc_id].taken and r.n_chars == len(r.text)
 
 
+def test_mix_holds_what_is_taken_from_rows_of_one_id(spark):
+    """Rows that share an id, a text or a source, and names that clash: the mix has the words that were taken."""
+    def of(n, x):
+        return " ".join([x] * n)
+    rows = ([(2, of(7, "a"), "x", 1, "k")] * 3 + [(2, of(14, "b"), "x", 1, "k"), (2, of(8, "c"), None, 1, "k")]
+            + [(3, of(11, "d"), "y", 1, "k"), (3, of(11, "e"), "y", 1, "k"), (None, of(5, "f"), "x", 1, None)]
+            + [(None, of(5, "f"), "x", 2, None)] * 2 + [(4, of(30, "g"), "z", 1, "k"), (4, None, "z", 1, "k")])
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, taken long, key string")
+    def fed(pairs):
+        return collections.Counter(x for x in pairs if x[1])
+    for block in (4, 2048):
+        want = fed((r.doc_id, r.taken) for r in mixing.taken_words(df, Scratch(spark), block=block).collect())
+        out = mixing.mixed_documents(df, Scratch(spark), block=block)
+        assert out.columns == df.columns
+        assert fed((r.doc_id, len(WORD.findall(r.text))) for r in out.collect()) == want
+
+
 def test_schedule_is_even(spark):
     targets = spark.createDataFrame([(0, 5000.0, 4000), (1, 2000.0, 1500), (2, 30.0, 30)], "rank int, target double, source_size long")
     slots = mixing.schedule(targets, 10).orderBy("slot").collect()
@@ -513,6 +541,14 @@ def test_classifiers_on_odd_rows(spark, odd, none):
     assert ftrl.keep_quality(odd, np.zeros((1 << ftrl.BITS) + 1)).count() == len(ODD)
 
 
+def test_same_text_of_an_id_is_learned_whatever_the_order(spark):
+    rows = [(i, f"good words {i}") for i in range(9)] + [(i, f"other text {i}") for i in range(9)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    one, two = (ftrl.labelled_sample(spark.createDataFrame(x, "doc_id long, text string"), labels, "quality", 100)
+                for x in (rows, rows[::-1]))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and one.count() == sum(not held(i) for i in range(9))
+
+
 def test_labels_held_out_are_never_learned(spark):
     rows = [(i, "good words here" if i % 2 else "bad bad stuff") for i in range(200)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
