@@ -19,7 +19,8 @@ from patchlens.plans.text_queries import (
 )
 from patchlens.rules import ladders as R
 from patchlens.rules import lexicon as L
-from patchlens.sources import sinks
+from patchlens.session import new_table_path
+from patchlens.sources import json_arrays, readers, sinks
 from patchlens.streaming import jobs as st
 
 LONG = "long"
@@ -39,6 +40,19 @@ def _(t):
                                        "severity", "confidence_score")
 
 
+@query("read_pairs_json", f"""WITH {PAIRS} SELECT pair_id, before AS buggy_code_chunk,
+after AS fixed_code_chunk, message AS commit_message, 0.9::DOUBLE AS label_confidence,
+64::BIGINT AS width FROM pairs""")
+def _(t):
+    p = t.pairs().select("pair_id", F.col("before").alias("buggy_code"), F.col("after").alias("fixed_code_chunk"),
+                         F.col("message").alias("commit_message"), F.array(F.lit(1.0)).alias("ast_vector"))
+    path = new_table_path(p.sparkSession, "pairs")
+    json_arrays.write_json_arrays(p, path)
+    got = readers.read_pairs_json(p.sparkSession, path, split_bytes=1 << 16)
+    return got.select("pair_id", "buggy_code_chunk", "fixed_code_chunk", "commit_message", "label_confidence",
+                      F.size("ast_vector").cast(LONG).alias("width"))
+
+
 @query("clean_revectorise", f"""WITH {PAIRS}, ok AS (SELECT *, row_number() OVER (PARTITION BY before, bug_type
 ORDER BY pair_id) AS rn FROM pairs WHERE before IS NOT NULL
 AND {sql_trim('before')} <> {sql_trim('after')} AND length(before) >= 20)

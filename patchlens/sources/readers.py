@@ -14,6 +14,7 @@ from patchlens.functions import vectors as vx
 from patchlens.operators.grouping import spread_row_number
 from patchlens.operators.quality import is_source_file
 from patchlens.rules import lexicon as L
+from patchlens.sources.json_arrays import SPLIT_BYTES, read_json_array
 
 
 def _strings(*names: str) -> list[T.StructField]:
@@ -55,11 +56,14 @@ COMMITS_JSON = T.StructType([
         T.StructField("deletions", T.IntegerType()), *_strings("patch")])))])
 
 
-def read_pairs_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_pairs_json(spark: SparkSession, path: str, multi_line: bool = True,
+                    split_bytes: int | None = SPLIT_BYTES) -> DataFrame:
     """Pair records with field aliases settled and vectors of 64. Rows without any id get one
-    after the largest known, in code order. Line-delimited files split; one big array does not."""
-    raw = spark.read.schema(PAIR_JSON).json(path, multiLine=multi_line)
-    return settle_pairs(raw)
+    after the largest known, in code order. Line-delimited files split, and so does one big array,
+    every `split_bytes`; with None (compressed files) it is read whole by one task."""
+    if multi_line and split_bytes:
+        return settle_pairs(read_json_array(spark, path, PAIR_JSON, split_bytes))
+    return settle_pairs(spark.read.schema(PAIR_JSON).json(path, multiLine=multi_line))
 
 
 def settle_pairs(raw: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import gzip
 import json
 import os
 import zipfile
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchlens.operators import report
-from patchlens.sources import readers, sinks
+from patchlens.sources import json_arrays, readers, sinks
 from patchlens.session import settle, shared_dir
 
 
@@ -33,6 +34,55 @@ def test_pairs_json_aliases_and_missing_ids(spark, folder_):
     assert {got[10]["buggy_code_chunk"], got[11]["buggy_code_chunk"]} == {"e", "g"}
 
 
+TRICKY = ['a "quoted" word', "back\\\\slash\\", '\\\\"', "[{", "}]", '","id":5},{"id":6', "é 日本 \u2028", "", "x" * 3000,
+          "{\"a\": [1, {\"b\": \"\\\\\\\"\"}]}"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 64, 1000, 1 << 20])
+def test_array_by_byte_ranges_equals_the_whole_read(spark, folder_, size):
+    """Strings with brackets, quotes and runs of backslashes, cut anywhere; one indented file, one compact, one object."""
+    rows = [{"id": i, "t": t, "in": {"l": [{"s": t}, {"s": "]"}]}, "n": None} for i, t in enumerate(TRICKY)]
+    if size < 7:
+        rows = [r for r in rows if len(r["t"]) < 12]  # a task a few bytes
+        write(f"{folder_}/j/a.json", json.dumps(rows[:2]))
+    else:
+        write(f"{folder_}/j/a.json", json.dumps(rows, ensure_ascii=False))
+        write(f"{folder_}/j/b.json", "\ufeff \n" + json.dumps(rows * 3, indent=3))
+        write(f"{folder_}/j/c.json", json.dumps({"id": 77, "t": "alone", "in": {"l": [{"s": "{"}]}}))
+        write(f"{folder_}/j/d.json", "[]")
+        write(f"{folder_}/j/e.json", "")
+    schema = "id long, t string, `in` struct<l: array<struct<s: string>>>, n string"
+    if size == 7:
+        for name in "bd":
+            write(f"{folder_}/j/{name}.json", "[]")
+    want = [r for r in spark.read.schema(schema).json(f"{folder_}/j", multiLine=True).collect() if r.id is not None]
+    got = json_arrays.read_json_array(spark, f"{folder_}/j", schema, size)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want))
+
+
+def test_states_of_cut_strings():
+    """Walking pieces one after the other is walking the whole, wherever it is cut."""
+    text = json.dumps([{"t": t, "l": [t]} for t in TRICKY if len(t) < 50]).encode()
+    whole = list(json_arrays.Walk(text, json_arrays.OUTSIDE))
+    for cut in range(len(text)):
+        one = json_arrays.Walk(text[:cut], json_arrays.OUTSIDE)
+        first = list(one)
+        two = json_arrays.Walk(text[cut:], one.state)
+        assert first + [(at + cut, mark) for at, mark in two] == whole and two.state == json_arrays.OUTSIDE
+
+
+def test_array_is_read_by_several_tasks_and_not_compressed(spark, folder_):
+    write(f"{folder_}/k/a.json", json.dumps([{"id": i} for i in range(2000)]))
+    got = json_arrays.read_json_array(spark, f"{folder_}/k", "id long", 2000)
+    tasks = got.select("id", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r.id for r in tasks) == list(range(2000)) and len({r.p for r in tasks}) > 4
+    os.makedirs(f"{folder_}/z")
+    with gzip.open(f"{folder_}/z/a.json", "wb") as f:
+        f.write(b'[{"id": 1}]')
+    with pytest.raises(Exception, match="compressed"):
+        json_arrays.read_json_array(spark, f"{folder_}/z", "id long").collect()
+
+
 def test_samples_csv_round_trip_with_line_breaks(spark, folder_):
     rows = spark.createDataFrame([(1, 1, 1, 'a "quoted"\nline', "x,y")],
                                  "sample_id long, pair_id long, is_bug int, label_name string, code string")
