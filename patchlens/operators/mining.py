@@ -68,7 +68,8 @@ def match_known_repos(rows: DataFrame, known: DataFrame, url: str = "url", name:
     keys = named.select("name", "position", F.explode(of_size).alias("gram")).join(often, "gram", "left").groupBy(
         "name", "position").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
     keys = keys.where("rarest.n > 0").select("name", "position", F.col("rarest.gram").alias("gram"))
-    inside = in_urls.join(keys, "gram").where(F.contains("_url", "name"))
+    # the planner takes the exploded URLs for as small as the file they come from and would send them to every task
+    inside = in_urls.hint("merge").join(keys, "gram").where(F.contains("_url", "name"))
     equal = urls.join(known.where("name IS NOT NULL"), "_url")
     first = F.min(F.struct("position", "name")).alias("first")
     found = inside.select("_url", "position", "name").unionByName(equal.select("_url", "position", "name")).groupBy(

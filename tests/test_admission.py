@@ -131,6 +131,14 @@ def test_many_known_repositories_meet_few_urls(spark):
     assert all(r["known_repo"] == (f"owner{r['id'] * 997}/repo" if r["id"] * 997 < 100_000 else None) for r in rows)
 
 
+def test_grams_of_urls_are_not_broadcast(spark):
+    known = spark.range(50).selectExpr("id AS position", "concat('name', id) AS name", "CAST(NULL AS STRING) AS url")
+    urls = spark.range(50).selectExpr("id", "concat('https://host/name', id, '/x') AS url")
+    plan = mining.match_known_repos(urls, known)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join [gram" in x and "Contains(" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def greedy_folds(sizes, folds):
     loads, out = [0] * folds, {}
     for n, g in sorted(((n, g) for g, n in sizes.items()), key=lambda x: (-x[0], x[1])):
