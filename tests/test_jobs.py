@@ -115,6 +115,23 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     assert kept.groupBy("r").count().agg(F.max("count")).first()[0] <= 4
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_streamed_table_is_a_file_or_a_folder(spark, tmp_path, files):
+    rows = spark.range(90).withColumn("x", F.col("id") * 2).repartition(files)
+    rows.write.parquet(f"{tmp_path}/made")
+    (tmp_path / "in").mkdir()
+    parts = sorted((tmp_path / "made").glob("*.parquet"))
+    if files == 1:
+        parts[0].rename(tmp_path / "in" / "t.parquet")
+    else:
+        (tmp_path / "in" / "t.parquet").mkdir()
+        for i, p in enumerate(parts):
+            p.rename(tmp_path / "in" / "t.parquet" / f"part-{i}.parquet")
+    spark.range(7).write.parquet(f"{tmp_path}/in/other.parquet")  # a folder beside it, which is not read
+    got = st.run_batches(st.read_stream(spark, f"{tmp_path}/in", "t.parquet"), lambda b, n: b, "t").select("id", "x").collect()
+    assert sorted(map(tuple, got)) == [(i, 2 * i) for i in range(90)]
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     out = str(tmp_path / "out")
     for number in (0, 1, 1):  # batch 1 arrives twice
