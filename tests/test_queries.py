@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, compare
+from patchlens.plans.bindings import Tables
 
 QUICK = ["delta_signature", "defect_score", "candidate_scores", "hunk_pairs", "token_vector64", "vector_topk",
          "tfidf_transform", "hybrid_gate", "cap_per_group", "issue_report", "dataset_stats", "stratified_split",
@@ -24,6 +25,16 @@ def test_query_equals_sql(spark, duck, folder, name):
     assert compare(df.collect(), df.columns, duck.execute(entry.oracle_sql()[name])) is None
 
 
+@pytest.mark.parametrize("name", ["ranked_candidates"])
+def test_pairs_without_a_before_text_are_kept(spark, duck, folder, name):
+    df = entry.queries()[name](spark, folder)
+    rows = df.collect()
+    assert compare(rows, df.columns, duck.execute(entry.oracle_sql()[name])) is None
+    pairs = Tables(spark, folder).pairs().select("pair_id", "before").collect()
+    assert any(p["before"] is None for p in pairs)
+    assert sorted(r["pair_id"] for r in rows) == sorted(p["pair_id"] for p in pairs)
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
