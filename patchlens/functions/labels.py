@@ -109,7 +109,7 @@ def _text(c: Column) -> Column:
 
 def classify_ladder(diff, before, after, message, steps=R.DIVERSE_LADDER) -> Column:
     """First matching row of the ladder as a struct of type and texts."""
-    fields = {"before": before, "after": after, "after_lower": F.lower(after),
+    fields = {"before": _text(before), "after": after, "after_lower": F.lower(after),
               "diff_lower": F.lower(diff), "message_lower": F.lower(_text(message))}
     names = ["bug_type", "bug_description", "root_cause", "fix_description", "bug_pattern"]
 

@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, duck, folder, name):
     assert compare(df.collect(), df.columns, duck.execute(entry.oracle_sql()[name])) is None
 
 
-@pytest.mark.parametrize("name", ["ranked_candidates"])
+@pytest.mark.parametrize("name", ["ranked_candidates", "classify_ladder"])
 def test_pairs_without_a_before_text_are_kept(spark, duck, folder, name):
     df = entry.queries()[name](spark, folder)
     rows = df.collect()
