@@ -86,3 +86,18 @@ def test_hybrid_families(spark, points):
     assert set(scores) == {"text_logistic", "text_forest", "text_bayes", "vector_logistic", "vector_forest", "both_logistic",
                            "both_forest"}
     assert min(scores[f] for f in ("text_logistic", "vector_logistic", "both_logistic")) > 0.9
+
+
+def test_passes_of_a_fit_have_as_many_tasks_as_the_rows_fill(spark, points):
+    rows = models.with_features(points, "buggy_vector").withColumn("label", F.col("y").cast("double")).repartition(40)
+    packed = models.packed(rows.select("label", "features"))
+    assert packed.rdd.getNumPartitions() == 1 and packed.count() == points.count()
+    packed.unpersist()
+    tracker, group = spark.sparkContext.statusTracker(), "one fit"
+    spark.sparkContext.setJobGroup(group, group)
+    model = models.fit_linear(rows, "logistic", None, iterations=15)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # the 40 partitions are read when the rows are measured and dealt, not in each of some 15 passes
+    assert 0 < sum(s.numCompletedTasks for s in stages if s) < 250
+    assert model.numClasses == 2
