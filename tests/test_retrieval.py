@@ -1,6 +1,7 @@
 """Bounded retrieval against all pairs, and what it saves."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from patchlens.operators import retrieval
 from patchlens.operators.retrieval import SearchCost, VectorIndex
@@ -86,3 +87,11 @@ def test_empty_sides(spark):
     assert retrieval.nearest(none, refs, 6).count() == 0 and retrieval.nearest(refs, none, 6, 3).count() == 0
     zero = spark.createDataFrame([(1, [], [])], "id long, idx array<int>, val array<double>")
     assert retrieval.nearest(zero, refs, 6).first()["score"] == 0.0
+
+
+def test_without_references_no_features_are_made(spark):
+    targets = spark.createDataFrame([(1, "a b"), (2, None)], "id long, code string").withColumn("mark", F.col("id") * 2)
+    none = spark.createDataFrame([], "rid long, ref string")
+    best = retrieval.hybrid_top1(targets, none, "id", "rid", "code", "ref", carry=("mark",))
+    assert sorted(map(tuple, best.collect())) == [(1, None, 0.0, 2), (2, None, 0.0, 4)]
+    assert best.inputFiles() == []  # no table of features was written
