@@ -1,5 +1,6 @@
 """Bounded retrieval against all pairs, and what it saves."""
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,40 @@ def test_without_references_no_features_are_made(spark):
     best = retrieval.hybrid_top1(targets, none, "id", "rid", "code", "ref", carry=("mark",))
     assert sorted(map(tuple, best.collect())) == [(1, None, 0.0, 2), (2, None, 0.0, 4)]
     assert best.inputFiles() == []  # no table of features was written
+
+
+@pytest.mark.parametrize("k,threshold", [(1, None), (3, 0.1)])
+def test_sparse_references_are_held_sparse_and_met_exactly(spark, k, threshold, monkeypatch):
+    monkeypatch.setattr(retrieval, "GROUP_ROWS", 70)
+    rng = np.random.default_rng(2)
+    refs, targets = np.zeros((400, 900)), np.zeros((60, 900))
+    for rows, n in ((refs, 12), (targets, 40)):
+        for row in rows:
+            row[np.unique(rng.integers(0, 900, n) * rng.random(n)).astype(int)] = rng.random()
+    refs /= np.linalg.norm(refs, axis=1, keepdims=True)
+    refs[31] = refs[8]  # ties go to the smaller id
+
+    def sparse(rows):
+        return spark.createDataFrame([(i, np.flatnonzero(r).tolist(), r[r != 0].tolist()) for i, r in enumerate(rows)],
+                                     "id long, idx array<int>, val array<double>")
+
+    index = VectorIndex.build(sparse(refs), 900, 0)
+    assert index.bounds.width < 300  # numbers held of a reference: not one for each coordinate
+    for sizes in ({}, {"block_rows": 90}):
+        got = retrieval.nearest(sparse(targets), index, 900, k, threshold, **sizes).collect()
+        assert {(r["target_id"], r["reference_id"]) for r in got} == brute(targets, refs, k, threshold)
+
+
+def test_full_rows_are_not_copied():
+    values = pa.array(np.arange(6.0))
+    batch = pa.table({"idx": pa.ListArray.from_arrays([0, 3, 6], pa.array([0, 1, 2, 0, 1, 2], pa.int32())),
+                      "val": pa.ListArray.from_arrays([0, 3, 6], values)}).to_batches()[0]
+    dense = retrieval._dense(batch, 3)
+    assert dense.tolist() == [[0, 1, 2], [3, 4, 5]] and np.shares_memory(dense, np.asarray(values))
+
+
+def test_best_ranks_only_what_can_still_win():
+    best = retrieval._Best(2, 2, np.array([-np.inf, 0.5]))
+    best.add(np.array([0, 1]), np.array([[0.1, 0.7, 0.7, 0.2], [0.4, 0.5, 0.1, 0.2]]), np.array([4, 5, 6, 7]))
+    best.add(np.array([0]), np.array([[0.7]]), np.array([1]))
+    assert best.ids[0].tolist() == [1, 5] and best.scores[1].tolist() == [0.5, -np.inf]
