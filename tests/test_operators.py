@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,19 @@ def test_known_repo_takes_the_first_in_list_order(spark):
     d = spark.createDataFrame([("https://h/alp",), ("x/alphabet",), ("none",)], "u string")
     got = [r[0] for r in d.select(mining.match_known_repo(F.col("u"), known)).collect()]
     assert got == ["alp", "alpha", None]
+
+
+def test_grams_are_counted_by_parts(spark, monkeypatch):
+    rows = [["a", "b", "a"], [], None, ["b", None], ["c"] * 5 + ["a"]]
+    want = {"a": (3, 2), "b": (2, 2), "c": (5, 1), tfidf.ROW_MARK: (4, 4)}
+    docs = spark.createDataFrame([(g,) for g in rows], "grams array<string>").coalesce(1)
+    got = tfidf.tfidf_fit(docs, max_terms=3).collect()
+    assert {r["term"]: (r["tf"], r["df"]) for r in got} | {tfidf.ROW_MARK: (got[0]["n"],) * 2} == want
+    for at_once, parts in ((tfidf.COUNT_GRAMS, 1), (3, 3)):
+        monkeypatch.setattr(tfidf, "COUNT_GRAMS", at_once)
+        made = list(tfidf._counts(iter([pa.RecordBatch.from_arrays([pa.array(rows).slice(0)], ["grams"])])))
+        total = {}
+        for r in (r for batch in made for r in batch.to_pylist()):
+            had = total.get(r["term"], (0, 0))
+            total[r["term"]] = had[0] + r["tf"], had[1] + r["df"]
+        assert total == want and len(made) == parts
