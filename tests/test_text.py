@@ -175,3 +175,18 @@ def test_complexity_against_a_walk_over_the_text(spark):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "id long, code string")
     got = {r["id"]: tuple(r["p"]) for r in rows.select("id", vx.complexity_proxy(F.col("code")).alias("p")).collect()}
     assert got == {i: _complexity(c) for i, c in enumerate(codes)}
+
+
+def test_words_are_swapped_in_order(spark):
+    from patchlens.plans.bindings import CODE_WORDS, PATH_WORDS, swap
+    texts = [None, "", "The cat is in the house. Und mit été of of the the ", "aaa \U0001f600 et  et la la que"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    for words in (CODE_WORDS, PATH_WORDS, [("aa", "b"), ("ba", "")]):
+        made = docs.select("id", swap(F.col("t"), words).alias("s"))
+        want = []
+        for t in texts:
+            for old, new in words if t is not None else []:
+                t = t.replace(old, new)
+            want.append(t)
+        assert [r["s"] for r in made.orderBy("id").collect()] == want
+        assert "ArrowEvalPython" in made._jdf.queryExecution().toString()  # a batch at a time, not a pass over columns a word
