@@ -7,6 +7,7 @@ and reads on past its end for the last.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 SPLIT_BYTES = 32 << 20
 MORE = 1 << 16  # bytes read at once behind a range
+TASK_BYTES = 4 << 20  # small ranges share a task up to about so many bytes, one range after the other
 OUTSIDE, INSIDE, ESCAPED = range(3)
 _TOKEN = re.compile(rb'"[^"\\]*+(?:\\.[^"\\]*+)*+"|["{}\[\]]', re.S)  # a quote by itself: a string without an end
 _REST = re.compile(rb'[^"\\]*+(?:\\.[^"\\]*+)*+"', re.S)
@@ -156,8 +158,10 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType, split_
     starts = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1,
                                                                F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = starts.select("path", "start", F.least("size", F.col("start") + split_bytes).alias("end"))
-    # rows are few and tiny, so their number is set: the planner would put them all into one task
-    tasks = max(1, min(ranges.count(), 100_000))
+    # rows are few and tiny, so the number of tasks is set by the bytes: the planner would put them all into one
+    n, size = ranges.agg(F.count(F.lit(1)), F.sum(F.col("end") - F.col("start"))).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(n, max(least, math.ceil((size or 0) / TASK_BYTES)), 100_000))
     summaries = ranges.repartition(tasks).mapInArrow(
         _summaries, "path string, start long, end long, ends array<int>, depths array<long>")
     placed = summaries.groupBy("path").applyInPandas(_strung, "path string, start long, end long, state int, depth long")

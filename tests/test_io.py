@@ -219,3 +219,14 @@ def test_a_stored_scan_reads_its_bucket_only(spark, folder_):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(scan_bucket" in plan
     assert report.get_scan(rows, 5).count() == rows.where("scan_id = 5").count()
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from patchlens.sources.json_arrays import read_json_array
+    (tmp_path / "a.json").write_text("[" + ",".join('{"id": %d, "t": "}\\"{"}' % i for i in range(300)) + "]")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("t", T.StringType())])
+    got = read_json_array(spark, str(tmp_path), schema, split_bytes=64)
+    assert sorted(r["id"] for r in got.collect()) == list(range(300))
+    assert got.rdd.getNumPartitions() <= 4  # not one task for each of a hundred ranges
