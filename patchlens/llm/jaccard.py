@@ -12,7 +12,8 @@ prefixes of their own, in buckets of the hub and a token. Only documents linked
 With K = (100 - T) / (100 + T), sets a and b are linked if |a ^ b| <= K * (|a| + |b|). Let A and B be the differences
 of a and b from hub h, b not linked to h: |A & B| > (1 - K) * |A| / 2, and if a is not linked either, the same holds
 with B. A is linked and b is not only if |B| is within the sum of two such bounds. And |A & B| >= |A| - |a ^ b| always, where
-|a ^ b| <= (100 - T) / T * |a|; so no prefix of a difference is longer than that and one.
+|a ^ b| <= (100 - T) / T * |a|; so no prefix of a difference is longer than that and one. What a hub alone has or lacks is
+in the differences of all its documents, so their tokens are ordered by their number of times in these differences.
 
 Edge cases: documents without words or without text are in no pair and are their own component; a document of fewer
 words than a shingle has its whole sequence as one; repeated rows are in one class; rows without an id count in no
@@ -95,13 +96,18 @@ def _frequent(first: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarra
     return token[order], times[order]
 
 
+def _costs(own: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Times of each token, 0 where it is not among the sorted frequent ones."""
+    if not len(frequent):
+        return np.zeros(len(own), np.int64)
+    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+    return np.where(frequent[at] == own, times[at], 0)
+
+
 def adapted_prefix(own: np.ndarray, frequent: np.ndarray, times: np.ndarray, t: int) -> tuple[int, int, np.ndarray]:
     """(tokens to share, rare tokens of the prefix, prefix) of a sorted set, in the order of all tokens."""
     n = len(own)
-    cost = np.zeros(n, np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        cost = np.where(frequent[at] == own, times[at], 0)
+    cost = _costs(own, frequent, times)
     p = base_prefix(n, t)
     if not cost[:p].any():
         return 1, p, own[:p]
@@ -150,11 +156,10 @@ def _in_sorted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[at] == a
 
 
-def _verify(batches: Iterator[pa.RecordBatch], t: int, frequent: np.ndarray, times: np.ndarray
-            ) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, star, sets of both): kind 0 links a and b; of a star's pairs, with b's difference from hub a,
-    kind 1 for a linked and 2 for an unlinked b's prefix tokens, and 3 for further tokens of an unlinked one that
-    may meet a linked one. `have` is the size of the difference, `ahead` that of the prefix."""
+def _verify(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, star, sets of both): kind 0 links a and b; of a star's pairs, with b's difference from hub a, as
+    tokens of the hub, kind 1 for a linked and 2 for an unlinked b, and 3 for an unlinked one that may meet a linked one
+    as well. `have` is the size of the difference, `ahead` that of its prefix."""
     out: list[tuple] = []
     k = (100 - t) / (100 + t)
     last, mine = None, None
@@ -167,32 +172,48 @@ def _verify(batches: Iterator[pa.RecordBatch], t: int, frequent: np.ndarray, tim
             inter = int(common.sum())
             linked = 100 * inter >= t * (len(mine) + len(other) - inter)
             if linked:
-                out.append((0, a, b, [], 0, 0, 0))
+                out.append((0, a, b, b"", 0, 0, 0))
             if not star:
                 continue
             added = other[~common]
             gone = mine[~_in_sorted(mine, other)]
-            # rare tokens first, and those that the hub lacks; an order that all documents of the hub share
-            diff = np.concatenate([added, gone])
-            cost = np.zeros(len(diff), np.int64)
-            if len(frequent):
-                at = np.minimum(np.searchsorted(frequent, diff), len(frequent) - 1)
-                cost = np.where(frequent[at] == diff, times[at], 0)
-            diff = diff[np.argsort(cost, kind="stable")].view(np.int64)
-            ahead = min(len(diff) - int((1 - k) * len(diff) / 2), (100 - t) * len(other) // t + 1)
+            diff = mix(np.concatenate([added, gone]) ^ mix(np.array([a], np.int64).view(U)))
+            # tokens that a link asks for: more than half of |A| + k (|hub| - |a|)
+            least = ((100 + t) * len(diff) + (100 - t) * (len(mine) - len(other))) // (2 * (100 + t)) + 1
+            ahead = max(0, min(len(diff) - least + 1, len(diff), (100 - t) * len(other) // t + 1))
             far = k * (len(mine) * 100 / t + len(other)) + k * (len(mine) + len(mine) * 100 / t)
-            row = (len(diff), ahead, len(other))
-            out.append((1 if linked else 2, a, b, diff[:ahead].tolist(), *row))
-            if not linked and len(diff) <= far:
-                out.append((3, a, b, diff.tolist(), *row))
+            kind = 1 if linked else 3 if len(diff) <= far else 2
+            out.append((kind, a, b, diff.tobytes(), len(diff), ahead, len(other)))
         if out:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, x) for c, x in zip(zip(*out), [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
+                [pa.array(c, x) for c, x in zip(zip(*out), [pa.int32(), pa.int64(), pa.int64(), pa.binary(),
                                                             pa.int64(), pa.int64(), pa.int64()])],
-                ["kind", "a", "b", "tokens", "have", "ahead", "n"])
+                ["kind", "a", "b", "diff", "have", "ahead", "n"])
             out = []
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], t: int, frequent: np.ndarray, times: np.ndarray
+              ) -> Iterator[pa.RecordBatch]:
+    """Of differences as `_verify` has them: kind 1 and 2 with the prefix tokens of a linked and an unlinked document, and
+    3 with those by which an unlinked one may meet a linked one. The order of tokens is one for all documents of a hub,
+    rare ones first."""
+    for batch in batches:
+        out: list[tuple] = []
+        for kind, b, blob, have, ahead, n in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            diff = np.sort(np.frombuffer(blob, U))
+            diff = diff[np.argsort(_costs(diff, frequent, times), kind="stable")].view(np.int64)
+            out.append((min(kind, 2), b, diff[:ahead].tolist(), have, have - ahead, n))
+            if kind == 3:
+                # a linked one may be of any size, so the overlap is at least |B| - |a ^ b| and no more is known
+                ahead = min(have, (100 - t) * n // t + 1)
+                out.append((3, b, diff[:ahead].tolist(), have, have - ahead, n))
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, x) for c, x in zip(zip(*out), [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(),
+                                                            pa.int64(), pa.int64()])],
+                ["kind", "doc", "tokens", "have", "rest", "n"])
+
+
 def _met(rows: DataFrame, even: bool) -> DataFrame:
     """Rows (token, doc, size) of the buckets of two documents and more, with the number of these and the smallest.
     even: no bucket is large, so one window serves; otherwise counts are aggregated first and joined."""
@@ -292,7 +313,6 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
                 return None
         return i, len(own), _set_key(own), _pack(own)
 
-    sent_short = spark.sparkContext.broadcast((frequent >> U(16), times))  # as packed sets have them
     # rows that share an id may have several sets here; that of the class is meant
     sets = scratch.settle(
         _sets(docs, shingle, packed, "doc long, n long, key binary, packed binary", ["doc", "n", "key", "packed"])
@@ -309,31 +329,39 @@ def link_documents(docs: DataFrame, scratch: Scratch, shingle: int = 5, t: int =
             pairs.join(sets.select(F.col("doc").alias("b"), F.col("packed").alias("two")), "b")
             .join(sets.select(F.col("doc").alias("a"), F.col("packed").alias("one")), "a")
             .select("a", "b", "star", "one", "two").mapInArrow(
-                lambda x: _verify(x, t, *sent_short.value), "kind int, a long, b long, tokens array<long>, have long, ahead long, n long"),
+                lambda x: _verify(x, t), "kind int, a long, b long, diff binary, have long, ahead long, n long"),
             "checked")
         scratch.free(pairs)
         links = scratch.settle(checked.where("kind = 0").select("a", "b"), "linked")
         found = links if found is None else found.union(links)
-        spread = checked.where("kind > 0").select(
-            "kind", "a", "b", F.explode("tokens").alias("x"), "have", "ahead", "n").withColumn(
-            "token", F.xxhash64("a", "x"))
-        if level == LEVELS - 1 or not checked.where("kind > 0").limit(1).count():
+        diffs = checked.where("kind > 0")
+        if level == LEVELS - 1 or not diffs.limit(1).count():
             break
-        near = spread.where("kind = 1").select("token", F.col("b").alias("p"), F.col("have").alias("have1"),
-                                               F.col("ahead").alias("ahead1"), F.col("n").alias("n1"), "a")
-        apart = spread.where("kind = 3").select("token", F.col("b").alias("q"), F.col("have").alias("have2"),
-                                                F.col("n").alias("n2"))
-        # common tokens that are still possible behind the prefix, against those that a link needs
-        bound = (F.col("have1") + F.col("have2") - (100 - t) * (F.col("n1") + F.col("n2")) / (100 + t)) / 2
-        mixed = (near.join(apart, "token").where(100 * F.least("n1", "n2") >= t * F.greatest("n1", "n2"))
-                 .groupBy("a", "p", "q", "have1", "have2", "ahead1", "n1", "n2").count()
-                 .where(F.col("count") + F.col("have1") - F.col("ahead1") >= bound - 1e-6)
+        own = spark.sparkContext.broadcast(_frequent(diffs.select(F.col("diff").alias("prefix")), scratch))
+        spread = scratch.settle(diffs.select("kind", "b", "diff", "have", "ahead", "n").mapInArrow(
+            lambda x, own=own: _prefixes(x, t, *own.value),
+            "kind int, doc long, tokens array<long>, have long, rest long, n long"), "spread")
+        own.destroy()
+        tokens = spread.select("kind", "doc", F.explode("tokens").alias("token"), "have", "rest", "n")
+        near = tokens.where("kind = 1").select("token", F.col("doc").alias("p"), F.col("have").alias("have1"),
+                                               F.col("rest").alias("rest1"), F.col("n").alias("n1"))
+        apart = tokens.where("kind = 3").select("token", F.col("doc").alias("q"), F.col("have").alias("have2"),
+                                                F.col("rest").alias("rest2"), F.col("n").alias("n2"))
+        # common tokens that are still possible behind the prefixes, against those that a link needs; no more tokens than
+        # a link allows to differ can be in one of two differences alone
+        differ = (100 - t) * (F.col("n1") + F.col("n2"))
+        bound = (F.col("have1") + F.col("have2") - differ / (100 + t)) / 2
+        mixed = (near.join(apart, "token").where(
+                    (100 * F.least("n1", "n2") >= t * F.greatest("n1", "n2"))
+                    & ((100 + t) * F.abs(F.col("have1") - F.col("have2")) <= differ))
+                 .groupBy("p", "q", "have1", "have2", "rest1", "rest2", "n1", "n2").count()
+                 .where(F.col("count") + F.greatest("rest1", "rest2") >= bound - 1e-6)
                  .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.lit(False).alias("star")))
-        both = spread.where("kind = 2").select("token", F.col("b").alias("doc"), (F.col("n") * 16 + 1).alias("size"))
+        both = tokens.where("kind = 2").select("token", "doc", (F.col("n") * 16 + 1).alias("size"))
         met = scratch.settle(_met(both.distinct(), False), "met")
         again = _candidates(met, t, level == LEVELS - 2, SMALL_WITHIN).select("a", "b", "star")
         pairs = scratch.settle(again.union(mixed).groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
-        scratch.free(met, checked)
+        scratch.free(met, spread, checked)
     scratch.free(checked, sets)
     return rows, found
 

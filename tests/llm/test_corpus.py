@@ -218,6 +218,32 @@ def test_jaccard_in_large_groups(spark, seed, monkeypatch):
     assert got == brute_components({i: shingles(t, 4) for i, t in rows.items()}, 85)
 
 
+def test_what_the_hub_alone_has_makes_no_pairs(spark):
+    """All differences from a hub share what is the hub's own; documents that share no more than that do not meet."""
+    rng, base = random.Random(3), [f"w{i}" for i in range(200)]
+
+    def changed(name, n):
+        own = base.copy()
+        for i in rng.sample(range(200), n):
+            own[i] = f"{name}_{i}"
+        return own
+
+    texts = [changed("hub", 12), *(changed(f"near{j}", 10) for j in range(40)), *(changed(f"apart{j}", 20) for j in range(40))]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    met = []
+
+    class Told(Scratch):
+        def settle(self, df, name):
+            out = super().settle(df, name)
+            if name == "pairs":
+                met.append(out.where("not star and a between 1 and 40 and b > 40").count())
+            return out
+
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Told(spark), 1, 80).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute_components({i: set(x) for i, x in enumerate(texts)}, 80)
+    assert met[1:] == [0]  # of 40 * 40 pairs of a near and an apart one
+
+
 def test_jaccard_odd_rows(spark, odd, none):
     got = jaccard.near_duplicates(odd, Scratch(spark), 5, 80).select("doc_id", "n_shingles", "component_id").collect()
     want = [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 2, 4), (5, 2, 4), (5, 2, 4), (6, 1, 6), (7, 2, 7), (None, 2, None), (8, 1, 8)]
