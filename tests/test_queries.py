@@ -41,3 +41,15 @@ def test_entry_has_rows(spark):
 
 def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_token_vector120_gives_every_share(spark, duck, folder):
+    df = entry.queries()["token_vector120"](spark, folder)
+    rows = df.collect()
+    assert compare(rows, df.columns, duck.execute(entry.oracle_sql()["token_vector120"])) is None
+    of = {}
+    for r in rows:
+        of.setdefault(r["doc_id"], {})[r["slot"]] = r["value"]
+    # the shares of a text are those of all 120 numbers, the structural ones among them
+    assert all(abs(sum(v.values()) - 1) < 1e-4 and {0, 39, 105, 106, 107, 108} <= set(v) for v in of.values())
+    assert {18, 19, 89} <= {r["slot"] for r in rows}
