@@ -101,3 +101,22 @@ def test_passes_of_a_fit_have_as_many_tasks_as_the_rows_fill(spark, points):
     # the 40 partitions are read when the rows are measured and dealt, not in each of some 15 passes
     assert 0 < sum(s.numCompletedTasks for s in stages if s) < 250
     assert model.numClasses == 2
+
+
+def test_binary_gives_fold_and_holdout_scores_of_every_model(spark, points):
+    trained, scores = models.train_binary(points, "g", "y", {"vector": ["buggy_vector"]}, 2, 4, 2, 3, 8)
+    held_out = {r["model"]: r["accuracy"] for r in trained.results.collect()}
+    rows = {r["model"]: r for r in scores.collect()}
+    assert set(rows) == set(held_out) and len(rows) == 5
+    assert all(r["holdout_accuracy"] == held_out[m] and 0.9 < r["mean_auc"] <= 1 and 0.9 < r["holdout_auc"] <= 1
+               for m, r in rows.items())
+
+
+def test_binary_query_takes_three_feature_sets_and_every_labelled_text(spark, folder, monkeypatch):
+    import __spark_entry__ as entry
+    called = []
+    monkeypatch.setattr(models, "train_binary", lambda *a, **k: called.append(a) or (None, a[0]))
+    samples = entry.queries()["train_binary"](spark, folder)
+    assert {k: len(v) for k, v in called[0][3].items()} == {"tokens": 1, "vector": 1, "both": 2}
+    assert samples.count() == spark.read.parquet(f"{folder}/labels.parquet").count()
+    assert samples.where("size(tokens) <> 64 OR size(embedding) <> 64").count() == 0
