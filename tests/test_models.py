@@ -120,3 +120,16 @@ def test_binary_query_takes_three_feature_sets_and_every_labelled_text(spark, fo
     assert {k: len(v) for k, v in called[0][3].items()} == {"tokens": 1, "vector": 1, "both": 2}
     assert samples.count() == spark.read.parquet(f"{folder}/labels.parquet").count()
     assert samples.where("size(tokens) <> 64 OR size(embedding) <> 64").count() == 0
+
+
+def test_hybrid_query_trains_with_the_full_settings(spark, folder, monkeypatch):
+    import inspect
+
+    import __spark_entry__ as entry
+    called = []
+    signature = inspect.signature(models.train_hybrid)
+    given = spark.createDataFrame([("m", 0, 1.0)], "model string, position int, accuracy double")
+    monkeypatch.setattr(models, "train_hybrid", lambda *a, **k: called.append(signature.bind(*a, **k)) or models.Trained(results=given))
+    entry.queries()["train_hybrid"](spark, folder)
+    # terms, trees, depth and iterations are those of the operator
+    assert set(called[0].arguments) == {"samples", "key", "label", "text", "vector"}
