@@ -133,3 +133,35 @@ def test_best_ranks_only_what_can_still_win():
     best.add(np.array([0, 1]), np.array([[0.1, 0.7, 0.7, 0.2], [0.4, 0.5, 0.1, 0.2]]), np.array([4, 5, 6, 7]))
     best.add(np.array([0]), np.array([[0.7]]), np.array([1]))
     assert best.ids[0].tolist() == [1, 5] and best.scores[1].tolist() == [0.5, -np.inf]
+
+
+def sparse_rows(rng, n, dim, most, signed=False):
+    rows = np.zeros((n, dim))
+    for row in rows:
+        at = np.unique((rng.integers(0, dim, most) * rng.random(most)).astype(int))
+        row[at] = rng.normal(size=len(at)) if signed else rng.random(len(at))
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_no_sparse_score_is_above_its_bound(signed):
+    rng = np.random.default_rng(8)
+    refs, targets = sparse_rows(rng, 200, 901, 12, signed), sparse_rows(rng, 50, 901, 60, signed)
+    table = pa.table({"idx": pa.array([np.flatnonzero(r).tolist() for r in refs], pa.list_(pa.int32())),
+                      "val": pa.array([r[r != 0].tolist() for r in refs])})
+    group, exact = retrieval._Group(table, 901), targets @ refs.T
+    upper, off = group.bounds(targets)
+    assert (exact <= upper + off[:, None]).all() and np.median(upper - exact) < 0.3
+    row, col = np.nonzero(exact > -np.inf)
+    assert np.allclose(group.scores(targets, row, col).reshape(exact.shape), exact) and np.allclose(group.dense(), refs)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_sparse_targets_are_not_copied_for_each_tile(spark, k):
+    rng = np.random.default_rng(9)
+    refs, targets = sparse_rows(rng, 300, 900, 12), sparse_rows(rng, 40, 900, 40)
+    refs[100:200] = refs[7]  # many equal ones: the smallest ids win
+    got = retrieval.nearest(table(spark, enumerate(targets)), table(spark, enumerate(refs)), 900, k, block_rows=40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # no row a target and tile
+    assert {(r["target_id"], r["reference_id"]) for r in got.collect()} == brute(targets, refs, k)
